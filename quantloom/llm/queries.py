@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.llm.bpe import op7_bpe
 from quantloom.llm.mixing import op1_mixing
 from quantloom.llm.sharding import op8_sharding
 from quantloom.llm.warc import op3_warc
@@ -13,6 +14,7 @@ from quantloom.llm.warc import op3_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
+    "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
 }
 
