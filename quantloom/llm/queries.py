@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.bpe import op7_bpe
 from quantloom.llm.langid import op4_language_id
 from quantloom.llm.mixing import op1_mixing
+from quantloom.llm.secrets import op2_secrets
 from quantloom.llm.sharding import op8_sharding
 from quantloom.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op7_bpe": op7_bpe,
