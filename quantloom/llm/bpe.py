@@ -22,7 +22,7 @@ from quantloom.llm.shared import stash
 #: Characters beyond which a text is cut in halves.
 LEAF = 1 << 15
 #: Entries of a cache, which is emptied when full, and the longest text in it.
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 150_000, 40
 #: Characters on each side of a join that are encoded again at first.
 WINDOW = 64
 
@@ -153,14 +153,18 @@ def _sha(text: str) -> str:
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _digest(found: tuple[int, str, str]) -> tuple[int, str, str]:
+    return found[0], _sha(found[1]), _sha(found[2])
+
+
 def _digests(found: list[tuple[int, str, str]]) -> dict[str, pa.Array]:
-    return {"n_tokens": pa.array([f[0] for f in found], pa.int64()), "ids_sha256": pa.array([_sha(f[1]) for f in found], pa.string()), "decoded_sha256": pa.array([_sha(f[2]) for f in found], pa.string())}
+    return {"n_tokens": pa.array([f[0] for f in found], pa.int64()), "ids_sha256": pa.array([f[1] for f in found], pa.string()), "decoded_sha256": pa.array([f[2] for f in found], pa.string())}
 
 
 def _short(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e = encoder(path)
-    for batch in batches:
-        out = _digests([e.encoded(t or "") for t in batch.column("text").to_pylist()])
+    for batch in batches:  # one text at a time is held as Python objects
+        out = _digests([_digest(e.encoded(t.as_py() or "")) for t in batch.column("text")])
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **out})
 
 
@@ -168,12 +172,12 @@ def _pieces(path: str, leaf: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     """Pre-tokens of each piece as three flat lists: starts, ends, and ids with a -1 after each pre-token."""
     e = encoder(path)
     for batch in batches:
-        spans = [e.spans(t, k * leaf) for t, k in zip(batch.column("piece").to_pylist(), batch.column("k").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({
-            "row": batch.column("row"), "doc_id": batch.column("doc_id"), "k": batch.column("k"), "piece": batch.column("piece"),
-            "starts": pa.array([[w[0] for w in s] for s in spans], pa.list_(pa.int64())), "ends": pa.array([[w[1] for w in s] for s in spans], pa.list_(pa.int64())),
-            "ids": pa.array([[i for w in s for i in (*w[2], -1)] for s in spans], pa.list_(pa.int32())),
-        })
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            spans = e.spans(row.column("piece")[0].as_py(), row.column("k")[0].as_py() * leaf)
+            lists = ([[w[0] for w in spans]], pa.int64()), ([[w[1] for w in spans]], pa.int64()), ([[i for w in spans for i in (*w[2], -1)]], pa.int32())
+            columns = [row.column(c) for c in ("row", "doc_id", "k", "piece")] + [pa.array(v, pa.list_(t)) for v, t in lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "k", "piece", "starts", "ends", "ids"])
 
 
 def _concatenated(path: str, leaf: int, group: pa.Table) -> pa.Table:
@@ -185,7 +189,7 @@ def _concatenated(path: str, leaf: int, group: pa.Table) -> pa.Table:
             words.append((a, b, tuple(iter(lambda: next(own), -1))))  # noqa: B023
         leaves.append(words)
     found = e.flat(e.tree("".join(rows["piece"]), leaf, leaves))
-    return pa.table({"doc_id": pa.array(rows["doc_id"][:1], pa.int64()), **_digests([found])})
+    return pa.table({"doc_id": pa.array(rows["doc_id"][:1], pa.int64()), **_digests([_digest(found)])})
 
 
 def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
