@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.bpe import op7_bpe
 from quantloom.llm.langid import op4_language_id
 from quantloom.llm.mixing import op1_mixing
+from quantloom.llm.near_vectors import op10_near_vectors
 from quantloom.llm.pii import op5_pii
 from quantloom.llm.secrets import op2_secrets
 from quantloom.llm.sharding import op8_sharding
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {}
