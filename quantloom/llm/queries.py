@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.bpe import op7_bpe
+from quantloom.llm.hnsw import op9_nearest
 from quantloom.llm.jaccard import op6_jaccard
 from quantloom.llm.langid import op4_language_id
 from quantloom.llm.mixing import op1_mixing
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_nearest": op9_nearest,
     "op10_near_vectors": op10_near_vectors,
 }
 
