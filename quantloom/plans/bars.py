@@ -251,7 +251,7 @@ ORACLE_SQL = {
     "clean_dedup": "SELECT ts, event_id, round(value, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY seq, event_id) AS k FROM (SELECT ts, event_id, value, 0 AS seq FROM events UNION ALL SELECT ts, event_id, value + 1, 1 FROM events WHERE event_id % 3 = 0)) WHERE k = 1",
     "duplicate_counts": "SELECT series, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS dup_rows, sum(n - 1)::BIGINT AS dropped FROM (SELECT event_type AS series, ts, count(*) AS n FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY ALL) GROUP BY series",
     "row_validation": q("""SELECT series, violation, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM (
-      SELECT series, t, unnest(list_filter([CASE WHEN late THEN 'not_increasing' END, CASE WHEN h < greatest(o, c2) THEN 'high' END, CASE WHEN l > least(o, c2) THEN 'low' END, CASE WHEN spread - 0.2 < 0 THEN 'spread' END], x -> x IS NOT NULL)) AS violation
+      SELECT series, t, unnest([x FOR x IN [CASE WHEN late THEN 'not_increasing' END, CASE WHEN h < greatest(o, c2) THEN 'high' END, CASE WHEN l > least(o, c2) THEN 'low' END, CASE WHEN spread - 0.2 < 0 THEN 'spread' END] IF x IS NOT NULL]) AS violation
       FROM (SELECT *, CASE WHEN tv % 5 = 0 THEN c * 2 ELSE c END AS c2, t <= lag(t) OVER (PARTITION BY series ORDER BY tv, t) AS late FROM base)) GROUP BY ALL""", BARS),
     "audit_days": q("SELECT * FROM audit", BARS, AUDIT),
     "audit_weekdays": q("SELECT series, (day + 3) % 7 AS period, count(*) AS days, sum(bars)::BIGINT AS bars, sum(gaps)::BIGINT AS gaps, max(max_gap) AS max_gap, sum(quarantined::INT)::BIGINT AS quarantined FROM audit GROUP BY ROLLUP (series, (day + 3) % 7)", BARS, AUDIT),
