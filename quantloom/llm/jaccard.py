@@ -18,11 +18,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
-from quantloom.llm.shared import stash
+from quantloom.llm.shared import stash, tidy
 
 WORDS, LEAST = 5, 75
 #: Bytes of a stored hash; sizes are counted on all eight.
@@ -107,8 +107,8 @@ def need(n: np.ndarray | int, least: int = LEAST):
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bits of a set's tokens: about as many bits as tokens, so that narrower bitmaps are foldings of wider ones."""
-    width = max(64, 1 << int(max(1, len(tokens)) - 1).bit_length())
+    """Bits of a set's tokens, twice to four times as many; powers of 2, so that narrower bitmaps are foldings of wider ones."""
+    width = max(64, 1 << int(2 * max(1, len(tokens)) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -173,8 +173,11 @@ class Sets:
         self.up[max(i, j)] = min(i, j)
 
 
-def traverse(one: Node, two: Node, sizes: np.ndarray, sets: Sets, least: int) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of different components that the bitmaps allow to be linked; a join of sets takes effect at once."""
+def traverse(one: Node, two: Node, sizes: np.ndarray, sets: Sets, least: int, viable=None) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different components that the bitmaps allow to be linked; a join of sets takes effect at once.
+
+    viable: of two arrays of rows, which pairs may be linked for other reasons.
+    """
 
     def components_of(node: Node) -> set[int]:
         if node.rows is not None:
@@ -219,6 +222,8 @@ def traverse(one: Node, two: Node, sizes: np.ndarray, sets: Sets, least: int) ->
         excess = np.minimum((n - np.bitwise_count(x).sum(1))[:, None], (m - np.bitwise_count(y).sum(1))[None])
         most = np.minimum(common + excess, np.minimum(n[:, None], m[None]))
         may = most * (100 + least) >= least * (n[:, None] + m[None])
+        if viable is not None and may.any():
+            may &= viable(a.rows[:, None], b.rows[None])
         for i, j in zip(*np.nonzero(may), strict=True):
             i, j = int(a.rows[i]), int(b.rows[j])
             if (a is not b or i < j) and sets.root(i) != sets.root(j):
@@ -275,7 +280,8 @@ class Bloom:
                 p = np.concatenate(_places(batch.column(0).to_numpy(), bits)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"word": pa.array(p >> 6), "bit": pa.array(np.left_shift(np.int64(1), p & 63))})
 
-        got = values.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        with tidy(values.sparkSession):
+            got = values.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
         table = np.zeros(bits >> 6, np.int64)
         table[got["word"].to_numpy()] = got["bit"].to_numpy()
         self.shared = values.sparkSession.sparkContext.broadcast(table)
@@ -335,28 +341,57 @@ def _bucket_links(group: pa.Table, least: int) -> pa.Table:
 
 
 def _bucket_pairs(group: pa.Table, least: int) -> pa.Table:
-    """Pairs of classes of different components that the signature trees of a bucket's blocks allow."""
+    """Pairs of classes of different components that the signature trees of a bucket's blocks allow.
+
+    A bucket's hash has a place in each set's order (pos). If it is the first that a pair has in common, no more than what
+    follows it can be common. And beyond the prefix that ends first in the order (last), no more than the rest of that set
+    can be, besides hashes of both prefixes, of which a set has shared ones at most. Buckets of a leaf's size need no tree.
+    """
     group = group.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending"), ("class", "ascending")])
     columns = [group.column(c).to_numpy() for c in ("token", "i", "j", "side", "class")]
-    same = lambda cs: reduce(np.logical_and, (c[1:] == c[:-1] for c in cs))
+    changed = lambda cs: reduce(np.logical_or, (c[1:] != c[:-1] for c in cs))
     first = np.ones(group.num_rows, bool)
-    first[1:] = ~same(columns)
+    first[1:] = changed(columns)
     rows = np.flatnonzero(first)
-    cuts = np.flatnonzero(~same([c[rows] for c in columns[:3]])) + 1
-    side, classes = columns[3], columns[4]
-    component, n, maps = group.column("component").to_numpy(), group.column("n").to_numpy(), group.column("tokens")
+    i_block, j_block, side, classes = (c[rows] for c in columns[1:])
+    component, n, pos, last, shared = (group.column(c).to_numpy()[rows] for c in ("component", "n", "pos", "last", "shared"))
+    start = np.ones(len(rows), bool)
+    start[1:] = changed([c[rows] for c in columns[:3]])
+    bucket = np.cumsum(start) - 1
+    size = np.bincount(bucket)
+    maps = group.column("tokens")
+    bits = lambda r: np.frombuffer(maps[int(rows[r])].as_py(), np.uint64)
+
+    def viable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = n[a], n[b]
+        needed = -(-least * (x + y) // (100 + least))
+        after = np.minimum(x - pos[a], y - pos[b])
+        rest = np.where(last[a] < last[b], need(x, least), np.where(last[b] < last[a], need(y, least), np.minimum(need(x, least), need(y, least)))) - 1
+        apart = (component[a] != component[b]) & ((side[a] != side[b]) | (i_block[a] == j_block[a]))
+        return apart & (np.minimum(x, y) * 100 >= least * np.maximum(x, y)) & (after >= needed) & (np.minimum(shared[a], shared[b]) + rest >= needed)
+
     out: set[tuple[int, int]] = set()
-    for own in np.split(rows, cuts):
-        if len(own) < 2:
-            continue
-        sizes, bits = n[own], [np.frombuffer(maps[int(i)].as_py(), np.uint64) for i in own]
+    keep = lambda a, b: out.add((int(min(classes[a], classes[b])), int(max(classes[a], classes[b]))))
+    in_small = np.flatnonzero(size[bucket] <= LEAF)
+    for step in range(1, LEAF):
+        a = in_small[in_small + step < len(rows)]
+        a = a[bucket[a] == bucket[a + step]]
+        for x in a[viable(a, a + step)] if len(a) else ():
+            one, two = bits(x), bits(x + step)
+            words = min(len(one), len(two))
+            one, two = folded(one, words), folded(two, words)
+            excess = min(n[x] - np.bitwise_count(one).sum(), n[x + step] - np.bitwise_count(two).sum())
+            if (np.bitwise_count(one & two).sum() + excess) * (100 + least) >= least * (n[x] + n[x + step]):
+                keep(x, x + step)
+    large = np.flatnonzero(size[bucket] > LEAF)
+    for own in np.split(large, np.flatnonzero(np.diff(bucket[large])) + 1) if len(large) else ():
+        order = np.lexsort((component[own], n[own]))
+        held = [bits(r) for r in own]
         joined = Sets(component[own])
-        order = np.lexsort((component[own], sizes))
-        left = tree(sizes, bits, order[side[own][order] == 0])
-        right = tree(sizes, bits, order[side[own][order] == 1]) if (side[own] == 1).any() else left
-        for i, j in traverse(left, right, sizes, joined, least) if left and right else ():
-            a, b = int(classes[own[i]]), int(classes[own[j]])
-            out.add((min(a, b), max(a, b)))
+        left = tree(n[own], held, order[side[own][order] == 0])
+        right = tree(n[own], held, order[side[own][order] == 1]) if i_block[own[0]] != j_block[own[0]] else left
+        for i, j in traverse(left, right, n[own], joined, least, lambda a, b, own=own: viable(own[a], own[b])) if left and right else ():
+            keep(own[i], own[j])
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -403,51 +438,60 @@ def _frequent(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent, least: int) -> Iterator[pa.RecordBatch]:
-    """class, prefix: as many tokens, frequent ones last, as a linked set can't lack altogether."""
-    last = frequent.value
+    """class, size, prefix: as many tokens, frequent ones last, as a linked set can't lack altogether; last: its last one's place in the order."""
+    late = frequent.value
     for batch in batches:
-        out = []
+        size, prefix, last = [], [], []
         for raw in batch.column("tokens"):
             t = unpack(raw.as_py())
-            if len(last):
-                at = np.minimum(np.searchsorted(last, t), len(last) - 1)
-                t = t[np.argsort(last[at] == t, kind="stable")]
-            out.append((t[: len(t) - need(len(t), least) + 1]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes())
-        yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "prefix": pa.array(out, pa.binary())})
+            flag = np.zeros(len(t), bool)
+            if len(late):
+                flag = late[np.minimum(np.searchsorted(late, t), len(late) - 1)] == t
+                order = np.argsort(flag, kind="stable")
+                t, flag = t[order], flag[order]
+            k = len(t) - need(len(t), least) + 1
+            size.append(len(t))
+            prefix.append(t[:k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes())
+            last.append((int(flag[k - 1]) << 48) | int(t[k - 1]))
+        yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "size": pa.array(size, pa.int64()), "last": pa.array(last, pa.int64()), "prefix": pa.array(prefix, pa.binary())})
 
 
 def _exploded(batches: Iterator[pa.RecordBatch], bloom: Bloom | None) -> Iterator[pa.RecordBatch]:
-    names = ["token", "component"] if bloom is None else ["token", "class", "component"]
+    names = ["component"] if bloom is None else ["class", "component", "size", "last"]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             held = [unpack(p.as_py()) for p in part.column("prefix")]
-            token, row = np.concatenate(held).astype(np.int64), np.repeat(np.arange(len(held)), [len(h) for h in held])
+            lengths = np.array([len(h) for h in held])
+            token, row = np.concatenate(held).astype(np.int64), np.repeat(np.arange(len(held)), lengths)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             if bloom is not None:
                 may = bloom.may(token)
-                token, row = token[may], row[may]
-            columns = {"token": token, **{c: part.column(c).to_numpy()[row] for c in names[1:]}}
-            yield pa.RecordBatch.from_pydict({c: pa.array(columns[c]) for c in names})
+                token, row, pos = token[may], row[may], pos[may]
+            columns = {"token": token, **({"pos": pos} if bloom else {}), **{c: part.column(c).to_numpy()[row] for c in names}}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
 
 def _remaining_links(sets: DataFrame, graph: DataFrame, least: int) -> DataFrame:
     """Links between components, from the buckets of all prefix tokens that hold several of them."""
     frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-    prefixes = sets.where(F.col("tokens").isNotNull()).select("class", "tokens").mapInArrow(lambda b: _prefixes(b, frequent, least), "class long, prefix binary")
-    prefixes = prefixes.join(graph, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "prefix")
+    prefixes = sets.where(F.col("tokens").isNotNull()).select("class", "tokens").mapInArrow(lambda b: _prefixes(b, frequent, least), "class long, size long, last long, prefix binary")
+    prefixes = prefixes.join(graph, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "size", "last", "prefix")
     prefixes = stash(prefixes, "jaccard_prefixes")
     tokens = prefixes.mapInArrow(lambda b: _exploded(b, None), "token long, component long")
     mixed = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     mixed = stash(mixed, "jaccard_mixed")
     bloom = Bloom(mixed, mixed.count())
-    members = prefixes.mapInArrow(lambda b: _exploded(b, bloom), "token long, class long, component long")
+    members = prefixes.mapInArrow(lambda b: _exploded(b, bloom), "token long, pos long, class long, component long, size long, last long")
     members = stash(members.join(mixed, "token").distinct(), "jaccard_members")
     sizes = stash(members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard_member_sizes")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    members = members.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("class")))
     met = members.join(sizes, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("token", "class", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    met = met.select("token", "pos", "class", "component", "size", "last", "shared", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    met = stash(met, "jaccard_met")
     parts = max(1, met.count() // (5 * GROUP))
-    grouped = with_sets(met, sets, as_bitmap=True).withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts))).groupBy("g")
+    grouped = with_sets(met, sets, as_bitmap=True).drop("n").withColumnRenamed("size", "n").withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts))).groupBy("g")
     pairs = stash(grouped.applyInArrow(lambda t: _bucket_pairs(t, least), "a long, b long").distinct(), "jaccard_pairs")
     one = with_sets(pairs.select(F.col("a").alias("class"), "b"), sets).select(F.col("class").alias("a"), F.col("b").alias("class"), F.col("tokens").alias("left"))
     both = with_sets(one, sets).select("a", F.col("class").alias("b"), "left", F.col("tokens").alias("right"))
