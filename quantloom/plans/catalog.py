@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import bars, mining, outcomes
+from quantloom.plans import bars, events, mining, outcomes
 
-PARTS = (bars, outcomes, mining)
+PARTS = (bars, outcomes, mining, events)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
 

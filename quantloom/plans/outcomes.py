@@ -54,7 +54,7 @@ def exits_of(*kinds: str):
 EXIT_SQL = f"SELECT series, day, t, tc, side::BIGINT AS side, exit, reason::BIGINT AS reason, exit_tc, conflict, {r('net', 'r')} FROM exits"
 CHAIN = """
 tr1 AS (SELECT *, row_number() OVER (PARTITION BY exit, side, series, day ORDER BY tc) AS n FROM exits),
-nxt AS (SELECT a.*, b.tc AS next_tc FROM tr1 a ASOF LEFT JOIN tr1 b ON b.exit = a.exit AND b.side = a.side AND b.series = a.series AND b.day = a.day AND b.tc >= a.exit_tc),
+nxt AS MATERIALIZED (SELECT a.*, b.tc AS next_tc FROM tr1 a ASOF LEFT JOIN tr1 b ON b.exit = a.exit AND b.side = a.side AND b.series = a.series AND b.day = a.day AND b.tc >= a.exit_tc),
 one AS (SELECT * FROM nxt WHERE n = 1 UNION ALL SELECT x.* FROM one o JOIN nxt x ON x.exit = o.exit AND x.side = o.side AND x.series = o.series AND x.day = o.day AND x.tc = o.next_tc)"""
 
 
