@@ -54,7 +54,7 @@ def train(labelled: DataFrame) -> Model:
     """From token, secret (boolean). Pairs are counted by Spark; the driver gets a count for each pair of characters.
 
     Tokens that are null or hold other characters than ALPHABET's, or fewer than two, are left out. The threshold lies
-    between the highest of the identifiers' ratios and the low ones of the secrets', nearer to the latter if they overlap.
+    halfway between the ratios that one of 1000 identifiers exceeds and that one of 200 secrets falls short of.
     """
     n = len(ALPHABET)
     rows = labelled.where(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]{2,}$"))
@@ -67,7 +67,7 @@ def train(labelled: DataFrame) -> Model:
         logs.append([math.log(c[i] / firsts[i // n]) for i in range(n * n)])
     table = [s - o for s, o in zip(logs[1], logs[0], strict=True)]
     judged = rows.where(F.length("token") >= LEAST).select("secret", ratio(F.col("token"), table).alias("x"))
-    ends = judged.agg(F.max(F.when(~F.col("secret"), F.col("x"))).alias("plain"), F.percentile(F.when(F.col("secret"), F.col("x")), 0.02).alias("low")).first()
+    ends = judged.agg(F.percentile(F.when(~F.col("secret"), F.col("x")), 0.999).alias("plain"), F.percentile(F.when(F.col("secret"), F.col("x")), 0.005).alias("low")).first()
     if ends["low"] is None:
         return Model(table, math.inf)
     plain = ends["plain"] if ends["plain"] is not None else 0.0
@@ -103,12 +103,13 @@ def identifiers(docs: DataFrame, n_docs: int = DOCS) -> DataFrame:
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """docs with columns assign, access, hex, random: arrays of start, end, s. docs has a column text.
 
-    Null and empty texts have no secrets. A random span is a candidate over the model's threshold that overlaps no base one.
+    Null and empty texts have no secrets. A random span is a candidate over the model's threshold
+    that overlaps no base one; mere numbers are none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["s"], ASSIGN, 1)) >= 6)
     x = docs.withColumn("assign", assign).withColumn("access", matches(text, ACCESS, F.contains(text, F.lit("AKIA")))).withColumn("hex", matches(text, HEX))
-    candidates = F.filter(apart(matches(text, CANDIDATE), F.concat("assign", "access", "hex")), lambda m: ratio(m["s"], model.ratio) > model.threshold)
+    candidates = F.filter(apart(matches(text, CANDIDATE), F.concat("assign", "access", "hex")), lambda m: m["s"].rlike("[A-Za-z]") & (ratio(m["s"], model.ratio) > model.threshold))
     return x.withColumn("random", candidates)
 
 

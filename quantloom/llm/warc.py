@@ -158,7 +158,7 @@ def _rows(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
                         raise ValueError(f"a payload's digest is {found}, its header says {digest}")
                 else:  # the original's HTTP headers tell the full payload's length
                     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                out.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], size, digest, kind, _page(headers.get("warc-refers-to")), payload if payloads else None))
+                out.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], size, digest, kind, _page(headers.get("warc-refers-to")), payload if payloads and kind == "response" else None))
                 held += len(payload) if payloads else 0
                 if len(out) >= 5000 or held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds, strict=True)], schema=schema)
