@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import stash
+from quantloom.llm.shared import parts_for, stash
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,15 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     Each round replaces the links by as many at most, nearer to stars around the smallest ids. Minima are written out
     before they are joined, so that Spark can split the partitions of ids with many links.
     """
-    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    parts = parts_for(links.count())
+    edges = stash(links.distinct(), "components", parts)
     before, now = None, _state(edges)
     while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components_large")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stash(large, "components_large_links")
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "components_small")
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components_large", parts)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = stash(large, "components_large_links", parts)
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "components_small", parts)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", parts)
         before, now = now, _state(edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

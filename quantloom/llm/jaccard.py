@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
-from quantloom.llm.shared import stash, tidy
+from quantloom.llm.shared import parts_for, stash, tidy
 
 WORDS, LEAST = 5, 75
 #: Bytes of a stored hash; sizes are counted on all eight.
@@ -396,16 +396,16 @@ def _bucket_pairs(group: pa.Table, least: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _copied_links(sets: DataFrame, least: int) -> DataFrame:
+def _copied_links(sets: DataFrame, least: int, few: int) -> DataFrame:
     """Links within the buckets of the sets' smallest hashes: large ones by blocks, then by a set of each component."""
     rows = sets.where(F.col("tokens").isNotNull()).select(F.explode("keys").alias("key"), "class")
-    rows = stash(rows, "jaccard_keys")
+    rows = stash(rows, "jaccard_keys", few)
     shared = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    rows = stash(rows.join(shared, "key").distinct().withColumn("component", F.col("class")), "jaccard_shared")
+    rows = stash(rows.join(shared, "key").distinct().withColumn("component", F.col("class")), "jaccard_shared", few)
     links: list[DataFrame] = []
     while True:
-        sizes = stash(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("blocks")), "jaccard_sizes")
-        placed = stash(rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks"), "jaccard_placed")
+        sizes = stash(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("blocks")), "jaccard_sizes", few)
+        placed = stash(rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks"), "jaccard_placed", few)
         parts = max(1, placed.count() // GROUP)
         group = F.pmod(F.xxhash64("key", "block"), F.lit(parts))
         met = with_sets(placed, sets).withColumn("g", group).groupBy("g").applyInArrow(lambda t: _bucket_links(t, least), "a long, b long")
@@ -415,7 +415,7 @@ def _copied_links(sets: DataFrame, least: int) -> DataFrame:
             return reduce(DataFrame.unionByName, links)
         graph = components(reduce(DataFrame.unionByName, links))
         named = rows.drop("component").join(large, "key").join(graph, F.col("class") == F.col("id"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-        fewer = stash(named.groupBy("key", "component").agg(F.min("class").alias("class")), "jaccard_fewer")
+        fewer = stash(named.groupBy("key", "component").agg(F.min("class").alias("class")), "jaccard_fewer", few)
         if fewer.count() >= rows.join(large, "key").count():  # blocks that link nothing: the prefix's buckets see to them
             return reduce(DataFrame.unionByName, links)
         rows = fewer
@@ -472,7 +472,7 @@ def _exploded(batches: Iterator[pa.RecordBatch], bloom: Bloom | None) -> Iterato
             yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
 
-def _remaining_links(sets: DataFrame, graph: DataFrame, least: int) -> DataFrame:
+def _remaining_links(sets: DataFrame, graph: DataFrame, least: int, few: int) -> DataFrame:
     """Links between components, from the buckets of all prefix tokens that hold several of them."""
     frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
     prefixes = sets.where(F.col("tokens").isNotNull()).select("class", "tokens").mapInArrow(lambda b: _prefixes(b, frequent, least), "class long, size long, last long, prefix binary")
@@ -484,7 +484,7 @@ def _remaining_links(sets: DataFrame, graph: DataFrame, least: int) -> DataFrame
     bloom = Bloom(mixed, mixed.count())
     members = prefixes.mapInArrow(lambda b: _exploded(b, bloom), "token long, pos long, class long, component long, size long, last long")
     members = stash(members.join(mixed, "token").distinct(), "jaccard_members")
-    sizes = stash(members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard_member_sizes")
+    sizes = stash(members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard_member_sizes", few)
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     members = members.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("class")))
     met = members.join(sizes, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -514,15 +514,15 @@ def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stash(rows.mapInArrow(lambda b: _sets(b, words), SETS), "jaccard_sets")
-    links = stash(_copied_links(sets, least), "jaccard_copied")
-    graph = stash(components(links), "jaccard_graph")
-    more = _remaining_links(sets, graph, least)
-    if more.limit(1).count():
-        graph = stash(components(links.unionByName(more)), "jaccard_graph")
+    few = parts_for(sets.count())
+    graph = stash(components(_copied_links(sets, least, few)), "jaccard_graph", few)
+    more = _remaining_links(sets, graph, least, few)
+    if more.limit(1).count():  # what is known already is stars by now
+        graph = stash(components(graph.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "jaccard_graph", few)
     classes = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
-    known = stash(classes.join(graph, F.col("class") == F.col("id"), "left").select("class", "first", F.coalesce("component", "class").alias("root")), "jaccard_classes")
-    roots = stash(known.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard_roots")
-    known = stash(known.join(roots, "root").select("class", "component_id"), "jaccard_known")
+    known = stash(classes.join(graph, F.col("class") == F.col("id"), "left").select("class", "first", F.coalesce("component", "class").alias("root")), "jaccard_classes", few)
+    roots = stash(known.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard_roots", few)
+    known = stash(known.join(roots, "root").select("class", "component_id"), "jaccard_known", few)
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "class").join(known, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -39,11 +39,14 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stash(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    parts: for tables of few bytes a row, the most files to write; it follows the number of rows.
+    """
     path = new_path(df.sparkSession, tag)
     with tidy(df.sparkSession):
-        df.write.parquet(path)
+        (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,3 +67,8 @@ def let(value, body):
 def small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if it has no more than limit rows; otherwise Spark shuffles, splitting skewed partitions."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def parts_for(rows: int) -> int:
+    """Files for a table of few bytes a row: enough for all cores of a small cluster, then one for each 50,000 rows."""
+    return max(12, rows // 50_000)
