@@ -340,7 +340,7 @@ def _bucket_links(group: pa.Table, least: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _bucket_pairs(group: pa.Table, least: int) -> pa.Table:
+def _bucket_pairs(group: pa.Table, sets: pa.Table, least: int) -> pa.Table:
     """Pairs of classes of different components that the signature trees of a bucket's blocks allow.
 
     A bucket's hash has a place in each set's order (pos). If it is the first that a pair has in common, no more than what
@@ -354,13 +354,13 @@ def _bucket_pairs(group: pa.Table, least: int) -> pa.Table:
     first[1:] = changed(columns)
     rows = np.flatnonzero(first)
     i_block, j_block, side, classes = (c[rows] for c in columns[1:])
-    component, n, pos, last, shared = (group.column(c).to_numpy()[rows] for c in ("component", "n", "pos", "last", "shared"))
+    component, n, pos, last, shared = (group.column(c).to_numpy()[rows] for c in ("component", "size", "pos", "last", "shared"))
     start = np.ones(len(rows), bool)
     start[1:] = changed([c[rows] for c in columns[:3]])
     bucket = np.cumsum(start) - 1
     size = np.bincount(bucket)
-    maps = group.column("tokens")
-    bits = lambda r: np.frombuffer(maps[int(rows[r])].as_py(), np.uint64)
+    maps = {c: np.frombuffer(m, np.uint64) for c, m in zip(sets.column("class").to_pylist(), sets.column("tokens").to_pylist(), strict=True)}
+    bits = lambda r: maps[int(classes[r])]
 
     def viable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x, y = n[a], n[b]
@@ -479,29 +479,52 @@ def _remaining_links(sets: DataFrame, graph: DataFrame, least: int, few: int) ->
     prefixes = prefixes.join(graph, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "size", "last", "prefix")
     prefixes = stash(prefixes, "jaccard_prefixes")
     tokens = prefixes.mapInArrow(lambda b: _exploded(b, None), "token long, component long")
-    mixed = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    mixed = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "low")
     mixed = stash(mixed, "jaccard_mixed")
-    bloom = Bloom(mixed, mixed.count())
+    bloom = Bloom(mixed.select("token"), mixed.count())
     members = prefixes.mapInArrow(lambda b: _exploded(b, bloom), "token long, pos long, class long, component long, size long, last long")
     members = stash(members.join(mixed, "token").distinct(), "jaccard_members")
     sizes = stash(members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard_member_sizes", few)
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     members = members.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("class")))
     met = members.join(sizes, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("token", "pos", "class", "component", "size", "last", "shared", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    met = stash(met, "jaccard_met")
-    parts = max(1, met.count() // (5 * GROUP))
-    grouped = with_sets(met, sets, as_bitmap=True).drop("n").withColumnRenamed("size", "n").withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts))).groupBy("g")
-    pairs = stash(grouped.applyInArrow(lambda t: _bucket_pairs(t, least), "a long, b long").distinct(), "jaccard_pairs")
-    one = with_sets(pairs.select(F.col("a").alias("class"), "b"), sets).select(F.col("class").alias("a"), F.col("b").alias("class"), F.col("tokens").alias("left"))
-    both = with_sets(one, sets).select("a", F.col("class").alias("b"), "left", F.col("tokens").alias("right"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            right = [_linked(unpack(x.as_py()), unpack(y.as_py()), least) for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
-
-    return stash(both.mapInArrow(verified, "a long, b long"), "jaccard_more_links")
+    met = met.select("token", "pos", "class", "component", "size", "last", "shared", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    # buckets that begin with the same component mostly hold the same classes: they share a group, so a class's bitmap is sent there once
+    parts = max(1, members.count() // (5 * GROUP))
+    met = stash(met.withColumn("g", F.pmod(F.xxhash64("low", "i", "j"), F.lit(parts))).drop("low"), "jaccard_met")
+    maps = with_sets(stash(met.select("g", "class").distinct(), "jaccard_maps"), sets, as_bitmap=True)
+    pairs = met.groupBy("g").cogroup(maps.groupBy("g")).applyInArrow(lambda m, t: _bucket_pairs(m, t, least), "a long, b long")
+    pairs = stash(pairs.distinct(), "jaccard_pairs", few)
+    return _verified(pairs, sets, least, few)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: int, few: int) -> DataFrame:
+    """The pairs that are linked. Pairs that hang together are verified in one place, to which each set is sent once; a large
+    family of them is split into pairs of blocks."""
+    families = components(pairs)
+    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    at = families.join(sizes, "component").select(F.col("id").alias("class"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+    at = stash(at, "jaccard_families", few)
+    parts = max(1, at.count() // GROUP)
+    place = lambda x, y: F.pmod(F.xxhash64("component", F.least(x, y), F.greatest(x, y)), F.lit(parts))
+    sent = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("class", place("own", "other").alias("g")).distinct()
+    sent = with_sets(stash(sent, "jaccard_sent", few), sets).select("g", "class", "tokens")
+    one, two = at.select(F.col("class").alias("a"), "component", F.col("own").alias("own_a")), at.select(F.col("class").alias("b"), F.col("own").alias("own_b"))
+    asked = pairs.join(one, "a").join(two, "b").select("a", "b", place("own_a", "own_b").alias("g"))
+
+    def judged(asked: pa.Table, sets: pa.Table) -> pa.Table:
+        raw, held = dict(zip(sets.column("class").to_pylist(), sets.column("tokens"), strict=True)), {}
+
+        def tokens(c: int) -> np.ndarray:
+            if c not in held:
+                held[c] = unpack(raw[c].as_py())
+            return held[c]
+
+        asked = asked.sort_by("a")
+        right = [_linked(tokens(a), tokens(b), least) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)]
+        return asked.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    return stash(asked.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(judged, "a long, b long"), "jaccard_more_links", few)
 
 
 def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
