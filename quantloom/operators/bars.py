@@ -22,10 +22,11 @@ def by_day(order: str = "t"):
 
 
 def from_ticks(ticks: DataFrame, length: int, point: float) -> DataFrame:
-    """Bars of a length from ticks of series, minute, ts, value, points; weekend bars are left out."""
+    """Bars of a length from ticks of series, minute, ts, event_id, value, points; weekend bars are left out. Equal times go by event_id."""
+    at = F.struct("ts", "event_id")
     x = ticks.withColumn("t", floor_to(F.col("minute"), length)).groupBy("series", "t").agg(
-        F.min_by("value", "ts").alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", "ts").alias("c"),
-        F.count(F.lit(1)).alias("tv"), (F.max_by("points", "ts") * F.lit(point)).alias("spread"),
+        F.min_by("value", at).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", at).alias("c"),
+        F.count(F.lit(1)).alias("tv"), (F.max_by("points", at) * F.lit(point)).alias("spread"),
     )
     x = x.withColumn("tc", F.col("t") + length).withColumn("day", day_of(F.col("t")))
     return x.where(weekday_of(F.col("day")) < 5).select("series", "t", "tc", "day", "o", "h", "l", "c", "tv", "spread")
