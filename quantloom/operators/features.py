@@ -24,7 +24,7 @@ def returns(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
     for k in (15, 60, 120, 240):
         x = asof(x.withColumn("at", F.col("tc") - k), closes, "at", "ctc", ["cv"]).withColumn(f"r{k}", ratio(F.col("c") - F.col("cv"), F.col("atr"))).drop("at", "cv")
     opened = F.first("o").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("day_open", opened).withColumn("r_day", 100 * F.ln(F.col("c") / F.col("day_open"))).withColumn("d_open", ratio(F.col("c") - F.col("day_open"), F.col("atr")))
+    return x.withColumn("day_open", opened).withColumn("r_day", 100 * F.ln(ratio(F.col("c"), F.col("day_open")))).withColumn("d_open", ratio(F.col("c") - F.col("day_open"), F.col("atr")))
 
 
 def volatility(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
@@ -33,7 +33,7 @@ def volatility(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
     last = Window.partitionBy("series").orderBy("t").rangeBetween(-3 * p.signal, 0)
     x = x.withColumn("range60", ratio(F.max("h").over(last) - F.min("l").over(last), F.col("atr")))
     w = by_time()
-    r = base.withColumn("r", F.ln(F.col("c") / F.lag("c").over(w))).withColumn("n", F.row_number().over(w))
+    r = base.withColumn("r", F.ln(ratio(F.col("c"), F.lag("c").over(w)))).withColumn("n", F.row_number().over(w))
     rv = r.withColumn("rv", F.when(F.col("n") > 10, F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(-9, 0))))).select("series", F.col("tc").alias("vtc"), "rv")
     x = asof(x, rv, "tc", "vtc", ["rv"])
     return same_slot(x, "rv", p.signal, p.hist_days, p.hist_min_days, "median", "usual_rv").withColumn("rv_rel", ratio("rv", F.col("usual_rv")))
