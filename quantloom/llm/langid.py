@@ -23,7 +23,7 @@ ORDER = 4
 #: Expected number of texts of each language from which n-grams are counted, and of those for calibration.
 TRAIN, CALIBRATE = 1500, 400
 #: Symbols that are scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 SEED = 77
 #: Rejection: so many times the largest calibrated excess of cross-entropy.
 MARGIN = 2.0

@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows of an Arrow batch while tables are written: a batch is held several times over, in Python and outside the JVM's heap.
+BATCH = 1000
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,14 +31,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """What is run inside leaves no shuffle files behind: Spark removes them when each of its queries has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    """What is run inside leaves no shuffle files behind, since Spark removes them when each of its queries has ended, and
+    passes Arrow batches of BATCH rows at most."""
+    files, batch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {k: spark.conf.get(k) for k in (files, batch)}
+    spark.conf.set(files, "true")
+    if not 0 < int(before[batch]) <= BATCH:  # none or less is no limit
+        spark.conf.set(batch, str(BATCH))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stash(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
