@@ -1,9 +1,11 @@
 """Links between vectors of a cosine or more, by spherical-cap filters.
 
-Filters are directions of a structured random code: the concatenation of one codeword from each block of dimensions. A
-vector is in every filter whose direction exceeds a threshold with it; those are listed block by block, dropping beginnings
-that can't reach the threshold any more. Vectors are joined on filters, pairs verified in double precision, and a pair is
-counted only in the first filter that holds both.
+Filters are directions of structured random codes: the concatenation of one codeword from each block of dimensions, taken
+after a random rotation and, for each code, in an order of its own. A vector is in every filter whose direction exceeds a
+threshold with it; those are listed block by block, dropping beginnings that can't reach the threshold any more. Threshold
+and number of filters follow from the sphere's caps, so that a pair at the least cosine shares as many for any number of
+vectors. Vectors are joined on filters, pairs verified in double precision, and a pair is counted only in the first filter
+that holds both. Vectors in too few filters, and those of few dimensions, are compared with all others.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,12 @@ from quantloom.llm.components import components
 from quantloom.llm.shared import small, stash
 from quantloom.llm.vectors import keyed, stacked
 
-#: Expected number of filters that hold a vector, and of vectors in a filter.
-FILTERS, HELD = 48, 64
+#: Expected number of filters that a pair at the least cosine shares, and of vectors in a filter.
+SHARED, HELD = 20, 64
+#: Codes over the rotated dimensions: the more, the less a vector's number of filters varies.
+CODES = 32
+#: Vectors in fewer filters, or of fewer dimensions, are compared with all others.
+SCARCE, FLAT = 10, 16
 #: Rows of a task's group; a filter with more is split into blocks of so many, and its pairs of blocks are groups.
 GROUP, BLOCK = 40_000, 4096
 HEAVY_BROADCAST = 200_000
@@ -33,31 +38,64 @@ SEED = 4242
 
 @dataclass(frozen=True)
 class Code:
-    """words codewords in each of blocks blocks; a filter holds a share of all vectors."""
+    """CODES codes of words codewords in each of blocks blocks; a filter holds the vectors that exceed threshold with it."""
 
+    dim: int
     blocks: int
     words: int
-    share: float
+    threshold: float
+
+    @property
+    def each(self) -> int:
+        return self.words**self.blocks
 
     @staticmethod
-    def fitting(n: int) -> Code:
+    @cache
+    def fitting(n: int, dim: int, cosine: float) -> Code:
         """For n vectors: the more, the rarer a filter holds one, and the more filters there are."""
         share = min(0.25, HELD / max(1, n))
-        filters = FILTERS / share
-        blocks = 2 if filters < 1e6 else 3 if filters < 1e9 else 4
-        return Code(blocks, max(2, math.ceil(filters ** (1 / blocks))), share)
+        at, tail = _caps(dim)
+        threshold = float(np.interp(-share, -tail, at))
+        filters = SHARED / (share * _kept(threshold, dim, cosine)) / CODES
+        blocks = 2 if filters < 1e7 else 3
+        return Code(dim, blocks, max(2, math.ceil(filters ** (1 / blocks))), threshold)
+
+
+@cache
+def _caps(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heights, and the share of the sphere above each."""
+    at = np.linspace(-1, 1, 200_001)
+    density = np.maximum(1 - at * at, 0) ** ((dim - 3) / 2)
+    tail = np.concatenate([np.cumsum(((density[1:] + density[:-1]) / 2)[::-1])[::-1], [0]])
+    return at, tail / tail[0]
+
+
+def _kept(threshold: float, dim: int, cosine: float) -> float:
+    """Of the vectors in a filter, the share whose partner at this cosine is in it too."""
+    if cosine >= 1:
+        return 1.0
+    u = np.linspace(threshold, 1, 2001)[:-1]
+    density = (1 - u * u) ** ((dim - 3) / 2)
+    least = (threshold - cosine * u) / np.sqrt((1 - cosine * cosine) * (1 - u * u))
+    return float((density * np.interp(least, *_caps(dim - 1))).sum() / density.sum())
 
 
 @cache
-def _words(code: Code, dim: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+def _words(code: Code) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[np.ndarray, list[np.ndarray]]]]:
+    """The rotation, the blocks' edges, and for each code the order of dimensions and the words of each block."""
+    dim = code.dim
     edges = [round(i * dim / code.blocks) for i in range(code.blocks + 1)]
     cuts = list(zip(edges, edges[1:], strict=False))
     r = np.random.default_rng([SEED, dim, code.blocks, code.words])
+    rotation = np.linalg.qr(r.standard_normal((dim, dim)))[0]
     out = []
-    for a, b in cuts:
-        w = r.standard_normal((code.words, max(1, b - a)))
-        out.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(max(1, b - a) / dim))
-    return cuts, out
+    for _ in range(CODES):
+        own = []
+        for a, b in cuts:
+            w = r.standard_normal((code.words, b - a))
+            own.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt((b - a) / dim))
+        out.append((r.permutation(dim), own))
+    return rotation, cuts, out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -68,53 +106,92 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def decode(x: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """Row and number of every filter that holds a row of x, unit vectors; rows ascend."""
-    dim = x.shape[1]
-    cuts, words = _words(code, dim)
-    least = NormalDist().inv_cdf(1 - code.share) / math.sqrt(dim)
+    rotation, cuts, codes = _words(code)
     rows, filters = [], []
     for at in range(0, len(x), 1024):
-        part = x[at : at + 1024]
-        scores = [part[:, a:b] @ w.T if b > a else np.zeros((len(part), code.words)) for (a, b), w in zip(cuts, words, strict=True)]
-        rest = np.zeros(len(part))
-        rests = [rest]
-        for s in reversed(scores[1:]):
-            rest = rest + s.max(1)
-            rests.insert(0, rest)
-        row, number, total = np.arange(len(part)), np.zeros(len(part), np.int64), np.zeros(len(part))
-        for s, rest in zip(scores, rests, strict=True):
-            reach = total[:, None] + s[row] + rest[row][:, None]
-            i, w = np.nonzero(reach >= least)
-            total = total[i] + s[row[i], w]
-            row, number = row[i], number[i] * code.words + w
-        rows.append(row + at)
-        filters.append(number)
+        turned = x[at : at + 1024] @ rotation
+        row_of, number_of = [], []
+        for k, (order, words) in enumerate(codes):
+            part = turned[:, order]
+            scores = [part[:, a:b] @ w.T for (a, b), w in zip(cuts, words, strict=True)]
+            rest = np.zeros(len(part))
+            rests = [rest]
+            for s in reversed(scores[1:]):
+                rest = rest + s.max(1)
+                rests.insert(0, rest)
+            row, number, total = np.arange(len(part)), np.full(len(part), k, np.int64), np.zeros(len(part))
+            for s, rest in zip(scores, rests, strict=True):
+                reach = total[:, None] + s[row] + rest[row][:, None]
+                i, w = np.nonzero(reach >= code.threshold)
+                total = total[i] + s[row[i], w]
+                row, number = row[i], number[i] * code.words + w
+            row_of.append(row)
+            number_of.append(number)
+        row, number = np.concatenate(row_of), np.concatenate(number_of)
+        by = np.argsort(row, kind="stable")
+        rows.append(row[by] + at)
+        filters.append(number[by])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(filters)
 
 
 MEMBERS = "filter long, class long, n long, vector binary"
+#: In place of a filter's number: scarce vectors among themselves, and with the others. Both come before all filters.
+AMONG, WITH = -1, -2
 
 
-def _filters(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    for batch in _members(batches, code, False):
-        yield batch.select(["filter"])
-
-
-def _members(batches: Iterator[pa.RecordBatch], code: Code, vectors: bool = True) -> Iterator[pa.RecordBatch]:
+def _by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         size = np.diff(batch.column("vector").offsets.to_numpy())
         for dim in np.unique(size):
             part = batch.filter(pa.array(size == dim))
-            x = stacked(part.column("vector"))
-            classes, n = part.column("class").to_numpy(), part.column("n").to_numpy()
-            raw = [v.tobytes() for v in x.astype(np.float32 if x.dtype == np.float32 else np.float64)]
-            for at in range(0, len(x), 2048):
-                row, number = decode(unit(x[at : at + 2048]), code)
-                row = row + at
-                yield pa.RecordBatch.from_pydict({
-                    "filter": pa.array(number * 100_003 + int(dim)), "class": pa.array(classes[row]), "n": pa.array(n[row]), "vector": pa.array([raw[i] for i in row] if vectors else [None] * len(row), pa.binary()),
-                })
+            yield int(dim), part, stacked(part.column("vector"))
+
+
+def _named(number: np.ndarray, dim: int) -> pa.Array:
+    return pa.array(number * 100_003 + dim)
+
+
+def _packed(x: np.ndarray) -> list[bytes]:
+    return [v.tobytes() for v in x.astype(np.float32 if x.dtype == np.float32 else np.float64)]
+
+
+def _scarce(batches: Iterator[pa.RecordBatch], n: int, least: float, fewest: int) -> Iterator[pa.RecordBatch]:
+    """The vectors that are compared with all others, in the filter AMONG."""
+    for dim, part, x in _by_dim(batches):
+        if dim < FLAT:
+            few = np.arange(len(x))
+        else:
+            code = Code.fitting(n, dim, least)
+            held = [np.bincount(decode(unit(x[at : at + 2048]), code)[0], minlength=min(2048, len(x) - at)) for at in range(0, len(x), 2048)]
+            few = np.flatnonzero(np.concatenate(held) < fewest)
+        own = part.take(pa.array(few))
+        yield pa.RecordBatch.from_pydict({"filter": _named(np.full(len(few), AMONG), dim), "class": own.column("class"), "n": own.column("n"), "vector": pa.array(_packed(x[few]), pa.binary())})
+
+
+def _filters(batches: Iterator[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in _members(batches, n, least, False):
+        yield batch.select(["filter"])
+
+
+def _members(batches: Iterator[pa.RecordBatch], total: int, least: float, vectors: bool = True) -> Iterator[pa.RecordBatch]:
+    for dim, part, x in _by_dim(batches):
+        code = Code.fitting(total, dim, least)
+        classes, n = part.column("class").to_numpy(), part.column("n").to_numpy()
+        raw = _packed(x)
+        for at in range(0, len(x), 2048):
+            row, number = decode(unit(x[at : at + 2048]), code)
+            row = row + at
+            yield pa.RecordBatch.from_pydict({
+                "filter": _named(number, dim), "class": pa.array(classes[row]), "n": pa.array(n[row]), "vector": pa.array([raw[i] for i in row] if vectors else [None] * len(row), pa.binary()),
+            })
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector in the filter WITH."""
+    for dim, part, x in _by_dim(batches):
+        yield pa.RecordBatch.from_pydict({"filter": _named(np.full(len(x), WITH), dim), "class": part.column("class"), "n": part.column("n"), "vector": pa.array(_packed(x), pa.binary())})
 
 
 class _Union:
@@ -138,7 +215,7 @@ class _Union:
 FOUND = "a long, b long, n long"
 
 
-def _linked(group: pa.Table, least: float, code: Code, wide: bool) -> pa.Table:
+def _linked(group: pa.Table, least: float, total: int, wide: bool) -> pa.Table:
     """For each class, the rows of other classes linked with it here first; links that span what is linked here."""
     number, classes, n = (group.column(c).to_numpy() for c in ("filter", "class", "n"))
     side = group.column("side").to_numpy()
@@ -161,7 +238,7 @@ def _linked(group: pa.Table, least: float, code: Code, wide: bool) -> pa.Table:
         near = near[np.ix_(p, q)]
         one, two = one[p], two[q]
         both = np.union1d(one, two)
-        row, filters = decode(x[both], code)
+        row, filters = decode(x[both], Code.fitting(total, x.shape[1], least)) if here >= 0 else (np.zeros(0, np.int64),) * 2
         early = filters < here
         row, filters = row[early], filters[early]
         names, columns = np.unique(filters, return_inverse=True)
@@ -176,11 +253,11 @@ def _linked(group: pa.Table, least: float, code: Code, wide: bool) -> pa.Table:
             near &= held[place[one]] @ held[place[two]].T == 0
         weight = n[own]
         sums = [(one, near @ weight[two].astype(np.float64))] + ([(two, weight[one].astype(np.float64) @ near)] if across else [])
-        for rows, total in sums:
-            some = np.flatnonzero(total)
+        for rows, more in sums:
+            some = np.flatnonzero(more)
             a_out.append(classes[own[rows[some]]])
             b_out.append(classes[own[rows[some]]])
-            n_out.append(total[some].astype(np.int64))
+            n_out.append(more[some].astype(np.int64))
         sets, kept = _Union(len(own)), []
         for i, js in ((i, np.flatnonzero(near[i])) for i in range(len(one)) if near[i].any()):
             kept += [(one[i], two[j]) for j in js if sets.join(int(one[i]), int(two[j]))]
@@ -193,6 +270,19 @@ def _linked(group: pa.Table, least: float, code: Code, wide: bool) -> pa.Table:
     return pa.table({"a": pa.array(join(a_out)), "b": pa.array(join(b_out)), "n": pa.array(join(n_out))})
 
 
+def _crossed(scarce: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every block of scarce vectors with every block of the other vectors of their length, as groups of two sides."""
+    few = scarce.withColumn("filter", F.col("filter") + (WITH - AMONG) * 100_003)
+    rest = vectors.mapInArrow(_whole, MEMBERS)
+    blocks = lambda rows, name: rows.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    counts = small(stash(blocks(few, "few").join(blocks(rest, "rest"), "filter"), "near_crossed"), HEAVY_BROADCAST)
+    own = lambda name: F.pmod(F.xxhash64("class", F.lit(SEED)), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    few = few.join(counts, "filter").withColumn("i", own("few")).withColumn("j", each("rest")).withColumn("side", F.lit(0))
+    rest = rest.join(counts, "filter").withColumn("j", own("rest")).withColumn("i", each("few")).withColumn("side", F.lit(1))
+    return few.unionByName(rest).select("filter", "class", "n", "vector", F.struct(F.col("filter").alias("f"), "i", "j").alias("g"), "side")
+
+
 def near(rows: DataFrame, id_column: str, vector: str, least: float = 0.95) -> DataFrame:
     """id, n_links, component_id, kept for each row.
 
@@ -202,11 +292,17 @@ def near(rows: DataFrame, id_column: str, vector: str, least: float = 0.95) -> D
     """
     base = stash(keyed(rows, id_column, vector), "near_vectors")
     classes = stash(base.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.first("vector").alias("vector")), "near_classes")
-    code = Code.fitting(classes.count())
+    total = classes.count()
     wide = "double" in dict(classes.dtypes)["vector"]
     vectors = classes.select("class", "n", "vector")
-    members = vectors.mapInArrow(lambda b: _members(b, code), MEMBERS)
-    sizes = stash(vectors.mapInArrow(lambda b: _filters(b, code), "filter long").groupBy("filter").agg(F.count(F.lit(1)).alias("count")), "near_filters")
+    fewest = SCARCE
+    scarce = stash(vectors.mapInArrow(lambda b: _scarce(b, total, least, fewest), MEMBERS), "near_scarce")
+    some = scarce.limit(1).count() > 0
+    if some:
+        vectors = vectors.join(small(scarce.select("class"), HEAVY_BROADCAST), "class", "left_anti").select("class", "n", "vector")
+    members = vectors.mapInArrow(lambda b: _members(b, total, least), MEMBERS).unionByName(scarce)
+    named = vectors.mapInArrow(lambda b: _filters(b, total, least), "filter long").unionByName(scarce.select("filter"))
+    sizes = stash(named.groupBy("filter").agg(F.count(F.lit(1)).alias("count")), "near_filters")
     heavy = sizes.where(F.col("count") > BLOCK).select("filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     heavy = small(heavy, HEAVY_BROADCAST)
     parts = max(1, (sizes.agg(F.sum("count")).first()[0] or 0) // GROUP)
@@ -219,7 +315,9 @@ def near(rows: DataFrame, id_column: str, vector: str, least: float = 0.95) -> D
         F.struct(F.col("filter").alias("f"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     placed = placed.select("filter", "class", "n", "vector", group.alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    found = stash(placed.groupBy("g").applyInArrow(lambda t: _linked(t, least, code, wide), FOUND), "near_links")
+    if some:
+        placed = placed.unionByName(_crossed(scarce, vectors))
+    found = stash(placed.groupBy("g").applyInArrow(lambda t: _linked(t, least, total, wide), FOUND), "near_links")
     linked = found.where("a = b").groupBy("a").agg(F.sum("n").alias("more"))
     graph = stash(components(found.where("a <> b")), "near_components")
     known = classes.select("class", "n", "first").join(linked, F.col("class") == F.col("a"), "left").join(graph, F.col("class") == F.col("id"), "left")

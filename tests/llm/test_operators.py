@@ -301,6 +301,32 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize(("n", "dim", "fall"), [(100_000, 64, 0), (1_000_000, 64, 0), (1_000_000, 64, 0.5), (1_000_000, 16, 0)])
+def test_filters_for_many_vectors(n, dim, fall):
+    """Pairs at cosine 0.95 share a filter or have a vector in few, whatever n and the fall of energy over the dimensions."""
+    r, m, code = np.random.default_rng(5), 2000, near_vectors.Code.fitting(n, dim, 0.95)
+    x, y = near_vectors.unit(r.standard_normal((2, m, dim)).reshape(2 * m, dim) / (1 + np.arange(dim)) ** fall).reshape(2, m, dim)
+    y = near_vectors.unit(y - (x * y).sum(1, keepdims=True) * x)
+    (a, f), (b, g) = near_vectors.decode(x, code), near_vectors.decode(0.95 * x + math.sqrt(1 - 0.95**2) * y, code)
+    shared = np.bincount(np.array([i for i, _ in set(zip(a.tolist(), f.tolist(), strict=True)) & set(zip(b.tolist(), g.tolist(), strict=True))]), minlength=m)
+    scarce = np.minimum(np.bincount(a, minlength=m), np.bincount(b, minlength=m)) < near_vectors.SCARCE
+    assert ((shared > 0) | scarce).mean() >= 0.999 and scarce.mean() < 0.02 and 17 < shared.mean() < 24
+
+
+def test_near_vectors_in_few_filters(spark, monkeypatch):
+    x, flat = vectors(300, 6), np.random.default_rng(7).standard_normal((150, 3)).astype(np.float32)
+    rows = [(i, [float(v) for v in v]) for i, v in enumerate(x)] + [(1000 + i, [float(v) for v in v]) for i, v in enumerate(flat)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {}
+    for first, own in ((0, x), (1000, flat)):
+        y = near_vectors.unit(own)
+        want |= {first + i: int(k) - 1 for i, k in enumerate((y @ y.T >= 0.95).sum(1))}
+    for fewest, block in ((10, 4096), (32, 4096), (32, 32)):  # few and about half of the vectors are compared with all
+        monkeypatch.setattr(near_vectors, "SCARCE", fewest)
+        monkeypatch.setattr(near_vectors, "BLOCK", block)
+        assert {r.vec_id: r.n_links for r in near_vectors.near(df, "vec_id", "embedding").collect()} == want
+
+
 def test_nearest(spark):
     x = vectors(1500, 2)
     rows, bad = rows_of(x)
