@@ -3,7 +3,8 @@
 Different vectors are dealt to shards by a hash; equal ones are one node with the smallest ids of its rows. A shard's graph
 is built in batches: all of a batch search the graph so far together, then get their links. Vectors, links and levels are
 flat arrays, a row of a table for each shard. Every block of queries is searched in every shard, and the shards' results,
-measured again in double precision on the original vectors, are merged by rank.
+measured again in double precision on the original vectors, are merged by rank. A graph's vectors are scaled by one power of
+two; where magnitudes lie too far apart for squares in single precision, a query is compared with all of the shard.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHARD, QUERIES = 8192, 1024
 #: Links of a node (twice as many on the ground level), candidates when building and when searching.
 LINKS, BUILD, SEARCH = 16, 96, 160
 BATCH = 512
+#: Largest ratio of magnitudes whose squares single precision holds.
+RANGE = 1e15
 SEED = 99
 
 
@@ -189,13 +192,29 @@ def nearest(graph: Graph, queries: np.ndarray, k: int, width: int = SEARCH) -> t
     return ids[:, :k], far[:, :k]
 
 
+def _exponent(x: np.ndarray) -> int:
+    """Of the power of two over the largest magnitude."""
+    return int(np.frexp(np.abs(x).max(initial=0))[1])
+
+
+def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each row of x to v, in double precision without overflow or underflow of squares; inf if beyond a double itself."""
+    with np.errstate(over="ignore"):
+        gap, twice = np.abs(x - v), 1.0
+        if not np.isfinite(gap).all():
+            gap, twice = np.abs(x / 2 - v / 2), 2.0
+        most = gap.max(1, initial=0)
+        power = np.where((most > 0) & ((most < 1e-140) | (most > 1e140)), np.frexp(most)[1], 0)
+        return np.ldexp(np.sqrt((np.ldexp(gap, -power[:, None]) ** 2).sum(1)), power) * twice
+
+
 INDEX = "dim int, shard int, ids array<array<long>>, vectors binary, levels int, links binary, top binary, entry long"
 
 
 def _index(group: pa.Table) -> pa.Table:
     group = group.sort_by("class").combine_chunks()
     x = stacked(group.column("vector").combine_chunks())
-    g = build(x.astype(np.float32), group.column("class").to_numpy())
+    g = build(np.ldexp(x, -_exponent(x)).astype(np.float32), group.column("class").to_numpy())
     return pa.table({
         "dim": group.column("dim")[:1], "shard": group.column("shard")[:1], "ids": pa.array([group.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
         "vectors": pa.array([x.astype(np.float64).tobytes()], pa.binary()), "levels": pa.array([len(g.links)], pa.int32()),
@@ -210,7 +229,7 @@ def _load(row: dict) -> tuple[Graph, np.ndarray]:
         width = LINKS * 2 if lv == 0 else LINKS
         links.append(flat[at : at + len(x) * width].reshape(len(x), width))
         at += len(x) * width
-    return Graph(x.astype(np.float32), links, np.frombuffer(row["top"], np.int8), row["entry"]), x
+    return Graph(np.ldexp(x, -_exponent(x)).astype(np.float32), links, np.frombuffer(row["top"], np.int8), row["entry"]), x
 
 
 def _smallest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -254,13 +273,20 @@ def _searched(k: int, shards: pa.Table, blocks: pa.Table) -> pa.Table:
     for row in shards.to_pylist() if blocks.num_rows else ():
         graph, exact = _load(row)
         ids, names = blocks.column("id").to_numpy(), row["ids"]
-        x = stacked(blocks.column("vector").combine_chunks())
+        x, scale = stacked(blocks.column("vector").combine_chunks()), -_exponent(exact)
+        apart = np.ldexp(np.abs(exact).max(1), scale).min() < 1 / RANGE
         for at in range(0, len(ids), 256):
             part = x[at : at + 256]
-            nodes, _ = nearest(graph, part.astype(np.float32), k + 1)
-            for q, near, v in zip(ids[at : at + 256], nodes, part, strict=True):
-                near = near[near >= 0]
-                d = np.sqrt(((exact[near] - v) ** 2).sum(1))
+            with np.errstate(over="ignore"):
+                scaled = np.ldexp(part, scale)
+            every = apart | (np.abs(scaled).max(1) > RANGE)
+            nodes, _ = nearest(graph, np.where(every[:, None], 0, scaled).astype(np.float32), k + 1)
+            for q, near, v, whole in zip(ids[at : at + 256], nodes, part, every, strict=True):
+                near = np.arange(len(exact)) if whole else near[near >= 0]
+                d = _distances(exact[near], v)
+                if whole:
+                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+                    d = d[near]
                 best = sorted((dist, i) for dist, node in zip(d.tolist(), near, strict=True) for i in names[node] if i != q)[:k]
                 query += [int(q)] * len(best)
                 found += [i for _, i in best]

@@ -346,3 +346,21 @@ def test_nearest(spark):
     assert [i for _, i, _ in sorted(got[60])] == [1, *range(61, 70)]  # equal vectors, the smaller ids first
     assert hnsw.search(df.where("vec_id = 20"), "vec_id", "embedding", every=20).count() == 0
     assert len(hnsw.search(df.where("vec_id in (20, 21, 22)"), "vec_id", "embedding", every=20).collect()) == 2
+
+
+@pytest.mark.parametrize("scales", [(1e-30,), (1e25,), (1, 1e25), (1, 1e-30), (1e-200, 1, 1e200), (5e-324 * 2**60, 1e308 / 64)])
+def test_nearest_of_any_magnitude(scales):
+    """A shard with vectors of one or several magnitudes, as _index and _searched see it, against brute force."""
+    r, n = np.random.default_rng(4), 300
+    x = r.standard_normal((n, 8)) * np.array(scales)[np.arange(n) % len(scales)][:, None]
+    table = hnsw.pa.table({"dim": hnsw.pa.array([8] * n, hnsw.pa.int32()), "shard": hnsw.pa.array([0] * n, hnsw.pa.int32()), "class": np.arange(n), "ids": [[i] for i in range(n)], "vector": hnsw.pa.array(x.tolist(), hnsw.pa.list_(hnsw.pa.float64()))})
+    asked = hnsw.pa.table({"id": np.arange(0, n, 7), "vector": hnsw.pa.array(x[::7].tolist(), hnsw.pa.list_(hnsw.pa.float64()))})
+    got = hnsw._searched(5, hnsw._index(table), asked).to_pandas()
+    hits = 0
+    for q in range(0, n, 7):
+        d = [math.dist(x[q], v) for v in x]
+        want = sorted((e, i) for i, e in enumerate(d) if i != q)[:5]
+        own = got[got.query_id == q]
+        assert len(own) == 5 and np.allclose(own.score, [d[i] for i in own.vec_id], rtol=1e-12, atol=0)
+        hits += len({i for _, i in want} & set(own.vec_id))
+    assert hits >= 0.97 * 5 * len(range(0, n, 7))
