@@ -6,14 +6,16 @@ rebalancing edits that table: only the records of slots that it reassigns move.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import new_path, small, stash
+from quantloom.llm.shared import new_path, repeated, small, stash
 
 SLOTS = 4096
-#: Rows of a slot are numbered in so many parts, so that a slot with many rows isn't one task's work.
-PARTS = 8
+#: Different rows of a slot are numbered in parts of about so many, so that a slot with many rows isn't one task's work.
+PART_ROWS = 100_000
 
 
 def slot_of(key, slots: int = SLOTS):
@@ -21,21 +23,33 @@ def slot_of(key, slots: int = SLOTS):
     return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
+def _grown(shard_of: list[int], shards: int) -> list[int]:
+    """With one more shard: each of the old ones gives up the same share of its slots, told by a hash, to the new one only."""
+    held: dict[int, list[int]] = {}
+    for slot in sorted(range(len(shard_of)), key=lambda slot: hashlib.md5(str(slot).encode()).hexdigest()):
+        held.setdefault(shard_of[slot], []).append(slot)
+    new = {slot for own in held.values() for slot in own[: len(own) // (shards + 1)]}
+    return [shards if slot in new else k for slot, k in enumerate(shard_of)]
+
+
+def _as_map(spark: SparkSession, shard_of: list[int], version: int) -> DataFrame:
+    shards = F.split(F.lit(",".join(map(str, shard_of))), ",").cast("array<int>")
+    return spark.range(len(shard_of)).select(F.col("id").cast("int").alias("vslot"), F.element_at(shards, (F.col("id") + 1).cast("int")).alias("shard"), F.lit(version).alias("version"))
+
+
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Version 1 of the map: slot, shard, version. Slots are dealt round robin."""
-    return spark.range(slots).select(F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard"), F.lit(1).alias("version"))
+    """Version 1 of the map: vslot, shard, version. It is grown from a single shard, so that a slot's shard depends on the
+    number of shards alone, however a store came to it."""
+    shard_of = [0] * slots
+    for n in range(1, shards):
+        shard_of = _grown(shard_of, n)
+    return _as_map(spark, shard_of, 1)
 
 
 def grown_map(slot_map: DataFrame, shards: int) -> DataFrame:
-    """The next version with one more shard: each of the old ones gives up the same share of its slots, to the new one only.
-
-    Which slots go is decided by a hash of the slot number, so that a row's shard depends on its key and the count alone.
-    """
-    by = Window.partitionBy("shard").orderBy(F.md5(F.col("vslot").cast("string")))
-    share = F.floor(F.count(F.lit(1)).over(Window.partitionBy("shard")) / F.lit(shards + 1))
-    return slot_map.select(
-        "vslot", F.when(F.row_number().over(by) <= share, F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"), (F.col("version") + 1).alias("version")
-    )
+    """The next version with one more shard. The map has SLOTS rows, whatever the input's size; it is edited on the driver."""
+    rows = sorted(slot_map.select("vslot", "shard", "version").collect())
+    return _as_map(slot_map.sparkSession, _grown([r.shard for r in rows], shards), max((r.version for r in rows), default=0) + 1)
 
 
 def slot_bytes(sized: DataFrame) -> DataFrame:
@@ -66,7 +80,8 @@ def rebalanced_map(slot_map: DataFrame, stats: DataFrame, tolerance: float = 0.0
         total[full] -= b
         total[empty] += b
     version = max((r.version for r in rows), default=0) + 1
-    return slot_map.sparkSession.createDataFrame([(s, k, version) for k, v in held.items() for s in v], "vslot int, shard int, version int")
+    shard_of = {s: k for k, v in held.items() for s in v}
+    return _as_map(slot_map.sparkSession, [shard_of[s] for s in sorted(shard_of)], version)
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
@@ -78,31 +93,32 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("vslot int, shard int, version int").parquet(path).where(F.col("version") == version)
 
 
-def shard(rows: DataFrame, key: str, size, crc, shards: int, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def shard(rows: DataFrame, key: str, size, crc, shards: int, slots: int = SLOTS, map_path: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard, vslot, slot_bytes for every row.
 
-    size and crc are columns over rows. slot numbers the rows of a shard from 0 without a gap; rows with equal keys follow
-    each other by crc and size. Null keys share one slot; an empty table gives no rows; other columns are not looked at.
+    size and crc are columns over rows. slot numbers the rows of a shard from 0 without a gap. Rows of equal key, crc and
+    size are counted first and numbered in one run, so neither a repeated row nor a null key (all of them share one slot)
+    is one task's work. Texts come in as size and crc alone, so very long ones cost nothing here. An empty table gives no
+    rows; other columns are not looked at.
     """
     spark = rows.sparkSession
-    base = stash(rows.select(F.col(key).alias("k"), size.cast("long").alias("size"), crc.cast("long").alias("crc"), slot_of(F.col(key), slots).alias("vslot")), "sharding")
-    base = base.withColumn("part", F.pmod(F.col("crc"), F.lit(PARTS)).cast("int"))
+    base = rows.select(F.col(key).alias("k"), size.cast("long").alias("size"), crc.cast("long").alias("crc"), slot_of(F.col(key), slots).alias("vslot"))
+    base = stash(base.groupBy("vslot", "k", "crc", "size").agg(F.count(F.lit(1)).alias("n")), "sharding")
     map_path = map_path or new_path(spark, "slot_map")
     store_map(first_map(spark, shards, slots), map_path)
     store_map(grown_map(load_map(spark, map_path, 1), shards), map_path)
     maps = load_map(spark, map_path, 1).join(F.broadcast(load_map(spark, map_path, 2).select("vslot", F.col("shard").alias("grown_shard"))), "vslot").drop("version")
-    # slots * PARTS rows at most, whatever the input's size
-    counts = base.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).join(F.broadcast(maps), "vslot")
+    # a row for each slot
+    parts = base.groupBy("vslot").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"), F.sum(F.col("n") * F.col("size")).alias("slot_bytes"))
+    base = base.join(small(parts, slots), "vslot").withColumn("part", F.pmod(F.xxhash64("k", "crc", "size"), F.col("parts")).cast("int"))
+    counts = base.groupBy("vslot", "part").agg(F.sum("n").alias("n")).join(F.broadcast(maps), "vslot")
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("vslot", "part", "shard", "grown_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"), F.sum("b").over(Window.partitionBy("vslot")).alias("slot_bytes"))
-    within = Window.partitionBy("vslot", "part").orderBy(F.col("k").asc_nulls_last(), "crc", "size")
-    return (
-        base.withColumn("at", F.row_number().over(within) - 1)
-        .join(small(counts, slots * PARTS), ["vslot", "part"])
-        .select(
-            F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
-            (F.col("from") + F.col("at")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes",
-        )
+    counts = counts.select("vslot", "part", "shard", "grown_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    within = Window.partitionBy("vslot", "part").orderBy(F.col("k").asc_nulls_last(), "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = base.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(small(counts, slots * 8), ["vslot", "part"])
+    return repeated(placed, "n", "copy").select(
+        F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
+        (F.col("from") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes",
     )
 
 

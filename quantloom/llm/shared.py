@@ -70,6 +70,17 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def repeated(df: DataFrame, n: str, k: str, run: int = 10_000) -> DataFrame:
+    """Each row as often as its column n says, numbered from 0 in column k; n is dropped. Rows of more than run repeats are
+    dealt over the tasks in runs of so many."""
+    rest = [c for c in df.columns if c != n]
+    count, first = F.col(n).cast("long"), F.lit(0).cast("long")
+    few = df.where(count.between(1, run)).select(*rest, F.explode(F.sequence(first, count - 1)).alias(k))
+    runs = df.where(count > run).select(*rest, count.alias("__n"), F.explode(F.sequence(first, count - 1, F.lit(run).cast("long"))).alias("__from")).repartition(F.xxhash64("__from", *rest))
+    many = runs.select(*rest, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + run, F.col("__n")) - 1)).alias(k))
+    return few.unionByName(many)
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if it has no more than limit rows; otherwise Spark shuffles, splitting skewed partitions."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
