@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import WORD, let, small, stash, uniform
+from quantloom.llm.shared import WORD, let, repeated, small, stash, uniform
 
 FAN = 64
 SEED = 20240601
@@ -83,21 +83,25 @@ def mix(sized: DataFrame, fan: int = FAN, **plan) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies from doc_id (bigint), source, size.
 
     Copies are 0, 1 or 2 and depend on the rows alone, so reruns agree. A source's words come within half of one of its
-    records of its target. A null source is a source; a null doc_id is an id; records of no words take 0; repeated rows are
-    rounded each for itself; an empty table gives no rows.
+    records of its target. A null source is a source; a null doc_id is an id; records of no words take 0; an empty table
+    gives no rows; texts of any length come in as their size. Repeated rows are rounded each for itself: they are counted
+    first and numbered, so a third of all rows without an id are dealt over blocks like any others. Other columns are not
+    looked at.
     """
-    sized = stash(sized.select("doc_id", "source", F.col("size").cast("long").alias("size")), "mix")
-    dims = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n")), **plan), "mix_targets")
+    sized = sized.select("doc_id", "source", F.col("size").cast("long").alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sized = stash(sized, "mix")
+    sums = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n"))
+    dims = stash(targets(sums, **plan), "mix_targets")
     dims = dims.withColumn("rate", F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0)))
     dims = dims.withColumn("whole", F.floor(F.col("rate") + EPS)).withColumn("frac", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     dims = dims.withColumn("blocks", F.greatest(F.ceil(F.col("n") / fan), F.lit(1)))
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("s"))
     dims = dims.withColumn("key", key).drop("source")
-    rows = sized.withColumn("key", key).join(small(dims, SOURCES_BROADCAST), "key")
+    rows = repeated(sized, "n", "again").withColumn("key", key).join(small(dims, SOURCES_BROADCAST), "key")
     split = (F.col("size") > 0) & (F.col("frac") > EPS)
     shown = ["doc_id", "source", "size", "source_size", "target"]
-    h = F.xxhash64(F.lit(SEED), "doc_id", "size")
-    units = rows.where(split).select("source", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "size"), F.col("blocks")).alias("block"), F.struct(F.col("size").cast("double").alias("s"), F.col("doc_id").alias("id"), h.alias("h"), F.col("frac").alias("p")).alias("u"))
+    h = F.xxhash64(F.lit(SEED), "doc_id", "size", "again")
+    units = rows.where(split).select("source", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "size", "again"), F.col("blocks")).alias("block"), F.struct(F.col("size").cast("double").alias("s"), F.col("doc_id").alias("id"), h.alias("h"), F.col("frac").alias("p")).alias("u"))
     most = dims.agg(F.max("blocks")).first()[0] or 1
     decided = []
     while True:
@@ -110,7 +114,7 @@ def mix(sized: DataFrame, fan: int = FAN, **plan) -> DataFrame:
     decided.append(level.select("source", "res.id", "res.s", F.round("res.p").cast("long").alias("c")))
     done = reduce(DataFrame.unionByName, decided).select(F.col("id").alias("doc_id"), "source", F.col("s").cast("long").alias("size"), "c")
     done = done.withColumn("key", key).join(small(dims, SOURCES_BROADCAST), "key").select(*shown, (F.col("whole") + F.col("c")).alias("copies"))
-    plain = rows.where(~split).select(*shown, F.col("whole").alias("copies"))
+    plain = rows.where(~split).select(*shown, F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))
     return done.unionByName(plain).select(*shown, (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
 
 
