@@ -122,20 +122,20 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 class Node:
-    """Sets of a part of a tree: combined bitmap, sizes' range, most tokens that share a bit, component if there is one."""
+    """Sets of a part of a tree: combined bitmap, sizes' range, most tokens that share a bit with others of their set."""
 
-    __slots__ = ("bits", "children", "component", "excess", "high", "low", "rows", "sets")
+    __slots__ = ("bits", "children", "excess", "high", "low", "n", "rows", "sets")
 
-    def __init__(self, rows=None, sets=None, children=()):
-        self.rows, self.sets, self.children, self.component = rows, sets, children, None
+    def __init__(self, rows=None, sets=None, n=None, children=()):
+        self.rows, self.sets, self.n, self.children = rows, sets, n, children
 
     @staticmethod
     def leaf(rows: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray]) -> Node:
         words = min(len(bitmaps[i]) for i in rows)
-        node = Node(rows, np.stack([folded(bitmaps[i], words) for i in rows]))
+        node = Node(rows, np.stack([folded(bitmaps[i], words) for i in rows]), sizes[rows])
         node.bits = np.bitwise_or.reduce(node.sets, axis=0)
-        node.low, node.high = int(sizes[rows].min()), int(sizes[rows].max())
-        node.excess = sizes[rows] - np.bitwise_count(node.sets).sum(1)
+        node.low, node.high = int(node.n.min()), int(node.n.max())
+        node.excess = {words: int((node.n - np.bitwise_count(node.sets).sum(1)).max())}
         return node
 
     @staticmethod
@@ -144,9 +144,25 @@ class Node:
         words = min(len(c.bits) for c in children)
         node.bits = reduce(np.bitwise_or, (folded(c.bits, words) for c in children))
         node.low, node.high = min(c.low for c in children), max(c.high for c in children)
-        node.excess = np.array([node.high])
+        node.excess = {}
+        node.excess_at(words)
         return node
 
+    def excess_at(self, words: int) -> int:
+        """The most tokens of a set here that share a bit with others of it, in bitmaps folded to so many words."""
+        if words not in self.excess:
+            if self.rows is None:
+                self.excess[words] = max(c.excess_at(words) for c in self.children)
+            else:
+                self.excess[words] = int((self.n - np.bitwise_count(folded(self.sets, words)).sum(1)).max())
+        return self.excess[words]
+
+    def most(self, other: Node) -> int:
+        """The largest overlap that a set here and one there can have: common bits, and tokens that share one."""
+        words = min(len(self.bits), len(other.bits))
+        common = int(np.bitwise_count(folded(self.bits, words) & folded(other.bits, words)).sum())
+        return common + min(self.excess_at(words), other.excess_at(words))
+
 
 def tree(sizes: np.ndarray, bitmaps: list[np.ndarray], order: np.ndarray) -> Node | None:
     nodes = [Node.leaf(order[i : i + LEAF], sizes, bitmaps) for i in range(0, len(order), LEAF)]
@@ -190,15 +206,10 @@ def traverse(one: Node, two: Node, sizes: np.ndarray, sets: Sets, least: int, vi
         return out
 
     def apart(a: Node, b: Node) -> bool:
-        if a.low * 100 < b.low * least and a.high * 100 < b.low * least or b.high * 100 < a.low * least:
+        if a.high * 100 < b.low * least or b.high * 100 < a.low * least:
+            return True
+        if a.most(b) * (100 + least) < least * (a.low + b.low):
             return True
-        needed = need(max(a.low, b.low), least)
-        if a.rows is not None and b.rows is not None:
-            words = min(a.sets.shape[1], b.sets.shape[1])
-            if words == a.sets.shape[1] == b.sets.shape[1]:
-                most = np.bitwise_count(a.bits & b.bits).sum() + min(a.excess.max(), b.excess.max())
-                if most < needed:
-                    return True
         both = components_of(a)
         return len(both) == 1 and both == components_of(b)
 
@@ -235,7 +246,7 @@ def _linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return 100 * common >= least * (len(a) + len(b) - common)
 
 
-SETS = "doc_id long, n long, class long, tokens binary, keys array<long>"
+SETS = "n long, class long, tokens binary, keys array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -345,7 +356,8 @@ def _bucket_pairs(group: pa.Table, sets: pa.Table, least: int) -> pa.Table:
 
     A bucket's hash has a place in each set's order (pos). If it is the first that a pair has in common, no more than what
     follows it can be common. And beyond the prefix that ends first in the order (last), no more than the rest of that set
-    can be, besides hashes of both prefixes, of which a set has shared ones at most. Buckets of a leaf's size need no tree.
+    can be, besides hashes of both prefixes, of which a set has shared ones at most. A bucket of a leaf's size is a tree of one
+    leaf; the pairs of all such leaves are compared together.
     """
     group = group.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending"), ("class", "ascending")])
     columns = [group.column(c).to_numpy() for c in ("token", "i", "j", "side", "class")]
@@ -528,15 +540,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int, few: int) -> DataFr
 
 
 def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of doc_id, text.
+    """doc_id, n_shingles, component_id for each row of doc_id, text. doc_id may be of any type that has an order.
 
     Texts that are null, empty or without words have no shingles and are their own component. Texts with equal sets are in
     one component; repeated rows give repeated rows; an empty table gives none; other columns are not looked at. Sizes count
     64-bit hashes, classes are named by one and sets are compared on 48 bits of each, so two different shingles
     of a pair of sets of 20,000 are taken for one in about one of a million pairs.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stash(rows.mapInArrow(lambda b: _sets(b, words), SETS), "jaccard_sets")
+    rows = docs.select("doc_id", "text")
+    sets = stash(rows.mapInArrow(lambda b: _sets(b, words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SETS}"), "jaccard_sets")
     few = parts_for(sets.count())
     graph = stash(components(_copied_links(sets, least, few)), "jaccard_graph", few)
     more = _remaining_links(sets, graph, least, few)
@@ -551,4 +563,4 @@ def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked by 0.75 or more of their 5-word shingles."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long")))
