@@ -66,9 +66,61 @@ def test_words(spark):
     assert [r[0] for r in df.select(mixing.words(F.col("text"))).collect()] == [0, 0, 0, 3, 2]
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows without an id and of one size are dealt over blocks; long runs of repeats over tasks."""
+    same = spark.range(12_500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).alias("size"))
+    out = mixing.mix(same.unionByName(spark.range(500).selectExpr("id AS doc_id", "'b' AS source", "id AS size")), share=0.5).toPandas()
+    by = out.groupby("source").agg(rows=("taken", "size"), taken=("taken", "sum"), target=("target", "first"))
+    assert list(by.rows) == [12_500, 500] and abs(by.taken["a"] - by.target["a"]) <= 5 and abs(by.taken["b"] - by.target["b"]) <= 250
+    assert 0 < out[out.source == "a"].copies.mean() < 1
+
+
 # ---- sharding
 
 
+def plain_map(shards, slots):
+    """The map grown shard by shard, by the rule in words: each old shard gives floor(own / (n + 1)) slots, by MD5."""
+    held = {0: sorted(range(slots), key=lambda s: hashlib.md5(str(s).encode()).hexdigest())}
+    for n in range(1, shards):
+        given = [s for k in range(n) for s in held[k][: len(held[k]) // (n + 1)]]
+        held = {k: own[len(own) // (n + 1) :] for k, own in held.items()}
+        held[n] = sorted(given, key=lambda s: hashlib.md5(str(s).encode()).hexdigest())
+    return {s: k for k, own in held.items() for s in own}
+
+
+def test_sharding_against_plain_slots(spark):
+    ids = [*range(300), None, -7, None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for shards in (1, 2, 15, 16, 17):
+        got = sharding.shard(df, "doc_id", F.lit(1), F.lit(0), shards).collect()
+        now, grown = plain_map(shards, sharding.SLOTS), plain_map(shards + 1, sharding.SLOTS)
+        for r in got:
+            slot = int(hashlib.md5(str("null" if r.doc_id is None else r.doc_id).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+            assert (r.vslot, r["shard"], r.grown_shard) == (slot, now[slot], grown[slot])
+        assert len(got) == len(ids) and max(now.values()) == shards - 1
+        share = [list(now.values()).count(k) for k in range(shards)]
+        assert max(share) - min(share) <= 0.1 * sharding.SLOTS / shards
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    df = spark.range(2000).withColumnRenamed("id", "doc_id")
+    before = {r.doc_id: r for r in sharding.shard(df, "doc_id", F.lit(1), F.lit(0), 16).collect()}
+    after = {r.doc_id: r["shard"] for r in sharding.shard(df, "doc_id", F.lit(1), F.lit(0), 17).collect()}
+    assert {i: r.grown_shard for i, r in before.items()} == after
+    assert all(after[i] in (r["shard"], 16) for i, r in before.items())
+
+
+def test_sharding_of_hot_keys(spark):
+    """A null key and a repeated row hold two thirds of all rows; a slot's parts are numbered without a gap."""
+    rows = spark.range(36_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 5).alias("doc_id"), F.when(F.col("id") % 3 == 1, 1).otherwise(F.col("id")).alias("crc"))
+    out = sharding.shard(rows, "doc_id", F.lit(3), F.col("crc"), 16, part_rows=500).toPandas()
+    assert len(out) == 36_000 and (out["size"] == 3).all()
+    for _, own in out.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    for _, own in out[out.doc_id.isna() | (out.doc_id == 5)].groupby("vslot"):
+        assert (own.slot_bytes == 3 * len(out[out.vslot == own.vslot.iloc[0]])).all()
+
+
 def test_sharding(spark):
     rows = [(i, R.choice([None, "", "x" * 50, prose(9)])) for i in range(700)] + [(None, "n"), (5, "again"), (5, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
