@@ -6,11 +6,11 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bpe, jaccard, langid, mixing, pii
-from quantloom.llm.shared import small, stash
+from quantloom.llm.shared import repeated, small, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids of removed or repeated documents: up to so many are broadcast, beyond it a shuffle joins them.
@@ -24,41 +24,67 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def _content(docs: DataFrame) -> F.Column:
+    """A 64-bit hash of all of a row: rows with an equal one are equal."""
+    return F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id, repeated rows of it once.
+    """One row of each group of linked texts: the first by doc_id (null last), then by a hash of the row.
 
-    Documents with a null doc_id can't be named in a group and stay.
+    Rows that share a doc_id but not their text are judged each by its text; of rows equal in all columns one stays, rows
+    of null or empty texts, which are linked with nothing, included. An empty table gives no rows; other columns go.
     """
-    found = stash(jaccard.join(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays")), "pipeline_groups")
-    kept = docs.join(small(found.where("stays = 0").select("doc_id"), IDS_BROADCAST), "doc_id", "left_anti").select(*COLUMNS)
-    again = found.where("stays = 1 and n > 1").select("doc_id")
+    docs = docs.select(*COLUMNS).withColumn("row", _content(docs))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    found = jaccard.join(docs.select(name.alias("doc_id"), "text"))
+    found = found.groupBy("doc_id").agg(F.first("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = stash(found.select("doc_id.row", (F.col("doc_id.row") == F.col("first.row")).alias("stays"), "n"), "pipeline_groups")
+    kept = docs.join(small(found.where("not stays").select("row"), IDS_BROADCAST), "row", "left_anti")
+    again = found.where("stays and n > 1").select("row")
     if not again.limit(1).count():
-        return kept
+        return kept.select(*COLUMNS)
     again = small(again, IDS_BROADCAST)
-    own = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.coalesce("source", F.lit("")))
-    once = kept.join(again, "doc_id", "left_semi").withColumn("k", F.row_number().over(own)).where("k = 1")
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    once = kept.join(again, "row", "left_semi").groupBy("row").agg(F.first(F.struct(*COLUMNS)).alias("doc")).select("doc.*")
+    return kept.join(again, "row", "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; personal data is replaced by its kind, and n_chars follows the text."""
+    """All documents; personal data is replaced by its kind, and n_chars follows the text.
+
+    A null text stays null and its n_chars as it is; an empty one stays empty; repeated rows and repeated doc_ids are each
+    redacted for itself; very long texts are searched whole; an empty table gives no rows; other columns go.
+    """
     done = pii.redacted(docs.select(*COLUMNS), pii.train(pii.sentences(spark)))
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: not at all, once or twice."""
-    size = mixing.words(F.col("text"))
-    taken = mixing.mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))).where("copies > 0")
-    # repeated rows pair up by number
-    own = Window.partitionBy("key").orderBy("key")
-    numbered = taken.select(F.xxhash64("doc_id", "size", "source").alias("key"), "copies").withColumn("k", F.row_number().over(own))
-    rows = docs.select(*COLUMNS).withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), size, "source")).withColumn("k", F.row_number().over(own))
-    return rows.join(numbered, ["key", "k"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Each document as often as the mix of sources takes it: not at all, once or twice.
+
+    Rows are told apart by a hash of all columns. Rows equal in all of them are rounded each for itself and come as often
+    as all of them are taken, from one of them. A null source is a source; texts of no words, null ones included, are taken
+    0 times; an empty table gives no rows; other columns go.
+    """
+    docs = docs.select(*COLUMNS).withColumn("row", _content(docs))
+    taken = mixing.mix(docs.select(F.col("row").alias("doc_id"), "source", mixing.words(F.col("text")).alias("size")))
+    taken = taken.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0").withColumnRenamed("doc_id", "row")
+    taken = stash(taken, "pipeline_taken")
+    out = docs.join(taken.where("n = 1").select("row", "copies"), "row")
+    again = taken.where("n > 1").select("row", "copies")
+    if again.limit(1).count():
+        ids = small(again.select("row"), IDS_BROADCAST)
+        once = docs.join(ids, "row", "left_semi").groupBy("row").agg(F.first(F.struct(*COLUMNS)).alias("doc")).select("row", "doc.*")
+        out = out.unionByName(once.join(again, "row"))
+    return repeated(out, "copies", "copy", run=100).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the token ids and the decoded text of each row."""
+    """doc_id, n_tokens and digests of the token ids and the decoded text of each row.
+
+    Null and empty texts have no tokens; repeated rows come repeated; very long texts are encoded by pieces and whole; an
+    empty table gives no rows; other columns are not looked at.
+    """
     return bpe.encode(docs, bpe.tokenizer_path())
 
 
