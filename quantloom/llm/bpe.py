@@ -17,12 +17,12 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import stash
+from quantloom.llm.shared import freed, freed_group, spread, stash
 
 #: Characters beyond which a text is cut in halves.
 LEAF = 1 << 15
 #: Entries of a cache, which is emptied when full, and the longest text in it.
-CACHE, CACHED_CHARS = 150_000, 40
+CACHE, CACHED_CHARS = 60_000, 40
 #: Characters on each side of a join that are encoded again at first.
 WINDOW = 64
 
@@ -196,16 +196,18 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of doc_id, text.
 
     Null and empty texts have no tokens; repeated rows give repeated rows; an empty table gives none. Texts up to leaf
-    characters are encoded where they lie. Of longer ones, each piece is a task's row, and their joins follow by document.
+    characters are encoded where they lie. Of longer ones, each piece is a task's row, and their joins follow by document:
+    a task holds one text with its pre-tokens.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text") > leaf, F.lit(False))
-    short = docs.where(~long).mapInArrow(lambda batches: _short(path, batches), f"doc_id long, {RESULT}")
+    short = docs.where(~long).mapInArrow(freed(lambda batches: _short(path, batches)), f"doc_id long, {RESULT}")
     kept = stash(docs.where(long).withColumn("row", F.monotonically_increasing_id()), "bpe_long")
-    pieces = kept.select("row", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf).cast("int"))).alias("k"))
-    pieces = pieces.select("row", "doc_id", "k", F.substring("text", F.col("k") * leaf + 1, F.lit(leaf)).alias("piece"))
-    encoded = pieces.mapInArrow(lambda batches: _pieces(path, leaf, batches), "row long, doc_id long, k int, piece string, starts array<long>, ends array<long>, ids array<int>")
-    joined = encoded.groupBy("row").applyInArrow(lambda group: _concatenated(path, leaf, group), f"doc_id long, {RESULT}")
+    # one pass cuts a text, however long: each match is the next piece
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{leaf}}}"), F.lit(0))
+    pieces = kept.select("row", "doc_id", F.posexplode(cut).alias("k", "piece"))
+    encoded = pieces.mapInArrow(freed(lambda batches: _pieces(path, leaf, batches)), "row long, doc_id long, k int, piece string, starts array<long>, ends array<long>, ids array<int>")
+    joined = encoded.groupBy("row").applyInArrow(freed_group(lambda group: _concatenated(path, leaf, group)), f"doc_id long, {RESULT}")
     return short.unionByName(joined)
 
 
@@ -217,4 +219,4 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, encoded and decoded."""
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), tokenizer_path())

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
-from quantloom.llm.shared import parts_for, stash, tidy
+from quantloom.llm.shared import freed, freed_group, parts_for, spread, stash, tidy
 
 WORDS, LEAST = 5, 75
 #: Bytes of a stored hash; sizes are counted on all eight.
 TOKEN = 6
 KEYS = 2
+#: Classes that a task remembers, so as to send their sets once; beyond it a set may be sent again.
+SEEN = 200_000
 #: Sets in a leaf of a tree, children of a node; sets in a block of a bucket; rows of a task's group.
 LEAF, FAN, BLOCK, GROUP = 16, 8, 1024, 2000
 #: A Bloom filter over hashes or classes that take part: bits for each, and at most so many, which only saves shuffling.
@@ -51,19 +53,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, modulo 2**64, as many as any text has needed."""
+    """Powers of the base and of its inverse, modulo 2**64; those that most texts need are kept."""
 
+    KEPT = 1 << 16
     up = down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def of(base: np.uint64, n: int) -> np.ndarray:
+        ones = np.full(n, base, np.uint64)
+        ones[:1] = 1
+        return np.cumprod(ones, dtype=np.uint64)
+
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            ones = np.ones(size, np.uint64)
-            ones[1:] = _BASE
-            cls.up = np.cumprod(ones, dtype=np.uint64)
-            ones[1:] = _UNBASE
-            cls.down = np.cumprod(ones, dtype=np.uint64)
+        if n > cls.KEPT:
+            return cls.of(_BASE, n), cls.of(_UNBASE, n)
+        if len(cls.up) < cls.KEPT:
+            cls.up, cls.down = cls.of(_BASE, cls.KEPT), cls.of(_UNBASE, cls.KEPT)
         return cls.up[:n], cls.down[:n]
 
 
@@ -267,7 +273,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                 if name in seen:
                     out.append((len(t), name, None, None))
                 else:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(name)
                     out.append((len(t), name, pack(t), (t[:KEYS] >> np.uint64(64 - 8 * TOKEN)).astype(np.int64).tolist()))
             n, name, tokens, keys = zip(*out, strict=True)
@@ -292,7 +298,7 @@ class Bloom:
                 yield pa.RecordBatch.from_pydict({"word": pa.array(p >> 6), "bit": pa.array(np.left_shift(np.int64(1), p & 63))})
 
         with tidy(values.sparkSession):
-            got = values.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+            got = values.mapInArrow(freed(words), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
         table = np.zeros(bits >> 6, np.int64)
         table[got["word"].to_numpy()] = got["bit"].to_numpy()
         self.shared = values.sparkSession.sparkContext.broadcast(table)
@@ -321,7 +327,7 @@ def with_sets(rows: DataFrame, sets: DataFrame, as_bitmap: bool = False) -> Data
     """rows, which have a column class, with the class's tokens (or their bitmap) and size n; some rows may come twice."""
     wanted = rows.select("class").distinct()
     bloom = Bloom(wanted, rows.count())
-    found = sets.where(F.col("tokens").isNotNull()).select("class", "n", "tokens").mapInArrow(lambda b: _only(b, bloom, "class", as_bitmap), "class long, n long, tokens binary")
+    found = sets.where(F.col("tokens").isNotNull()).select("class", "n", "tokens").mapInArrow(freed(lambda b: _only(b, bloom, "class", as_bitmap)), "class long, n long, tokens binary")
     return rows.join(found, "class")
 
 
@@ -420,7 +426,7 @@ def _copied_links(sets: DataFrame, least: int, few: int) -> DataFrame:
         placed = stash(rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks"), "jaccard_placed", few)
         parts = max(1, placed.count() // GROUP)
         group = F.pmod(F.xxhash64("key", "block"), F.lit(parts))
-        met = with_sets(placed, sets).withColumn("g", group).groupBy("g").applyInArrow(lambda t: _bucket_links(t, least), "a long, b long")
+        met = with_sets(placed, sets).withColumn("g", group).groupBy("g").applyInArrow(freed_group(lambda t: _bucket_links(t, least)), "a long, b long")
         links.append(stash(met, "jaccard_links"))
         large = sizes.where("blocks > 1").select("key")
         if not large.limit(1).count():
@@ -444,7 +450,7 @@ def _frequent(sets: DataFrame) -> np.ndarray:
             token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_pydict({"token": pa.array(token.astype(np.int64)), "n": pa.array(n)})
 
-    drawn = whole.where(F.pmod("class", F.lit(every)) == 0).select("tokens").mapInArrow(counted, "token long, n long")
+    drawn = whole.where(F.pmod("class", F.lit(every)) == 0).select("tokens").mapInArrow(freed(counted), "token long, n long")
     most = drawn.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST)
     return np.sort(most.toArrow()["token"].to_numpy().astype(np.uint64))
 
@@ -487,14 +493,14 @@ def _exploded(batches: Iterator[pa.RecordBatch], bloom: Bloom | None) -> Iterato
 def _remaining_links(sets: DataFrame, graph: DataFrame, least: int, few: int) -> DataFrame:
     """Links between components, from the buckets of all prefix tokens that hold several of them."""
     frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-    prefixes = sets.where(F.col("tokens").isNotNull()).select("class", "tokens").mapInArrow(lambda b: _prefixes(b, frequent, least), "class long, size long, last long, prefix binary")
+    prefixes = sets.where(F.col("tokens").isNotNull()).select("class", "tokens").mapInArrow(freed(lambda b: _prefixes(b, frequent, least)), "class long, size long, last long, prefix binary")
     prefixes = prefixes.join(graph, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component", "class").alias("component"), "size", "last", "prefix")
     prefixes = stash(prefixes, "jaccard_prefixes")
-    tokens = prefixes.mapInArrow(lambda b: _exploded(b, None), "token long, component long")
+    tokens = prefixes.mapInArrow(freed(lambda b: _exploded(b, None)), "token long, component long")
     mixed = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "low")
     mixed = stash(mixed, "jaccard_mixed")
     bloom = Bloom(mixed.select("token"), mixed.count())
-    members = prefixes.mapInArrow(lambda b: _exploded(b, bloom), "token long, pos long, class long, component long, size long, last long")
+    members = prefixes.mapInArrow(freed(lambda b: _exploded(b, bloom)), "token long, pos long, class long, component long, size long, last long")
     members = stash(members.join(mixed, "token").distinct(), "jaccard_members")
     sizes = stash(members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard_member_sizes", few)
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
@@ -505,7 +511,7 @@ def _remaining_links(sets: DataFrame, graph: DataFrame, least: int, few: int) ->
     parts = max(1, members.count() // (5 * GROUP))
     met = stash(met.withColumn("g", F.pmod(F.xxhash64("low", "i", "j"), F.lit(parts))).drop("low"), "jaccard_met")
     maps = with_sets(stash(met.select("g", "class").distinct(), "jaccard_maps"), sets, as_bitmap=True)
-    pairs = met.groupBy("g").cogroup(maps.groupBy("g")).applyInArrow(lambda m, t: _bucket_pairs(m, t, least), "a long, b long")
+    pairs = met.groupBy("g").cogroup(maps.groupBy("g")).applyInArrow(freed_group(lambda m, t: _bucket_pairs(m, t, least)), "a long, b long")
     pairs = stash(pairs.distinct(), "jaccard_pairs", few)
     return _verified(pairs, sets, least, few)
 
@@ -536,7 +542,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int, few: int) -> DataFr
         right = [_linked(tokens(a), tokens(b), least) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)]
         return asked.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
 
-    return stash(asked.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(judged, "a long, b long"), "jaccard_more_links", few)
+    return stash(asked.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(freed_group(judged), "a long, b long"), "jaccard_more_links", few)
 
 
 def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -548,7 +554,7 @@ def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     of a pair of sets of 20,000 are taken for one in about one of a million pairs.
     """
     rows = docs.select("doc_id", "text")
-    sets = stash(rows.mapInArrow(lambda b: _sets(b, words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SETS}"), "jaccard_sets")
+    sets = stash(rows.mapInArrow(freed(lambda b: _sets(b, words)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SETS}"), "jaccard_sets")
     few = parts_for(sets.count())
     graph = stash(components(_copied_links(sets, least, few)), "jaccard_graph", few)
     more = _remaining_links(sets, graph, least, few)
@@ -563,4 +569,5 @@ def join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked by 0.75 or more of their 5-word shingles."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return join(spread(docs))

@@ -19,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.llm.shared import freed, spread
+
 ORDER = 4
 #: Expected number of texts of each language from which n-grams are counted, and of those for calibration.
 TRAIN, CALIBRATE = 1500, 400
 #: Symbols that are scored at once.
 CHUNK = 1 << 17
 SEED = 77
-#: Rejection: so many times the largest calibrated excess of cross-entropy.
-MARGIN = 2.0
+#: Rejection: so many times the largest calibrated excess of cross-entropy, of the languages' the median one.
+MARGIN = 3.5
+#: Languages that are learned at most: the most frequent ones, so that stray values of lang don't make the tables grow.
+LANGS = 256
 
 
 @cache
@@ -185,18 +189,20 @@ def train(labelled: DataFrame, train_docs: int = TRAIN, calibrate_docs: int = CA
     """A model from doc_id, text, lang; rows of null text or lang are left out.
 
     n-grams are counted on about train_docs texts of each language, drawn by a hash of doc_id, and calibrated on about
-    calibrate_docs others. Those bounds are the parameters; what comes to the driver grows with them alone.
+    calibrate_docs others, of those the ones whose language is found again. Those bounds are the parameters; what comes to
+    the driver grows with them alone. Rows without a doc_id are drawn all together or not at all.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [], [], [], [], 0.0)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) / float(1 << 53)).alias("u")
     n = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))]), F.col("lang"))
-    drawn = rows.select("text", "lang", u, n.alias("n"))
+    drawn = rows.select("text", "lang", u, n.alias("n")).where(F.col("n").isNotNull())
     edge = F.least(F.col("n") * 0.8, F.lit(float(train_docs))) / F.col("n")
-    grams = drawn.where(F.col("u") < edge).select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    grams = drawn.where(F.col("u") < edge).select("text", "lang").mapInArrow(freed(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     index = {k: i for i, k in enumerate(langs)}
     model = fit(langs, grams["gram"].to_numpy().view(np.uint64), np.array([index[k] for k in grams["lang"].to_pylist()], np.int64), grams["n"].to_numpy().astype(float))
     shared = labelled.sparkSession.sparkContext.broadcast(model)
@@ -207,16 +213,19 @@ def train(labelled: DataFrame, train_docs: int = TRAIN, calibrate_docs: int = CA
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "n": pa.array(count), "h": pa.array(h.tolist(), pa.list_(pa.float64()))})
 
     more = F.least(F.lit(1.0), edge + calibrate_docs / F.col("n"))
-    kept = drawn.where((F.col("u") >= edge) & (F.col("u") < more)).select("text", "lang").mapInArrow(measured, "lang string, n long, h array<double>").toPandas()
+    kept = drawn.where((F.col("u") >= edge) & (F.col("u") < more)).select("text", "lang").mapInArrow(freed(measured), "lang string, n long, h array<double>").toPandas()
     kept = kept[kept.n > 0]
     model.usual, model.excess = np.full(len(langs), np.inf), np.full(len(langs), np.inf)
     if len(kept):
         h, own, count = np.stack(kept.h.to_list()), kept.lang.map(index).to_numpy(), kept.n.to_numpy()
+        right = h.argmin(1) == own  # a wrong label tells nothing about its language
         for i in range(len(langs)):
-            if (own == i).sum() >= 20:
-                mine = h[own == i, i]
+            if (at := right & (own == i)).sum() >= 20:
+                mine = h[at, i]
                 model.usual[i] = np.median(mine)
-                model.excess[i] = max(0.5, ((mine - model.usual[i]) * np.sqrt(np.minimum(count[own == i], 400))).max())
+                model.excess[i] = max(0.5, ((mine - model.usual[i]) * np.sqrt(np.minimum(count[at], 400))).max())
+        if np.isfinite(model.excess).any():  # one odd text doesn't set a language's limit
+            model.excess[np.isfinite(model.excess)] = np.median(model.excess[np.isfinite(model.excess)])
 
         def loss(scale: float) -> float:
             x = -scale * np.sqrt(count)[:, None] * h
@@ -228,11 +237,14 @@ def train(labelled: DataFrame, train_docs: int = TRAIN, calibrate_docs: int = CA
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs with lang_pred, score and rejected; docs has text and any others but these three.
+    """The columns of docs with lang_pred, score and rejected; docs has text. Columns of docs by those three names are
+    replaced, others stay.
 
     A null text, an empty one and one without a letter get `und`, score 0, rejected. A model without languages gives that
-    to every text.
+    to every text. Very long texts are scored whole; equal scores go to the first language by name; repeated rows come
+    repeated; an empty table gives no rows.
     """
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +256,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(freed(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def held_out():
-    """Whether a row's doc_id falls into the fifth that is never learned from."""
+    """Whether a row's doc_id falls into the fifth that is never learned from; a null one doesn't."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
@@ -256,5 +268,5 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    found = identify(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    found = identify(spread(docs.select("doc_id", "text", held_out().alias("held_out"))), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")

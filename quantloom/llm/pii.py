@@ -1,8 +1,9 @@
 """Personal data in texts: fixed patterns, and boosted trees over the spans that wider patterns propose.
 
-Every proposed span becomes a pattern of FEATURES bits from its format and its surroundings. Labelled sentences are counted
-by bit pattern with Spark; the trees are grown on those few counts, calibrated on sentences set aside, and compiled into a
-table from bit pattern to probability, so that scoring stays an array lookup.
+Every proposed span becomes a vector of whole numbers from its format and its surroundings. Labelled windows of documents
+and rule-made sentences are counted by vector with Spark; for each kind, symmetric trees are grown on a part of the counts,
+their threshold is set on a second and their errors are measured on a third. The trees are arrays of features, limits and
+leaves, so scoring is a sum of lookups inside the query.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from __future__ import annotations
 import json
 import math
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import let
+from quantloom.llm.shared import let, spread, stash, uniform
 from quantloom.llm.spans import apart, listed, matches, named, replaced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,9 +42,18 @@ HINTS = {
     "phone": r"phone|\btel|call|mobile|\bfax|ruf|llam|appel",
 }
 DECOYS = "order|invoice|isbn|serial|version|part|ticket|ref|sku|tracking|build|total"
-FEATURES = 10
-LEARNED = 6000
-ROUNDS, RATE, DEPTH = 40, 0.3, 3
+#: Bounds of the labelled sample: rule-made sentences, and expected number of documents whose windows are labelled.
+SENTENCES, DOCS = 3000, 4000
+#: Characters of a window on each side of a span, and those on each side that features look at.
+AROUND, BEFORE, AFTER = 60, 32, 12
+#: Trees of a kind, their step and depth, most limits tried for a feature.
+ROUNDS, RATE, DEPTH, LIMITS = 30, 0.3, 3, 12
+#: Of five parts of the labelled windows, by a hash, one sets the thresholds, one measures the errors, the others are learned.
+FOLDS, SETS_LIMIT, MEASURES = 5, 0, 1
+#: Features of a proposed span: lengths and counts, whether its format is right, the distance from a hint's and a decoy's word
+#: (FAR: none), what it is glued to, and the tenths of digits and letters around.
+FEATURES = ("length", "digits", "right", "kinds_of_digits", "separators", "brackets", "prefix", "hint", "decoy", "glued", "digits_around", "letters_around")
+FAR = 99
 
 
 def digits(s: Column) -> Column:
@@ -72,10 +83,10 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
-def _bits(text: Column, kind: str, m: Column) -> Column:
-    """The bit pattern of a proposed span."""
+def _features(text: Column, kind: str, m: Column) -> Column:
+    """FEATURES of a proposed span, as an array of whole numbers."""
 
-    def pattern(x):
+    def vector(x):
         s, before, after, d = x["s"], x["before"], x["after"], x["d"]
         n = F.length(d)
         if kind == "email":
@@ -86,98 +97,170 @@ def _bits(text: Column, kind: str, m: Column) -> Column:
             right = n.between(13, 19) & luhn(d)
         else:
             right = n.between(10, 13)
-        flags = [
-            right,
-            before.rlike(f"(?i){HINTS[kind]}"),
-            before.rlike(f"(?i){DECOYS}"),
-            before.rlike(r"[A-Za-z0-9_#$/=.-]$") | after.rlike(r"^[A-Za-z0-9_/=-]"),
-            s.rlike(r"^\+|^00"),
-            s.rlike(r"[(\[]"),
-            s.rlike(r"[\x20.-]"),
-            F.size(F.array_distinct(F.split(d, ""))) <= 4,
-        ]
-        value = F.lit(KINDS.index(kind))
-        for i, flag in enumerate(flags):
-            value = value + F.when(F.coalesce(flag, F.lit(False)), F.lit(1 << (i + 2))).otherwise(F.lit(0))
-        return value
-
-    start = F.greatest(m["start"] - 24, F.lit(0))
-    around = F.struct(m["s"].alias("s"), F.substring(text, start + 1, m["start"] - start).alias("before"), F.substring(text, m["end"] + 1, F.lit(8)).alias("after"), digits(m["s"]).alias("d"))
-    return let(around, pattern)
+        since = lambda words: F.when(before.rlike(f"(?i){words}"), F.length(F.regexp_extract(before, f"(?i)^.*(?:{words})(.*)$", 1))).otherwise(F.lit(FAR))
+        share = lambda pattern: F.floor(10 * F.regexp_count(F.concat(before, after), F.lit(pattern)) / F.greatest(F.length(before) + F.length(after), F.lit(1)))
+        glued = before.rlike(r"[A-Za-z0-9_#$/=.-]$").cast("int") + after.rlike(r"^[A-Za-z0-9_/=-]").cast("int")
+        numbers = [
+            F.length(s), n, right.cast("int"), F.size(F.array_distinct(F.split(d, ""))), F.regexp_count(s, F.lit(r"[\x20./-]")), F.regexp_count(s, F.lit(r"[(\[]")), s.rlike(r"^\+|^00").cast("int"),
+            since(HINTS[kind]), since(DECOYS), glued, share("[0-9]"), share(r"\p{L}"),
+        ]
+        return F.array(*(F.coalesce(c.cast("int"), F.lit(0)) for c in numbers))
+
+    start = F.greatest(m["start"] - BEFORE, F.lit(0))
+    flat = F.translate(F.substring(text, start + 1, m["start"] - start), "\r\n", "  ")
+    around = F.struct(m["s"].alias("s"), flat.alias("before"), F.substring(text, m["end"] + 1, F.lit(AFTER)).alias("after"), digits(m["s"]).alias("d"))
+    return let(around, vector)
 
 
 def proposed(text: Column) -> Column:
-    """All proposed spans with kind and bit pattern; they may overlap. They have digits, or the word `at`."""
+    """All proposed spans with kind and features; they may overlap. They have digits, or the word `at`."""
     digit, at = text.rlike("[0-9]"), text.rlike(r"(?i)[\x20(\[]at[\x20)\]]")
 
     def of(i: int, kind: str) -> Column:
         found = matches(text, WIDE[kind], (at if kind == "email" else digit) & text.rlike(WIDE[kind]))
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(i).alias("rank"), _bits(text, kind, m).alias("bits")))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(i).alias("rank"), _features(text, kind, m).alias("x")))
 
     return F.concat(*(of(i, kind) for i, kind in enumerate(KINDS)))
 
 
 @dataclass
-class Model:
-    table: list[float]  # probability by bit pattern
-    threshold: dict[str, float]
+class Trees:
+    """Symmetric trees: each asks DEPTH questions, feature over limit, whose answers are the bits of its leaf's number."""
+
+    feature: list[int] = field(default_factory=lambda: [0] * (ROUNDS * DEPTH))
+    limit: list[int] = field(default_factory=lambda: [0] * (ROUNDS * DEPTH))
+    leaf: list[float] = field(default_factory=lambda: [0.0] * (ROUNDS << DEPTH))
+
+    def odds(self, x: list[int]) -> float:
+        return sum(self.leaf[(t << DEPTH) + sum((x[self.feature[t * DEPTH + q]] > self.limit[t * DEPTH + q]) << q for q in range(DEPTH))] for t in range(ROUNDS))
 
 
-def grow(cells: dict[int, tuple[float, float]], rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH) -> list[float]:
-    """Log-odds by bit pattern: gradient-boosted trees on counts of (positive, negative) by bit pattern."""
-    score = dict.fromkeys(cells, 0.0)
-    trees: list = []
-
-    def tree(own: list[int], left: int):
-        g = {k: cells[k][0] - sum(cells[k]) / (1 + math.exp(-score[k])) for k in own}
-        h = {k: sum(cells[k]) * (p := 1 / (1 + math.exp(-score[k]))) * (1 - p) for k in own}
-        gain = lambda ks: sum(g[k] for k in ks) ** 2 / (sum(h[k] for k in ks) + 1)
-        best = (1e-6, None)
-        for f in range(FEATURES) if left else ():
-            yes = [k for k in own if k >> f & 1]
-            no = [k for k in own if not k >> f & 1]
-            if yes and no:
-                best = max(best, (gain(yes) + gain(no) - gain(own), f), key=lambda x: x[0])
-        if best[1] is None:
-            return rate * sum(g.values()) / (sum(h.values()) + 1)
-        f = best[1]
-        return f, tree([k for k in own if not k >> f & 1], left - 1), tree([k for k in own if k >> f & 1], left - 1)
-
-    def value(t, k: int) -> float:
-        while isinstance(t, tuple):
-            t = t[1 + (k >> t[0] & 1)]
-        return t
-
-    for _ in range(rounds if cells else 0):
-        trees.append(t := tree(list(cells), depth))
-        for k in cells:
-            score[k] += value(t, k)
-    return [sum(value(t, k) for t in trees) if trees else -9.0 for k in range(1 << FEATURES)]
+@dataclass
+class Model:
+    """trees and threshold (of the log-odds) by kind; precision and recall, measured among proposed spans that neither the
+    trees nor the thresholds have seen; None where there are none."""
+
+    trees: dict[str, Trees]
+    threshold: dict[str, float]
+    precision: dict[str, float | None]
+    recall: dict[str, float | None]
+
+
+def grow(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> Trees:
+    """Trees by gradient boosting on counts of (positive, negative) by vector; every level takes the question of most gain."""
+    trees = Trees()
+    if not len(x):
+        return Trees(leaf=[-1.0] * (ROUNDS << DEPTH))
+    n, score = (yes + no).astype(float), np.zeros(len(x))
+    questions = []
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        cuts = values[:-1] if len(values) <= LIMITS else np.unique(np.quantile(x[:, f], np.linspace(0, 1, LIMITS + 2)[1:-1]).astype(int))
+        questions += [(f, int(c), (x[:, f] > c).astype(np.int64)) for c in cuts]
+    for t in range(ROUNDS):
+        p = 1 / (1 + np.exp(-score))
+        g, h = yes - p * n, p * (1 - p) * n
+        at = np.zeros(len(x), np.int64)
+        for q in range(DEPTH):
+            size = 2 << q
+            gains = []
+            for _, _, bit in questions:
+                to = at + (bit << q)
+                gains.append(float((np.bincount(to, g, size) ** 2 / (np.bincount(to, h, size) + 1)).sum()))
+            if questions:
+                f, cut, bit = questions[int(np.argmax(gains))]
+                trees.feature[t * DEPTH + q], trees.limit[t * DEPTH + q] = f, cut
+                at = at + (bit << q)
+            else:
+                trees.limit[t * DEPTH + q] = 1 << 30
+        leaf = RATE * np.bincount(at, g, 1 << DEPTH) / (np.bincount(at, h, 1 << DEPTH) + 1)
+        trees.leaf[t << DEPTH : (t + 1) << DEPTH] = [round(float(v), 6) for v in leaf]
+        score += np.array(trees.leaf[t << DEPTH : (t + 1) << DEPTH])[at]
+    return trees
+
+
+def odds(model: Model, rank: Column, x: Column) -> Column:
+    """The log-odds of a vector by the trees of its kind."""
+    array = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    every = [model.trees[k] for k in KINDS]
+    feature, limit, leaf = array([f for t in every for f in t.feature], "int"), array([v for t in every for v in t.limit], "int"), array([v for t in every for v in t.leaf], "double")
+
+    def answered(acc, t):
+        bits = F.lit(0)
+        for q in range(DEPTH):
+            bits = bits + F.when(F.element_at(x, F.element_at(feature, t * DEPTH + q + 1) + 1) > F.element_at(limit, t * DEPTH + q + 1), 1 << q).otherwise(0)
+        return acc + F.element_at(leaf, t * (1 << DEPTH) + bits + 1)
+
+    return F.aggregate(F.sequence(rank * ROUNDS, rank * ROUNDS + ROUNDS - 1), F.lit(0.0), answered)
 
 
 def train(labelled: DataFrame, precision: float = 0.98) -> Model:
-    """From sentences: text, and truth as an array of kind, start, end. A proposed span is right if it is in truth.
+    """From windows: text, and truth as an array of kind, start, end. A proposed span is right if it is in truth.
 
-    A fifth, by a hash of the text, sets each kind's threshold: the lowest probability over which precision is reached there.
+    A kind's threshold is the lowest log-odds over which precision is reached in a part of the windows that the trees
+    haven't seen; errors are measured on another part.
     """
-    found = labelled.select(F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"), "truth", F.explode(proposed(F.col("text"))).alias("c"))
+    found = labelled.select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), "truth", F.explode(proposed(F.col("text"))).alias("c"))
     right = F.exists("truth", lambda t: (t["kind"] == F.col("c.kind")) & (t["start"] == F.col("c.start")) & (t["end"] == F.col("c.end")))
-    # at most 2 << FEATURES counts in each part, whatever the input's size
-    counts = found.groupBy((F.col("fold") == 0).alias("aside"), F.col("c.bits").alias("bits")).agg(F.sum(right.cast("long")).alias("yes"), F.sum((~right).cast("long")).alias("no")).collect()
-    odds = grow({r["bits"]: (r["yes"], r["no"]) for r in sorted(counts, key=lambda r: r["bits"]) if not r["aside"]})
-    table = [1 / (1 + math.exp(-x)) for x in odds]
-    threshold = {}
-    for i, kind in enumerate(KINDS):
-        own = sorted(((table[r["bits"]], r["yes"], r["no"]) for r in counts if r["aside"] and r["bits"] % 4 == i), reverse=True)
-        threshold[kind], yes, no = 1.0, 0, 0
-        for p, y, n in own:
+    part = F.when(F.col("fold").isin(SETS_LIMIT, MEASURES), F.col("fold")).otherwise(-1).alias("part")
+    # a row for each different vector of the labelled sample, whose size is a parameter
+    counts = found.groupBy(part, F.col("c.kind").alias("kind"), F.col("c.x").alias("x")).agg(F.sum(right.cast("long")).alias("yes"), F.sum((~right).cast("long")).alias("no")).collect()
+    model = Model({}, {}, {}, {})
+    for kind in KINDS:
+        own = sorted((r["part"], tuple(r["x"]), r["yes"], r["no"]) for r in counts if r["kind"] == kind)
+        seen = [r for r in own if r[0] == -1]
+        trees = grow(np.array([r[1] for r in seen]), np.array([r[2] for r in seen]), np.array([r[3] for r in seen]))
+        least, yes, no = math.inf, 0, 0
+        for p, y, n in sorted(((trees.odds(r[1]), r[2], r[3]) for r in own if r[0] == SETS_LIMIT), reverse=True):
             yes, no = yes + y, no + n
-            if yes / max(1, yes + no) >= precision and p > 0.5:
-                threshold[kind] = p - 1e-9
-    return Model(table, threshold)
+            if yes / max(1, yes + no) >= precision and p > 0:
+                least = p - 1e-6
+        judged = [(trees.odds(r[1]) > least, r[2], r[3]) for r in own if r[0] == MEASURES]
+        hits, wrong, all_yes = sum(y for o, y, _ in judged if o), sum(n for o, _, n in judged if o), sum(y for _, y, _ in judged)
+        model.trees[kind], model.threshold[kind] = trees, least
+        model.precision[kind], model.recall[kind] = (hits / (hits + wrong) if hits + wrong else None), (hits / all_yes if all_yes else None)
+    return model
+
+
+def windows(docs: DataFrame, n_docs: int = DOCS) -> DataFrame:
+    """text, truth from about n_docs documents, drawn by a hash: what surrounds their spans, labelled by the spans' proof.
+
+    A base span has proved its kind. Its window comes with the span as it is and in a format that no base pattern finds,
+    labelled as that kind; a proposed span that overlaps no base one comes with its window and no label.
+    """
+    n = max(1, docs.count())
+    drawn = docs.where(F.col("text").isNotNull() & (uniform(F.lit(6), F.length("text"), F.substring("text", 1, 200)) < n_docs / n)).select("text")
+    text, kinds = F.col("text"), base(F.col("text"))
+    other = {
+        "email": lambda s: F.regexp_replace(F.replace(s, F.lit("@"), F.lit(" at ")), r"\.(?=[A-Za-z0-9-]+$)", " dot "),
+        "ip": lambda s: F.replace(s, F.lit("."), F.lit("[.]")),
+        "card": lambda s: F.regexp_replace(digits(s), r"^([0-9]{4})([0-9]{4})([0-9]{4})([0-9]+)$", r"$1.$2.$3.$4"),
+        "phone": lambda s: F.regexp_replace(s, r"^\+[0-9]{1,2}\x20?", ""),
+    }
+
+    def window(s, kind: str | None):
+        """A function from a span to its window: before, the span as s tells it, after, kind."""
+        before = lambda m: F.substring(text, F.greatest(m["start"] - AROUND, F.lit(0)) + 1, F.least(m["start"], F.lit(AROUND)))
+        return lambda m: F.struct(before(m).alias("a"), s(m).alias("s"), F.substring(text, m["end"] + 1, F.lit(AROUND)).alias("b"), F.lit(kind).cast("string").alias("kind"))
+
+    def rewritten(kind: str):
+        return lambda m: other[kind](m["s"])
+
+    made = [F.transform(F.col(f"__{kind}"), window(s, kind)) for kind in KINDS for s in (lambda m: m["s"], rewritten(kind))]
+    rest = apart(F.transform(proposed(text), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))), F.concat(*(F.col(f"__{k}") for k in KINDS)))
+    plain = F.transform(rest, window(lambda m: F.substring(text, m["start"] + 1, m["end"] - m["start"]), None))
+    rows = drawn.withColumns({f"__{k}": v for k, v in kinds.items()}).select(F.explode(F.concat(*made, plain)).alias("w")).select("w.*")
+    truth = F.array(F.struct(F.col("kind"), F.length("a").alias("start"), (F.length("a") + F.length("s")).alias("end")))
+    return rows.select(F.concat("a", "s", "b").alias("text"), F.when(F.col("kind").isNotNull(), truth).otherwise(F.slice(truth, 1, 0)).alias("truth"))
+
+
+def learn(docs: DataFrame) -> Model:
+    """A model from windows of docs (a column text) and rule-made sentences, so that there is one whatever docs hold."""
+    made = sentences(docs.sparkSession).select("text", F.col("truth").cast("array<struct<kind:string,start:int,end:int>>").alias("truth"))
+    return train(stash(windows(docs).select("text", F.col("truth").cast("array<struct<kind:string,start:int,end:int>>").alias("truth")).unionByName(made), "pii_labelled"))
 
 
-def sentences(spark: SparkSession, n: int = LEARNED, seed: int = 11) -> DataFrame:
+def sentences(spark: SparkSession, n: int = SENTENCES, seed: int = 11) -> DataFrame:
     """n labelled sentences, made by rule: personal data in several formats and numbers that only look alike."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("an", "the", "re", "ing", "ou", "er", "on", "st", "ti", "ed", "la", "ch", "en")) for _ in range(r.randrange(1, 4)))
@@ -228,40 +311,43 @@ def sentences(spark: SparkSession, n: int = LEARNED, seed: int = 11) -> DataFram
     return spark.range(1).select(F.explode(made).alias("r")).select("r.*")
 
 
-def find(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with columns email, ip, card, phone (arrays of start, end, s) and added (named spans). docs has a column text.
+def find(docs: DataFrame, model: Model, into: str = "personal") -> DataFrame:
+    """docs with a struct column of email, ip, card, phone (arrays of start, end, s) and added (named spans). docs has text.
 
-    Null and empty texts have none. A proposed span over its kind's threshold is added if it overlaps no base span of any
-    kind; added spans of different kinds may overlap.
+    Null and empty texts have none; texts of any length are searched whole; repeated rows and ids are each searched for
+    itself; an empty table gives no rows. A column of docs that is named as into is replaced, others stay, whatever their
+    names. A proposed span over its kind's threshold is added if it overlaps no base span of any kind; added spans of
+    different kinds may overlap.
     """
+    own = {k: f"__{into}_{k}" for k in (*KINDS, "added")}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != into]
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns(base(text))
-    table = F.split(F.lit(",".join(f"{p:.6f}" for p in model.table)), ",").cast("array<double>")
-    least = F.array(*(F.lit(model.threshold[k]) for k in KINDS))
-    over = F.filter(proposed(text), lambda c: F.element_at(table, c["bits"] + 1) >= F.element_at(least, c["rank"] + 1))
-    chosen = F.transform(apart(over, F.concat(*KINDS)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.concat(F.lit("likely_"), c["kind"]).alias("kind"), (c["rank"] + len(KINDS)).alias("rank")))
-    return docs.withColumn("added", chosen)
+    x = docs.withColumns({own[k]: v for k, v in base(text).items()})
+    least = F.split(F.lit(",".join(str(min(model.threshold[k], 1e9)) for k in KINDS)), ",").cast("array<double>")
+    free = apart(proposed(text), F.concat(*(own[k] for k in KINDS)))
+    over = F.filter(free, lambda c: odds(model, c["rank"], c["x"]) > F.element_at(least, c["rank"] + 1))
+    chosen = F.transform(over, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.concat(F.lit("likely_"), c["kind"]).alias("kind"), (c["rank"] + len(KINDS)).alias("rank")))
+    return x.withColumn(own["added"], chosen).select(*rest, F.struct(*(F.col(v).alias(k) for k, v in own.items())).alias(into))
 
 
-def spans() -> tuple[Column, Column]:
+def spans(into: str = "personal") -> tuple[Column, Column]:
     """All base spans, and all spans, named."""
-    own = F.concat(*(named(F.col(k), k, i) for i, k in enumerate(KINDS)))
-    return own, F.concat(own, F.col("added"))
+    own = F.concat(*(named(F.col(f"{into}.{k}"), k, i) for i, k in enumerate(KINDS)))
+    return own, F.concat(own, F.col(f"{into}.added"))
 
 
 def redacted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with every found span of text replaced by its kind in angle brackets; other texts stay as they are."""
-    names = docs.columns
-    clash = {k: f"__{k}" for k in (*KINDS, "added") if k in names}
-    found = find(docs.withColumnsRenamed(clash), model)
-    done = found.withColumn("text", replaced(F.col("text"), spans()[1])).drop(*KINDS, "added").withColumnsRenamed({v: k for k, v in clash.items()})
-    return done.select(*names)
+    into = "__found"
+    found = find(docs, model, into).withColumn("text", replaced(F.col("text"), spans(into)[1]))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find(docs, train(sentences(spark)))
+    found = find(spread(docs), learn(docs))
     own, every = spans()
-    counts = (F.size(k).cast("long").alias(f"n_{k}") for k in KINDS)
-    return found.select("doc_id", *counts, F.sha2(listed(own, "rank", "start"), 256).alias("base_sha256"), listed(every, "rank", "start").alias("spans"), F.size("added").cast("long").alias("n_added"))
+    counts = (F.size(f"personal.{k}").cast("long").alias(f"n_{k}") for k in KINDS)
+    more = F.size("personal.added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_all")
+    return found.select("doc_id", *counts, F.sha2(listed(own, "rank", "start"), 256).alias("base_sha256"), listed(every, "rank", "start").alias("spans"), *more)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import let, uniform
+from quantloom.llm.shared import let, spread, stash, uniform
 from quantloom.llm.spans import apart, listed, matches, named
 
 #: Fixed patterns of the base kinds. A failing match is dropped and the search goes on after it; where a minimum length is
@@ -21,15 +21,24 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 16
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 #: Bounds of the labelled samples: random strings, and expected number of documents whose words make identifiers.
-RANDOM, DOCS = 6000, 2000
+RANDOM, DOCS = 6000, 600
+#: Of five parts of the labelled tokens, by a hash, one sets the threshold, one measures the errors, the others are learned.
+FOLDS, SETS_LIMIT, MEASURES = 5, 0, 1
+KINDS = ("assign", "access", "hex", "random")
 
 
 @dataclass
 class Model:
-    """ratio: for each pair of characters, the log-probability of the second among secrets less that among identifiers."""
+    """ratio: for each pair of characters, the log-probability of the second among secrets less that among identifiers.
+
+    wrong, missed: the shares of identifiers over the threshold and of secrets not over it, among tokens that neither the
+    counts nor the threshold have seen; None where there are none.
+    """
 
     ratio: list[float]
     threshold: float
+    wrong: float | None = None
+    missed: float | None = None
 
 
 def _codes(token: Column) -> Column:
@@ -54,24 +63,32 @@ def train(labelled: DataFrame) -> Model:
     """From token, secret (boolean). Pairs are counted by Spark; the driver gets a count for each pair of characters.
 
     Tokens that are null or hold other characters than ALPHABET's, or fewer than two, are left out. The threshold lies
-    halfway between the ratios that one of 1000 identifiers exceeds and that one of 200 secrets falls short of.
+    halfway between the ratios that one of 1000 identifiers exceeds and that one of 200 secrets falls short of, or at the
+    latter if that is lower, among tokens that aren't counted; the errors are measured on others again.
     """
     n = len(ALPHABET)
-    rows = labelled.where(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]{2,}$"))
+    fold = F.pmod(F.xxhash64("token"), F.lit(FOLDS)).alias("fold")
+    rows = stash(labelled.where(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]{2,}$")).select("token", "secret", fold), "secrets_labelled")
     counts = [[1.0] * (n * n) for _ in range(2)]  # one of each beforehand
-    for r in rows.select("secret", F.explode(_pairs(F.col("token"))).alias("p")).groupBy("secret", "p").count().collect():
+    learned = rows.where(~F.col("fold").isin(SETS_LIMIT, MEASURES))
+    for r in learned.select("secret", F.explode(_pairs(F.col("token"))).alias("p")).groupBy("secret", "p").count().collect():
         counts[bool(r["secret"])][r["p"]] += r["count"]
     logs = []
     for c in counts:
         firsts = [sum(c[a * n : (a + 1) * n]) for a in range(n)]
         logs.append([math.log(c[i] / firsts[i // n]) for i in range(n * n)])
     table = [s - o for s, o in zip(logs[1], logs[0], strict=True)]
-    judged = rows.where(F.length("token") >= LEAST).select("secret", ratio(F.col("token"), table).alias("x"))
-    ends = judged.agg(F.percentile(F.when(~F.col("secret"), F.col("x")), 0.999).alias("plain"), F.percentile(F.when(F.col("secret"), F.col("x")), 0.005).alias("low")).first()
+    judged = rows.where((F.length("token") >= LEAST) & F.col("fold").isin(SETS_LIMIT, MEASURES)).select("secret", "fold", ratio(F.col("token"), table).alias("x"))
+    judged = stash(judged, "secrets_judged")
+    sets = judged.where(F.col("fold") == SETS_LIMIT)
+    ends = sets.agg(F.percentile(F.when(~F.col("secret"), F.col("x")), 0.999).alias("plain"), F.percentile(F.when(F.col("secret"), F.col("x")), 0.005).alias("low")).first()
     if ends["low"] is None:
         return Model(table, math.inf)
     plain = ends["plain"] if ends["plain"] is not None else 0.0
-    return Model(table, max(0.25, (plain + ends["low"]) / 2))
+    threshold = max(0.25, min(ends["low"], (plain + ends["low"]) / 2))
+    over = (F.col("x") > threshold).cast("double")
+    errors = judged.where(F.col("fold") == MEASURES).agg(F.avg(F.when(~F.col("secret"), over)).alias("wrong"), F.avg(F.when(F.col("secret"), 1 - over)).alias("missed")).first()
+    return Model(table, threshold, errors["wrong"], errors["missed"])
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM) -> DataFrame:
@@ -87,7 +104,7 @@ def random_strings(spark: SparkSession, n: int = RANDOM) -> DataFrame:
 def identifiers(docs: DataFrame, n_docs: int = DOCS) -> DataFrame:
     """token, secret: words of about n_docs texts as they are, in upper case, and joined to longer names.
 
-    The texts are drawn by a hash of doc_id; what the base patterns find in them is taken out before.
+    The texts are drawn by a hash of doc_id and length; what the base patterns find in them is taken out before.
     """
     n = max(1, docs.count())
     drawn = docs.where(uniform(F.lit(5), "doc_id", F.length("text")) < n_docs / n)
@@ -100,28 +117,33 @@ def identifiers(docs: DataFrame, n_docs: int = DOCS) -> DataFrame:
     return rows.select(F.explode(each).alias("token"), F.lit(False).alias("secret"))
 
 
-def find(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with columns assign, access, hex, random: arrays of start, end, s. docs has a column text.
+def find(docs: DataFrame, model: Model, into: str = "secrets") -> DataFrame:
+    """docs with a struct column of arrays assign, access, hex, random, each of start, end, s. docs has a column text.
 
-    Null and empty texts have no secrets. A random span is a candidate over the model's threshold
-    that overlaps no base one; mere numbers are none.
+    Null and empty texts have no secrets; texts of any length are searched whole; repeated rows and ids are each searched
+    for itself; an empty table gives no rows. A column of docs that is named as into is replaced, others stay, whatever
+    their names. A random span is a candidate over the model's threshold that overlaps no base one; mere numbers are none.
     """
+    own = {k: f"__{into}_{k}" for k in KINDS}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != into]
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["s"], ASSIGN, 1)) >= 6)
-    x = docs.withColumn("assign", assign).withColumn("access", matches(text, ACCESS, F.contains(text, F.lit("AKIA")))).withColumn("hex", matches(text, HEX))
-    candidates = F.filter(apart(matches(text, CANDIDATE), F.concat("assign", "access", "hex")), lambda m: m["s"].rlike("[A-Za-z]") & (ratio(m["s"], model.ratio) > model.threshold))
-    return x.withColumn("random", candidates)
+    x = docs.withColumns({own["assign"]: assign, own["access"]: matches(text, ACCESS, F.contains(text, F.lit("AKIA"))), own["hex"]: matches(text, HEX)})
+    base = F.concat(own["assign"], own["access"], own["hex"])
+    candidates = F.filter(apart(matches(text, CANDIDATE), base), lambda m: m["s"].rlike("[A-Za-z]") & (ratio(m["s"], model.ratio) > model.threshold))
+    return x.withColumn(own["random"], candidates).select(*rest, F.struct(*(F.col(v).alias(k) for k, v in own.items())).alias(into))
 
 
-def spans(found: DataFrame) -> tuple[Column, Column]:
+def spans(into: str = "secrets") -> tuple[Column, Column]:
     """All base spans, and all spans, named."""
-    base = F.concat(*(named(F.col(k), k, i) for i, k in enumerate(("assign", "access", "hex"))))
-    return base, F.concat(base, named(F.col("random"), "random", 3))
+    base = F.concat(*(named(F.col(f"{into}.{k}"), k, i) for i, k in enumerate(KINDS[:3])))
+    return base, F.concat(base, named(F.col(f"{into}.random"), "random", 3))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find(docs, train(random_strings(spark).unionByName(identifiers(docs))))
-    base, every = spans(found)
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(listed(base, "start", "rank"), 256).alias("base_sha256"), listed(every, "start", "rank").alias("spans"), F.size("random").cast("long").alias("n_random"))
+    found = find(spread(docs), train(random_strings(spark).unionByName(identifiers(docs))))
+    base, every = spans()
+    counts = [F.size(f"secrets.{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(listed(base, "start", "rank"), 256).alias("base_sha256"), listed(every, "start", "rank").alias("spans"), counts[3])

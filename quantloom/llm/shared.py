@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of an Arrow batch while tables are written: a batch is held several times over, in Python and outside the JVM's heap.
-BATCH = 1000
+#: Most rows and bytes of an Arrow batch while tables are written: a batch is held several times over, in Python and outside
+#: the JVM's heap. Rows of a Parquet reader's batch, whose vectors grow with long texts.
+BATCH, BATCH_BYTES, READ_BATCH = 1000, 4 << 20, 512
+#: Bytes that a writer holds before it writes them out as a row group.
+ROW_GROUP = 16 << 20
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,12 +38,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """What is run inside leaves no shuffle files behind, since Spark removes them when each of its queries has ended, and
-    passes Arrow batches of BATCH rows at most."""
-    files, batch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = {k: spark.conf.get(k) for k in (files, batch)}
+    reads and passes batches of BATCH rows and BATCH_BYTES at most."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READ_BATCH}
+    files = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {k: spark.conf.get(k) for k in (files, *most)}
     spark.conf.set(files, "true")
-    if not 0 < int(before[batch]) <= BATCH:  # none or less is no limit
-        spark.conf.set(batch, str(BATCH))
+    for k, v in most.items():
+        if not before[k].isdigit() or not 0 < int(before[k]) <= v:  # none or less is no limit
+            spark.conf.set(k, str(v))
     try:
         yield
     finally:
@@ -45,6 +53,40 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def release() -> None:
+    """Give back what a Python worker has freed: workers live on between tasks, beside the next one's JVM."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freed(f: Callable) -> Callable:
+    """A function over a task's batches that releases memory at its end."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def freed_group(f: Callable) -> Callable:
+    """A function over a group's tables that releases memory at its end. It takes as many tables as f does."""
+    if f.__code__.co_argcount == 1:
+        return lambda one: _released(f, one)
+    return lambda one, two: _released(f, one, two)
+
+
+def _released(f: Callable, *tables: pa.Table) -> pa.Table:
+    try:
+        return f(*tables)
+    finally:
+        release()
+
+
 def stash(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -52,7 +94,7 @@ def stash(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     with tidy(df.sparkSession):
-        (df.coalesce(parts) if parts else df).write.parquet(path)
+        (df.coalesce(parts) if parts else df).write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +123,14 @@ def repeated(df: DataFrame, n: str, k: str, run: int = 10_000) -> DataFrame:
     return few.unionByName(many)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is read in fewer parts than there are: a table that is one file's row group, say.
+    Larger tables aren't shuffled. The parts are counted from the files' footers."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.groupBy(F.spark_partition_id()).count().count()
+    return df.repartition(2 * cores) if 0 < parts < cores else df
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if it has no more than limit rows; otherwise Spark shuffles, splitting skewed partitions."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
