@@ -192,6 +192,57 @@ def test_language(spark):
     assert set(langid.identify(df, none).toPandas().lang_pred) == {"und"}
 
 
+def test_language_rejects_what_it_does_not_know(spark):
+    """Random letters and an unseen language of 50 to 200 characters, though some labels are wrong; clean texts stay."""
+    parts = {"en": ("the", "and", "ing", "was", "er"), "de": ("der", "und", "ung", "ist", "zu"), "fr": ("les", "que", "eau", "est", "ou")}
+    say = lambda own, n: " ".join("".join(R.choice(own) for _ in range(R.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(parts[k], R.randrange(20, 120)), k if i % 12 else R.choice(list(parts))) for i, k in enumerate(list(parts) * 300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["".join(R.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in range(50, 200, 5)] + [say(("ciao", "gatto", "piove", "mio", "sull"), n) for n in range(10, 40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd)] + [(1000 + i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = langid.identify(docs, model).toPandas()
+    assert got[got.doc_id < 1000].rejected.all() and got[got.doc_id >= 1000].rejected.mean() < 0.002
+
+
+def plain_kneser_ney(texts, gram):
+    """The interpolated Kneser-Ney probability of a 4-gram's last symbol, by counts in dictionaries."""
+    order = langid.ORDER
+    grams = [{} for _ in range(order + 1)]
+    for t in texts:
+        x = langid.symbols(t)
+        for i in range(len(x) - order + 1):
+            g = tuple(map(int, x[i : i + order]))
+            grams[order][g] = grams[order].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] = grams[n].get(g[1:], 0) + 1
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(grams[1]) + 1)
+        c = grams[n]
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
+        own = [v for k, v in c.items() if k[:-1] == g[:-1]]
+        if not own:
+            return p(g[1:])
+        return max(c.get(g, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * p(g[1:])
+
+    return p(tuple(gram))
+
+
+def test_kneser_ney_against_plain_counts():
+    texts = ["abracadabra cadabra abra", "bab baa abba abra", "cad dac acd"]
+    found, n = np.unique(np.concatenate([langid.keys(langid.symbols(t)) for t in texts]), return_counts=True)
+    model = langid.fit(["q"], found, np.zeros(len(found), np.int64), n.astype(float))
+    for word in ("abra", "zzab", "cadz", "a bc", "dddd"):
+        x = langid.symbols(word)
+        got = model.scores(langid.keys(x))[:, 0]
+        want = [math.log(plain_kneser_ney(texts, x[i : i + langid.ORDER])) for i in range(len(x) - langid.ORDER + 1)]
+        assert np.allclose(got, want, atol=1e-4), word
+
+
 def test_kneser_ney_sums_to_one():
     x = langid.symbols("abracadabra cadabra abra")
     found, n = np.unique(langid.keys(x), return_counts=True)
@@ -225,17 +276,57 @@ SECRET_TEXTS = [None, "", "secret=token: abcdefgh", "PASSWORD = 'hunter22' Token
 
 def test_secrets(spark):
     rows = [(i, t) for i, t in enumerate(SECRET_TEXTS)] + [(100 + i, prose(60)) for i in range(80)] + [(8, SECRET_TEXTS[8])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hex_", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit("clash") for k in ("assign", "access", "hex", "random", "secrets", "a.b")})
     model = secrets.train(secrets.random_strings(spark, 800).unionByName(secrets.identifiers(df)))
+    assert 0 <= model.wrong < 0.02 and 0 <= model.missed < 0.1
     got = secrets.find(df, model)
-    base, every = secrets.spans(got)
-    for r in got.select("doc_id", "text", base.alias("base"), "random").collect():
+    assert got.columns == [*(c for c in df.columns if c != "secrets"), "secrets"] and got.count() == len(rows)
+    base, every = secrets.spans()
+    for r in got.select("doc_id", "text", base.alias("base"), "secrets.random", F.col("hex").alias("clash")).collect():
         assert sorted((s.kind, s.start, s.end) for s in r.base) == sorted(expected_spans(SECRETS, r.text)), r.text
+        assert r.clash == "clash"
         found = [r.text[s.start : s.end] for s in r.random]
         assert found == (["aZ3kQ9xV1bN7mT5wR2yU8pL4"] if r.doc_id == 10 else []), found
     assert secrets.find(df.where("false"), model).count() == 0
 
 
+def plain_ratio(token, table):
+    """The two models' mean log-likelihood ratio, pair by pair."""
+    n = len(secrets.ALPHABET)
+    places = [secrets.ALPHABET.index(c) for c in token]
+    return sum(table[a * n + b] for a, b in zip(places, places[1:], strict=False)) / (len(token) - 1)
+
+
+def test_random_strings_against_plain_models(spark):
+    """Counts, ratios, threshold and found spans against loops over the same labelled tokens."""
+    made = [(t, True) for t in ("".join(R.choice(secrets.ALPHABET) for _ in range(R.randrange(16, 40))) for _ in range(400))]
+    made += [(R.choice(["_", "-"]).join(R.choice(WORDS) for _ in range(R.randrange(4, 9))), False) for _ in range(900)] + [(None, True), ("a", False), ("nö", True)]
+    rows = spark.createDataFrame(made, "token string, secret boolean")
+    model = secrets.train(rows)
+    folds = {r.token: r.fold for r in rows.select("token", F.pmod(F.xxhash64("token"), F.lit(secrets.FOLDS)).alias("fold")).collect()}
+    known = [(t, s) for t, s in made if t and len(t) > 1 and t.isascii()]
+    n = len(secrets.ALPHABET)
+    counts = np.ones((2, n, n))
+    for t, s in known:
+        if folds[t] > 1:
+            for a, b in zip(t, t[1:], strict=False):
+                counts[int(s), secrets.ALPHABET.index(a), secrets.ALPHABET.index(b)] += 1
+    logs = np.log(counts / counts.sum(2, keepdims=True))
+    assert np.allclose(model.ratio, (logs[1] - logs[0]).reshape(-1), atol=1e-9)
+    x = {k: [plain_ratio(t, model.ratio) for t, s in known if folds[t] == k[0] and s == k[1] and len(t) >= secrets.LEAST] for k in ((0, True), (0, False), (1, True), (1, False))}
+    low = np.percentile(x[0, True], 0.5)
+    want = max(0.25, min(low, (np.percentile(x[0, False], 99.9) + low) / 2))
+    assert abs(model.threshold - want) < 1e-4
+    assert abs(model.wrong - np.mean([v > want for v in x[1, False]])) < 1e-9 and abs(model.missed - np.mean([v <= want for v in x[1, True]])) < 1e-9
+    texts = [" ".join(R.choice(made)[0] or "" for _ in range(9)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.find(df, model).collect():
+        base = [(a, b) for _, a, b in expected_spans(SECRETS, r.text)]
+        plain = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", r.text)]
+        plain = [(a, b) for a, b in plain if not any(a < d and c < b for c, d in base) and re.search("[A-Za-z]", r.text[a:b]) and plain_ratio(r.text[a:b], model.ratio) > model.threshold]
+        assert [(s.start, s.end) for s in r.secrets.random] == plain
+
+
 PRIVATE = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))),
@@ -253,19 +344,51 @@ def test_personal_data(spark, pii_model):
     texts = [None, "", "a@b.c_d@e.f x@y a@b@c.de", "1.2.3.4.5.6.7.8 256.1.1.1 010.0.0.1", "é 4111 1111 1111 1111 and 4111111111111112", "+1 (269) 555-3296 4524132264652876", "+49 30 1234567 call", "0" * 9000 + ".1.1.1", "a." * 4000 + "@x", "9 " * 4000]
     some = "abz019.@+- ()é"
     texts += ["".join(R.choice(some) for _ in range(40)) for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(4, texts[4])], "doc_id long, text string").withColumn("email", F.lit("clash"))
+    clash = {k: F.lit("clash") for k in ("email", "ip", "added", "personal", "x.y")}
+    df = spark.createDataFrame(list(enumerate(texts)) + [(4, texts[4])], "doc_id long, text string").withColumns(clash)
     own = pii.spans()[0]
-    got = pii.find(df.drop("email"), pii_model)
-    for r in got.select("doc_id", "text", own.alias("base"), "added").collect():
+    got = pii.find(df, pii_model)
+    assert got.columns == [*(c for c in df.columns if c != "personal"), "personal"] and got.count() == len(texts) + 1
+    for r in got.select("doc_id", "text", own.alias("base"), "personal.added").collect():
         assert sorted((s.kind, s.start, s.end) for s in r.base) == sorted(expected_spans(PRIVATE, r.text)), r.text
         assert all(a.end <= b.start or b.end <= a.start for a in r.added for b in r.base)
         if r.doc_id == 5:
             assert [(s.kind, r.text[s.start : s.end]) for s in r.added] == [("likely_phone", "+1 (269) 555-3296")]
     out = {r.doc_id: r for r in pii.redacted(df, pii_model).collect()}
-    assert out[4].text == "é <CARD> and 4111111111111112" and out[0].text is None and out[4].email == "clash"
+    assert out[4].text == "é <CARD> and 4111111111111112" and out[0].text is None and out[4].email == "clash" and out[4].personal == "clash"
     assert pii.redacted(df.where("false"), pii_model).count() == 0
 
 
+def test_trees_against_plain_ones(spark, pii_model):
+    """The trees' scores inside a query against walking them; what is added against a loop over the proposed spans."""
+    rows = [(i, r.text, r.truth) for i, r in enumerate(pii.sentences(spark, 200, seed=5).collect())]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    scored = F.transform(pii.proposed(F.col("text")), lambda c: F.struct(c, pii.odds(pii_model, c["rank"], c["x"]).alias("odds")))
+    got = pii.find(df, pii_model).select("*", scored.alias("scored")).collect()
+    n = 0
+    for r in got:
+        base = [s for k in pii.KINDS for s in r.personal[k]]
+        want = []
+        for c, odds in r.scored:
+            assert abs(odds - pii_model.trees[c.kind].odds(c.x)) < 1e-6
+            if odds > pii_model.threshold[c.kind] and not any(c.start < s.end and s.start < c.end for s in base):
+                want.append((f"likely_{c.kind}", c.start, c.end))
+        assert sorted((s.kind, s.start, s.end) for s in r.personal.added) == sorted(want)
+        n += len(want)
+    assert n > 20
+
+
+def test_personal_data_held_out(spark, pii_model):
+    """Precision and recall among spans that the model hasn't seen, and labels from documents' own spans."""
+    assert all(p is None or p >= 0.95 for p in pii_model.precision.values())
+    texts = [f"{prose(12)} {x} {prose(12)}" for x in ("x.y@mail.example.com", "9.8.7.6", "4111111111111111", "+1 (269) 555-3296", "4111111111111112", "plain")] + [None, ""]
+    labelled = pii.windows(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    kinds = [r.truth[0].kind for r in labelled if r.truth]
+    assert sorted(kinds) == sorted([*pii.KINDS] * 2) and sum(not r.truth for r in labelled) == 1
+    assert all(r.text[r.truth[0].start : r.truth[0].end].strip() for r in labelled if r.truth)
+    assert "x.y at mail.example dot com" in {r.text[t.start : t.end] for r in labelled for t in r.truth}
+
+
 # ---- Jaccard
 
 
