@@ -2,9 +2,9 @@
 
 Different vectors are dealt to shards by a hash; equal ones are one node with the smallest ids of its rows. A shard's graph
 is built in batches: all of a batch search the graph so far together, then get their links. Vectors, links and levels are
-flat arrays, a row of a table for each shard. Every block of queries is searched in every shard, and the shards' results,
-measured again in double precision on the original vectors, are merged by rank. A graph's vectors are scaled by one power of
-two; where magnitudes lie too far apart for squares in single precision, a query is compared with all of the shard.
+flat arrays, a row of a table for each shard. Queries stream past each shard's graph, which a task loads once; the shards'
+results, measured again in double precision on the original vectors, are merged by rank. A graph's vectors are scaled by one
+power of two; where magnitudes lie too far apart for squares in single precision, a query is compared with all of the shard.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import small, stash
+from quantloom.llm.shared import freed, freed_group, small, stash
 from quantloom.llm.vectors import keyed, stacked
 
-#: Nodes of a shard, about; queries of a block.
-SHARD, QUERIES = 8192, 1024
+#: Nodes of a shard, about: a SHARES-th of all, between two bounds. Queries that stream past one copy of a shard's graph.
+SHARD, SHARES, LARGEST, QUERIES = 8192, 64, 65_536, 100_000
+#: Queries that are searched together, and open nodes of each that a step expands.
+TOGETHER, WIDE = 256, 4
 #: Links of a node (twice as many on the ground level), candidates when building and when searching.
 LINKS, BUILD, SEARCH = 16, 96, 160
 BATCH = 512
@@ -32,82 +34,84 @@ SEED = 99
 
 @dataclass
 class Graph:
-    """x: vectors; links: one flat neighbour array for each level (-1: none); top: a node's highest level; entry: the start."""
+    """x: vectors; links: one flat neighbour array for each level (-1: none); entry: the start."""
 
     x: np.ndarray
     links: list[np.ndarray]
-    top: np.ndarray
     entry: int
 
 
 def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and squared distances of the best found, nearest first, for all queries together; -1 and inf where there are fewer.
 
-    starts: nodes for each query, -1 for none. Each step expands every query's nearest node that isn't expanded yet.
+    starts: nodes for each query, -1 for none. Each step expands every query's WIDE nearest nodes that aren't expanded yet.
     """
-    n_q, beam = len(queries), width
-    measure = lambda ids: ((x[ids] - queries[:, None]) ** 2).sum(2)
-    ids = np.full((n_q, beam), -1, np.int64)
-    far = np.full((n_q, beam), np.inf)
-    done = np.ones((n_q, beam), bool)
-    seen = np.zeros((n_q, len(x)), bool)
-    k = min(starts.shape[1], beam)
-    ids[:, :k] = starts[:, :k]
-    far[:, :k] = np.where(ids[:, :k] >= 0, measure(np.maximum(ids[:, :k], 0)), np.inf)
-    done[:, :k] = ids[:, :k] < 0
+    n_q, beam = len(queries), max(width, starts.shape[1])
+    ids, far = np.full((n_q, beam), -1, np.int64), np.full((n_q, beam), np.inf)
+    k = starts.shape[1]
+    ids[:, :k] = starts
+    far[:, :k] = np.where(starts >= 0, ((x[np.maximum(starts, 0)] - queries[:, None]) ** 2).sum(2), np.inf)
+    done, seen = ids < 0, np.zeros((n_q, len(x)), bool)
     q, c = np.nonzero(ids >= 0)
     seen[q, ids[q, c]] = True
-    active = np.arange(n_q)
+    active, step = np.arange(n_q), min(WIDE, beam)
     while len(active):
         open_far = np.where(done[active], np.inf, far[active])
-        best = open_far.argmin(1)
-        going = np.isfinite(open_far[np.arange(len(active)), best])
-        active, best = active[going], best[going]
+        best = np.argpartition(open_far, step - 1, axis=1)[:, :step]
+        usable = np.isfinite(np.take_along_axis(open_far, best, 1))
+        going = usable.any(1)
+        active, best, usable = active[going], best[going], usable[going]
         if not len(active):
             break
-        done[active, best] = True
-        new = links[ids[active, best]]
-        fresh = (new >= 0) & ~seen[active[:, None], np.maximum(new, 0)]
-        rows, cols = np.nonzero(fresh)
+        done[active[:, None], best] = True
+        new = links[np.where(usable, ids[active[:, None], best], 0)]
+        new = np.where(usable[:, :, None], new, -1).reshape(len(active), -1)
+        rows, cols = np.nonzero((new >= 0) & ~seen[active[:, None], np.maximum(new, 0)])
         if not len(rows):
             continue
-        seen[active[rows], new[rows, cols]] = True
-        d = np.full(new.shape, np.inf)
-        diff = x[new[rows, cols]] - queries[active[rows]]
-        d[rows, cols] = np.einsum("ij,ij->i", diff, diff)
-        all_ids = np.concatenate([ids[active], np.where(fresh, new, -1)], 1)
-        all_far = np.concatenate([far[active], d], 1)
-        all_done = np.concatenate([done[active], ~fresh], 1)
-        keep = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
+        _, once = np.unique(rows * len(x) + new[rows, cols], return_index=True)
+        rows, found = rows[once], new[rows, cols][once]
+        seen[active[rows], found] = True
+        diff = x[found] - queries[active[rows]]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        more = int(place.max()) + 1
+        new_ids, new_far = np.full((len(active), more), -1, np.int64), np.full((len(active), more), np.inf)
+        new_ids[rows, place], new_far[rows, place] = found, np.einsum("ij,ij->i", diff, diff)
+        all_ids, all_far = np.concatenate([ids[active], new_ids], 1), np.concatenate([far[active], new_far], 1)
+        all_done = np.concatenate([done[active], new_ids < 0], 1)
+        keep = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
         ids[active], far[active], done[active] = (np.take_along_axis(a, keep, 1) for a in (all_ids, all_far, all_done))
     order = np.argsort(far, axis=1, kind="stable")
-    ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+    ids, far = np.take_along_axis(ids, order, 1)[:, :width], np.take_along_axis(far, order, 1)[:, :width]
     return np.where(np.isfinite(far), ids, -1), far
 
 
-def _diverse(x: np.ndarray, node: np.ndarray, ids: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
-    """Up to most links for each node from candidates, nearest first: those nearer to it than to a chosen one, then others."""
+def _diverse(x: np.ndarray, node: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Up to most links for each node from candidates (-1: none): those nearer to it than to a chosen one, nearest first, then
+    the nearest others."""
     out = np.full((len(node), most), -1, np.int64)
-    for r in range(len(node)):
-        own = ids[r][(ids[r] >= 0) & (ids[r] != node[r])]
-        if len(own) <= most:
-            out[r, : len(own)] = own
-            continue
-        v, d = x[own], far[r][(ids[r] >= 0) & (ids[r] != node[r])]
-        gap = np.add.outer((v * v).sum(1), (v * v).sum(1)) - 2 * v @ v.T
-        chosen: list[int] = []
-        free = np.ones(len(own), bool)
-        while len(chosen) < most:
-            i = int(free.argmax())
-            if not free[i]:
+    for at in range(0, len(node) if ids.shape[1] else 0, 128):
+        own, own_ids = node[at : at + 128], np.sort(ids[at : at + 128], axis=1)
+        bad = (own_ids < 0) | (own_ids == own[:, None])
+        bad[:, 1:] |= own_ids[:, 1:] == own_ids[:, :-1]
+        v = x[np.maximum(own_ids, 0)] - x[own][:, None]
+        size = np.einsum("ijk,ijk->ij", v, v)
+        by = np.argsort(np.where(bad, np.inf, size), axis=1, kind="stable")
+        own_ids, size, valid = np.take_along_axis(own_ids, by, 1), np.take_along_axis(size, by, 1), ~np.take_along_axis(bad, by, 1)
+        v = np.take_along_axis(v, by[:, :, None], 1)
+        gap = size[:, :, None] + size[:, None, :] - 2 * v @ v.transpose(0, 2, 1)
+        free, chosen, r = valid.copy(), np.zeros_like(valid), np.arange(len(own))
+        for _ in range(most):
+            i = free.argmax(1)
+            has = free[r, i]
+            if not has.any():
                 break
-            chosen.append(i)
-            free &= gap[i] >= d
-            free[i] = False
-        if len(chosen) < most:
-            rest = np.setdiff1d(np.arange(len(own)), chosen)[: most - len(chosen)]
-            chosen += rest.tolist()
-        out[r, : len(chosen)] = own[chosen]
+            chosen[r[has], i[has]] = True
+            free &= (gap[r, i] >= size) | ~has[:, None]
+            free[r, i] = False
+        rank = np.where(chosen, 0, np.where(valid, 1, 2))
+        keep = np.argsort(rank, axis=1, kind="stable")[:, :most]
+        out[at : at + 128, : keep.shape[1]] = np.where(np.take_along_axis(rank, keep, 1) < 2, np.take_along_axis(own_ids, keep, 1), -1)
     return out
 
 
@@ -141,11 +145,11 @@ def build(x: np.ndarray, names: np.ndarray) -> Graph:
             ids = np.concatenate([ids, part[near]], 1)
             far = np.concatenate([far, np.take_along_axis(inner, near, 1)], 1)
             by = np.argsort(far, axis=1, kind="stable")[:, :BUILD]
-            chosen = _diverse(x, part, np.take_along_axis(ids, by, 1), np.take_along_axis(far, by, 1), LINKS)
+            chosen = _diverse(x, part, np.take_along_axis(ids, by, 1), LINKS)
             links[lv][part, :LINKS] = chosen
             _back(x, links[lv], part, chosen)
             at += len(part)
-    return Graph(x, links, top, entry)
+    return Graph(x, links, entry)
 
 
 def _squared(v: np.ndarray) -> np.ndarray:
@@ -161,24 +165,19 @@ def _unique(starts: np.ndarray) -> np.ndarray:
 
 
 def _back(x: np.ndarray, links: np.ndarray, part: np.ndarray, chosen: np.ndarray) -> None:
-    """Link the chosen nodes back, thinning those with too many."""
-    source = np.repeat(part, chosen.shape[1])
-    target = chosen.reshape(-1)
+    """Link the chosen nodes back, thinning those with too many; a node gets its new links by as many as it may have."""
+    source, target = np.repeat(part, chosen.shape[1]), chosen.reshape(-1)
     source, target = source[target >= 0], target[target >= 0]
     by = np.argsort(target, kind="stable")
     source, target = source[by], target[by]
-    cuts = np.flatnonzero(np.diff(target)) + 1
     most = links.shape[1]
-    for node, new in zip(target[np.concatenate([[0], cuts])] if len(target) else (), np.split(source, cuts), strict=False):
-        old = links[node][links[node] >= 0]
-        both = np.union1d(old, new)
-        if len(both) <= most:
-            links[node, : len(both)] = both
-            links[node, len(both) :] = -1
-            continue
-        d = ((x[both] - x[node]) ** 2).sum(1)
-        order = np.argsort(d, kind="stable")
-        links[node] = _diverse(x, np.array([node]), both[order][None], d[order][None], most)[0]
+    turn = np.arange(len(target)) - np.searchsorted(target, target)
+    for first in range(0, int(turn.max(initial=-1)) + 1, most):
+        now = (turn >= first) & (turn < first + most)
+        node, row = np.unique(target[now], return_inverse=True)
+        new = np.full((len(node), most), -1, np.int64)
+        new[row, turn[now] - first] = source[now]
+        links[node] = _diverse(x, node, np.concatenate([links[node], new], 1), most)
 
 
 def nearest(graph: Graph, queries: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray]:
@@ -208,47 +207,82 @@ def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.ldexp(np.sqrt((np.ldexp(gap, -power[:, None]) ** 2).sum(1)), power) * twice
 
 
-INDEX = "dim int, shard int, ids array<array<long>>, vectors binary, levels int, links binary, top binary, entry long"
+#: A shard's graph. Its nodes' rows are flat too: their number for each node, then their ids and rows.
+INDEX = "dim int, shard int, copies binary, ids binary, rows binary, vectors binary, levels int, links binary, entry long"
 
 
 def _index(group: pa.Table) -> pa.Table:
     group = group.sort_by("class").combine_chunks()
     x = stacked(group.column("vector").combine_chunks())
     g = build(np.ldexp(x, -_exponent(x)).astype(np.float32), group.column("class").to_numpy())
-    return pa.table({
-        "dim": group.column("dim")[:1], "shard": group.column("shard")[:1], "ids": pa.array([group.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
-        "vectors": pa.array([x.astype(np.float64).tobytes()], pa.binary()), "levels": pa.array([len(g.links)], pa.int32()),
-        "links": pa.array([b"".join(lv.astype(np.int32).tobytes() for lv in g.links)], pa.binary()), "top": pa.array([g.top.astype(np.int8).tobytes()], pa.binary()), "entry": pa.array([g.entry], pa.int64()),
-    })
+    same = group.column("same").combine_chunks()
+    both = same.flatten()
+    flat = {
+        "copies": np.diff(same.offsets.to_numpy()).astype(np.int32), "ids": both.field("id").to_numpy(), "rows": both.field("row").to_numpy(), "vectors": x.astype(np.float64),
+        "links": np.concatenate([lv.astype(np.int32).reshape(-1) for lv in g.links]),
+    }
+    return pa.table({"dim": group.column("dim")[:1], "shard": group.column("shard")[:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in flat.items()}, "levels": pa.array([len(g.links)], pa.int32()), "entry": pa.array([g.entry], pa.int64())}).select([f.split()[0] for f in INDEX.split(", ")])
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray]:
-    x = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-    flat, at, links = np.frombuffer(row["links"], np.int32), 0, []
-    for lv in range(row["levels"]):
-        width = LINKS * 2 if lv == 0 else LINKS
-        links.append(flat[at : at + len(x) * width].reshape(len(x), width))
-        at += len(x) * width
-    return Graph(np.ldexp(x, -_exponent(x)).astype(np.float32), links, np.frombuffer(row["top"], np.int8), row["entry"]), x
+@dataclass
+class Shard:
+    """A graph, its vectors as they are, their exponent, and the ids and rows of each node from start on."""
+
+    graph: Graph
+    exact: np.ndarray
+    scale: int
+    start: np.ndarray
+    ids: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def load(row: dict) -> Shard:
+        x = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+        flat, at, links = np.frombuffer(row["links"], np.int32), 0, []
+        for lv in range(row["levels"]):
+            width = LINKS * 2 if lv == 0 else LINKS
+            links.append(flat[at : at + len(x) * width].reshape(len(x), width))
+            at += len(x) * width
+        scale = -_exponent(x)
+        start = np.concatenate([[0], np.cumsum(np.frombuffer(row["copies"], np.int32))])
+        return Shard(Graph(np.ldexp(x, scale).astype(np.float32), links, row["entry"]), x, scale, start, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64))
+
+    def found(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[list[tuple[float, int, int]]]:
+        """For each query, the row own, distance, id and row of its k nearest others, by distance, then id."""
+        apart = np.ldexp(np.abs(self.exact).max(1), self.scale).min() < 1 / RANGE
+        with np.errstate(over="ignore"):
+            scaled = np.ldexp(queries, self.scale)
+        every = apart | (np.abs(scaled).max(1) > RANGE)
+        nodes, _ = nearest(self.graph, np.where(every[:, None], 0, scaled).astype(np.float32), k + 1)
+        for q, near, v, whole in zip(own.tolist(), nodes, queries, every, strict=True):
+            near = np.arange(len(self.exact)) if whole else near[near >= 0]
+            d = _distances(self.exact[near], v)
+            if whole:
+                at = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+                near, d = near[at], d[at]
+            spans = [(e, range(self.start[i], self.start[i + 1])) for e, i in zip(d.tolist(), near, strict=True)]
+            yield sorted((e, int(self.ids[j]), int(self.rows[j])) for e, js in spans for j in js if self.rows[j] != q)[:k]
 
 
 def _smallest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of each class in a task, the vector and the most smallest ids; so a class held by a third of all rows stays small."""
     held: dict[int, list] = {}
+    same = pa.list_(pa.struct([("id", pa.int64()), ("row", pa.int64())]))
 
     def out() -> pa.RecordBatch:
         names = list(held)
-        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([sorted(held[c][1])[:most] for c in names], pa.list_(pa.int64())), pa.array([held[c][0] for c in names], pa.list_(pa.float64()))], ["class", "ids", "vector"])
+        ids = [[{"id": i, "row": r} for i, r in sorted(held[c][1])[:most]] for c in names]
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, same), pa.array([held[c][0] for c in names], pa.list_(pa.float64()))], ["class", "same", "vector"])
         held.clear()
         return batch
 
     for batch in batches:
-        for i, c, v in zip(batch.column("id").to_pylist(), batch.column("class").to_pylist(), batch.column("vector"), strict=True):
+        for i, r, c, v in zip(*(batch.column(n).to_pylist() for n in ("id", "row", "class")), batch.column("vector"), strict=True):
             if c not in held:
-                held[c] = [v.as_py(), [i]]
+                held[c] = [v.as_py(), [(i, r)]]
             else:
                 own = held[c][1]
-                own.append(i)
+                own.append((i, r))
                 if len(own) > 8 * most:
                     held[c][1] = sorted(own)[:most]
         if len(held) >= 20_000:
@@ -257,62 +291,61 @@ def _smallest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield out()
 
 
-def index(base: DataFrame, most: int, shard_rows: int = SHARD) -> DataFrame:
-    """The table of graphs over keyed rows, for results of up to most - 1 rows."""
-    rows = base.where(F.col("class").isNotNull() & F.col("id").isNotNull()).select("id", "class", F.col("vector").cast("array<double>").alias("vector"))
-    parts = rows.mapInArrow(lambda b: _smallest(b, most), "class long, ids array<long>, vector array<double>")
-    nodes = parts.groupBy("class").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"), F.first("vector").alias("vector"))
+def index(base: DataFrame, most: int, shard_rows: int | None = None) -> DataFrame:
+    """The table of graphs over keyed rows (id, row, class, vector), for results of up to most - 1 rows."""
+    rows = base.where(F.col("class").isNotNull() & F.col("id").isNotNull()).select("id", "row", "class", F.col("vector").cast("array<double>").alias("vector"))
+    parts = rows.mapInArrow(freed(lambda b: _smallest(b, most)), "class long, same array<struct<id:long,row:long>>, vector array<double>")
+    nodes = parts.groupBy("class").agg(F.slice(F.sort_array(F.flatten(F.collect_list("same"))), 1, most).alias("same"), F.first("vector").alias("vector"))
     nodes = stash(nodes, "hnsw_nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    placed = nodes.select("class", "ids", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int").alias("shard"))
-    return stash(placed.groupBy("dim", "shard").applyInArrow(_index, INDEX), "hnsw_index")
-
-
-def _searched(k: int, shards: pa.Table, blocks: pa.Table) -> pa.Table:
-    query, found, score = [], [], []
-    for row in shards.to_pylist() if blocks.num_rows else ():
-        graph, exact = _load(row)
-        ids, names = blocks.column("id").to_numpy(), row["ids"]
-        x, scale = stacked(blocks.column("vector").combine_chunks()), -_exponent(exact)
-        apart = np.ldexp(np.abs(exact).max(1), scale).min() < 1 / RANGE
-        for at in range(0, len(ids), 256):
-            part = x[at : at + 256]
-            with np.errstate(over="ignore"):
-                scaled = np.ldexp(part, scale)
-            every = apart | (np.abs(scaled).max(1) > RANGE)
-            nodes, _ = nearest(graph, np.where(every[:, None], 0, scaled).astype(np.float32), k + 1)
-            for q, near, v, whole in zip(ids[at : at + 256], nodes, part, every, strict=True):
-                near = np.arange(len(exact)) if whole else near[near >= 0]
-                d = _distances(exact[near], v)
-                if whole:
-                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-                    d = d[near]
-                best = sorted((dist, i) for dist, node in zip(d.tolist(), near, strict=True) for i in names[node] if i != q)[:k]
-                query += [int(q)] * len(best)
-                found += [i for _, i in best]
-                score += [dist for dist, _ in best]
-    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
-
-
-def search(rows: DataFrame, id_column: str, vector: str, every: int = 100, k: int = 10, shard_rows: int = SHARD) -> DataFrame:
+    n = nodes.count()
+    shards = max(1, -(-n // (shard_rows or min(LARGEST, max(SHARD, n // SHARES)))))
+    placed = nodes.select("class", "same", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int").alias("shard"))
+    return stash(placed.groupBy("dim", "shard").applyInArrow(freed_group(_index), INDEX), "hnsw_index")
+
+
+FOUND = "query_row long, query_id long, vec_id long, vec_row long, score double"
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Results of queries, each of which follows the graph that it meets; a graph is held until the next one comes."""
+    shard: Shard | None = None
+    kinds = [pa.int64()] * 4 + [pa.float64()]
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    for batch in batches:
+        graphs = np.flatnonzero(batch.column("kind").to_numpy() == 0)
+        edges = sorted({0, *graphs.tolist(), batch.num_rows})
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if a in graphs:
+                shard, part = Shard.load(part.slice(0, 1).to_pylist()[0]), part.slice(1)
+            for at in range(0, part.num_rows, TOGETHER):
+                own = part.slice(at, TOGETHER)
+                rows, ids = own.column("query_row").to_numpy(), own.column("query_id").to_pylist()
+                best = list(shard.found(stacked(own.column("vector")), rows, k))
+                out = [(int(r), i, v, w, d) for r, i, found in zip(rows, ids, best, strict=True) for d, v, w in found]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def search(rows: DataFrame, id_column: str, vector: str, every: int = 100, k: int = 10, shard_rows: int | None = None, queries_of: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose id is divisible by every.
 
     Rows with a null id, and vectors that are null, zero or hold null or non-finite components, take no part; vectors meet
-    those of their length only. Equal distances rank by id. Repeated ids are rows of their own but never found for a
-    query of that id. An empty table, or one without a query, gives no rows; other columns are not looked at.
+    those of their length only. Equal distances rank by id. Of repeated ids each row is a query and a candidate of the
+    others. An empty table, or one without a query, gives no rows; other columns are not looked at.
     """
-    base = stash(keyed(rows, id_column, vector), "hnsw_rows")
+    base = stash(keyed(rows, id_column, vector).withColumn("row", F.monotonically_increasing_id()), "hnsw_rows")
     graphs = index(base, k + 1, shard_rows)
-    queries = base.where(F.col("class").isNotNull() & (F.col("id") % every == 0)).select("id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")).dropDuplicates(["id"])
-    # each block of queries goes to every shard: a group holds a shard's graph and a block
+    queries = base.where(F.col("class").isNotNull() & (F.col("id") % every == 0)).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
     queries = stash(queries, "hnsw_queries")
-    n_blocks = max(1, -(-queries.count() // QUERIES))
+    # every query meets every shard of its length; a graph comes once for so many queries, before them
+    n_blocks = max(1, -(-queries.count() // queries_of))
     shards = small(graphs.groupBy("dim").agg(F.max("shard").alias("last")), 1000)
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    asked = queries.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("block", F.pmod(F.xxhash64("query_row"), F.lit(n_blocks)).cast("int")).drop("last").withColumn("kind", F.lit(1))
+    sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("kind", F.lit(0))
     by = ("dim", "shard", "block")
-    met = blocks.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(lambda key, q, g: _searched(k, g, q), "query_id long, vec_id long, score double")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    met = sent.unionByName(asked, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(freed(lambda b: _streamed(b, k)), FOUND)
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "vec_row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
