@@ -528,9 +528,13 @@ def test_nearest_of_any_magnitude(scales):
     """A shard with vectors of one or several magnitudes, as _index and _searched see it, against brute force."""
     r, n = np.random.default_rng(4), 300
     x = r.standard_normal((n, 8)) * np.array(scales)[np.arange(n) % len(scales)][:, None]
-    table = hnsw.pa.table({"dim": hnsw.pa.array([8] * n, hnsw.pa.int32()), "shard": hnsw.pa.array([0] * n, hnsw.pa.int32()), "class": np.arange(n), "ids": [[i] for i in range(n)], "vector": hnsw.pa.array(x.tolist(), hnsw.pa.list_(hnsw.pa.float64()))})
-    asked = hnsw.pa.table({"id": np.arange(0, n, 7), "vector": hnsw.pa.array(x[::7].tolist(), hnsw.pa.list_(hnsw.pa.float64()))})
-    got = hnsw._searched(5, hnsw._index(table), asked).to_pandas()
+    same = hnsw.pa.array([[{"id": i, "row": i}] for i in range(n)], hnsw.pa.list_(hnsw.pa.struct([("id", hnsw.pa.int64()), ("row", hnsw.pa.int64())])))
+    table = hnsw.pa.table({"dim": hnsw.pa.array([8] * n, hnsw.pa.int32()), "shard": hnsw.pa.array([0] * n, hnsw.pa.int32()), "class": np.arange(n), "same": same, "vector": hnsw.pa.array(x.tolist(), hnsw.pa.list_(hnsw.pa.float64()))})
+    graph = hnsw._index(table).append_column("kind", hnsw.pa.array([0])).to_pylist()
+    asked = [{"kind": 1, "query_row": i, "query_id": i, "vector": x[i].tolist()} for i in range(0, n, 7)]
+    kinds = hnsw.pa.schema([("dim", hnsw.pa.int32()), ("levels", hnsw.pa.int32()), ("entry", hnsw.pa.int64()), ("kind", hnsw.pa.int32()), ("query_row", hnsw.pa.int64()), ("query_id", hnsw.pa.int64()), ("vector", hnsw.pa.list_(hnsw.pa.float64())), *((c, hnsw.pa.binary()) for c in ("copies", "ids", "rows", "vectors", "links"))])
+    batches = [hnsw.pa.RecordBatch.from_pylist([{c: r.get(c) for c in kinds.names} for r in part], kinds) for part in (graph + asked[:20], asked[20:])]
+    got = hnsw.pa.Table.from_batches(list(hnsw._streamed(batches, 5))).to_pandas()
     hits = 0
     for q in range(0, n, 7):
         d = [math.dist(x[q], v) for v in x]
@@ -539,3 +543,20 @@ def test_nearest_of_any_magnitude(scales):
         assert len(own) == 5 and np.allclose(own.score, [d[i] for i in own.vec_id], rtol=1e-12, atol=0)
         hits += len({i for _, i in want} & set(own.vec_id))
     assert hits >= 0.97 * 5 * len(range(0, n, 7))
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Every row with a query's id is a query, and a candidate of the other rows; queries are dealt over several blocks."""
+    x = vectors(300, 9)
+    rows = [(i if i % 3 else 100, [float(v) for v in v]) for i, v in enumerate(x)] + [(200, [float(v) for v in x[0]])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    y = np.array([v for _, v in rows], np.float64)
+    ids = np.array([i for i, _ in rows])
+    want = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        near = sorted((d[i], int(ids[i]), i) for i in range(len(rows)) if i != q)[:10]
+        want += [(int(ids[q]), k + 1, i, round(e, 9)) for k, (e, i, _) in enumerate(near)]
+    for block in (100_000, 20):
+        got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in hnsw.search(df, "vec_id", "embedding", k=10, shard_rows=150, queries_of=block).collect()]
+        assert len(got) == len(want) and len(set(got) & set(want)) >= 0.99 * len(set(want))
