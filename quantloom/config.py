@@ -27,6 +27,16 @@ class Params:
     horizons: tuple[int, ...] = (60, 120, 240)
     stops: tuple[float, ...] = (1.0, 2.0)
     targets: tuple[float, ...] = (1.0, 2.0)
+    # level events: minutes of signal bars, bands and stops in average true ranges, targets in what the stop risks
+    level_bars: tuple[int, ...] = (60, 120)
+    bands: tuple[float, ...] = (0.0, 0.25, 0.5, 1.0)
+    level_stops: tuple[float, ...] = (0.5, 1.0, 2.0)  # besides the structural stop
+    level_targets: tuple[int, ...] = (1, 2, 3)
+    level_window: int = 12  # signal bars within which a retest or a failure must come
+    rearm: float = 0.5  # a level is free again after a close so many ranges off it
+    last_entry: int = 1260  # minute of the day
+    struct_floor: float = 0.1  # the least structural stop
+    hours: tuple[int, ...] = (480, 600, 780, 990, 1080)  # edges of the day's parts
     reps: int = 200  # bootstrap resamples, and permutations
     alpha: float = 0.05
     seed: int = 7

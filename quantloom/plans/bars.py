@@ -15,7 +15,7 @@ BARS = """
 ticks AS (SELECT event_type AS series, epoch_us(ts) // 60000000 AS minute, ts, event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS points FROM events),
 base AS (
   SELECT series, t, t + 15 AS tc, t // 1440 AS day, o, h, l, c, tv, points * 0.01::DOUBLE AS spread FROM (
-    SELECT series, minute - minute % 15 AS t, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l, arg_max(value, ts) AS c, count(*) AS tv, arg_max(points, ts) AS points
+    SELECT series, minute - minute % 15 AS t, first(value ORDER BY ts, event_id) AS o, max(value) AS h, min(value) AS l, last(value ORDER BY ts, event_id) AS c, count(*) AS tv, last(points ORDER BY ts, event_id) AS points
     FROM ticks GROUP BY ALL)
   WHERE (t // 1440 + 3) % 7 < 5),
 signal AS (
