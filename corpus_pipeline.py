@@ -55,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null text stays null and its n_chars as it is; an empty one stays empty; repeated rows and repeated doc_ids are each
     redacted for itself; very long texts are searched whole; an empty table gives no rows; other columns go.
     """
-    done = pii.redacted(docs.select(*COLUMNS), pii.train(pii.sentences(spark)))
+    done = pii.redacted(docs.select(*COLUMNS), pii.learn(docs))
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
@@ -70,12 +70,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs.select(F.col("row").alias("doc_id"), "source", mixing.words(F.col("text")).alias("size")))
     taken = taken.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0").withColumnRenamed("doc_id", "row")
     taken = stash(taken, "pipeline_taken")
-    out = docs.join(taken.where("n = 1").select("row", "copies"), "row")
+    out = docs.join(small(taken.where("n = 1").select("row", "copies"), IDS_BROADCAST), "row")
     again = taken.where("n > 1").select("row", "copies")
     if again.limit(1).count():
         ids = small(again.select("row"), IDS_BROADCAST)
         once = docs.join(ids, "row", "left_semi").groupBy("row").agg(F.first(F.struct(*COLUMNS)).alias("doc")).select("row", "doc.*")
-        out = out.unionByName(once.join(again, "row"))
+        out = out.unionByName(once.join(small(again, IDS_BROADCAST), "row"))
     return repeated(out, "copies", "copy", run=100).select(*COLUMNS)
 
 
