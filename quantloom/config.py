@@ -41,8 +41,16 @@ class Params:
     alpha: float = 0.05
     seed: int = 7
     train_days: int = 15
+    test_days: int = 3
     embargo: int = 1
+    m1_bins: int = 5  # bins of a feature alone, and of each of a pair
+    m2_bins: int = 3
+    m2_min_rows: int = 30
+    m2_min_days: int = 5
+    m3_depth: int = 3
     min_leaf: int = 40
+    fit_reps: int = 100  # resamples that activate a cell
+    null_runs: int = 2  # runs with permuted training targets
 
     def fingerprint(self) -> str:
         """The first 16 digits of the SHA-256 of the sorted record."""

@@ -47,18 +47,23 @@ def pair_cells(binned: DataFrame, key: list[str], least_rows: int, least_days: i
     return x.where((F.col("n") >= least_rows) & (F.col("days") >= least_days))
 
 
-def activated(binned: DataFrame, weights: DataFrame, alpha: float, *by: str) -> DataFrame:
-    """Cells and sides with a positive mean whose lower bound under day resampling is positive too.
+def by_side(binned: DataFrame, *key: str) -> DataFrame:
+    """key, day, side, s, n: sums and numbers of the results of longs and shorts by day. Partial sums come before the shuffle."""
+    daily = binned.groupBy(*key, "day").agg(F.sum("long").alias("sl"), F.count("long").alias("nl"), F.sum("short").alias("ss"), F.count("short").alias("ns"))
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("sl").alias("s"), F.col("nl").alias("n")), F.struct(F.lit(-1).alias("side"), F.col("ss").alias("s"), F.col("ns").alias("n")))
+    return daily.select(*key, "day", F.explode(sides).alias("x")).select(*key, "day", "x.*").where("n > 0")
 
-    Cells without a positive sum are dropped before they meet the resamples.
-    """
-    sides = binned.select(*by, "feature", "bin", "day", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("long").alias("v")), F.struct(F.lit(-1).alias("side"), F.col("short").alias("v")))).alias("s"))
-    daily = sides.select(*by, "feature", "bin", "day", "s.side", "s.v").where("v is not null").groupBy(*by, "feature", "bin", "side", "day").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
-    key = [*by, "feature", "bin", "side"]
-    good = daily.groupBy(*key).agg(F.sum("s").alias("total"), F.sum("n").alias("trades")).where("total > 0")
-    reps = daily.join(good, key).join(weights, [*by, "day"]).groupBy(*key, "total", "trades", "rep").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("mean"))
-    bound = reps.groupBy(*key, "total", "trades").agg(F.percentile("mean", alpha).alias("lower"))
-    return bound.where("lower > 0").select(*key, "trades", (F.col("total") / F.col("trades")).alias("mean"), "lower")
+
+def activated(daily: DataFrame, weights: DataFrame, alpha: float, key: list[str], by: list[str], least_rows: int = 1, least_days: int = 1) -> DataFrame:
+    """Of by_side's cells those with a positive sum, enough rows and days, whose lower bound under day resampling is positive
+    too. weights is by rep, day and by; cells that fail the rest are dropped before they meet the resamples."""
+    cell = [*key, "side"]
+    good = daily.groupBy(*cell).agg(F.sum("s").alias("total"), F.sum("n").alias("trades"), F.count(F.lit(1)).alias("days"))
+    good = good.where((F.col("total") > 0) & (F.col("trades") >= least_rows) & (F.col("days") >= least_days))
+    reps = daily.join(good, cell).join(weights, [*by, "day"]).groupBy(*cell, "total", "trades", "days", "rep")
+    reps = reps.agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("mean"))
+    bound = reps.groupBy(*cell, "total", "trades", "days").agg(F.percentile("mean", alpha).alias("lower"))
+    return bound.where("lower > 0").select(*cell, "trades", "days", (F.col("total") / F.col("trades")).alias("mean"), "lower")
 
 
 def best_splits(long: DataFrame, node: str, least: int) -> DataFrame:
@@ -78,24 +83,37 @@ def best_splits(long: DataFrame, node: str, least: int) -> DataFrame:
     return x.select(node, "b.*")
 
 
-def regression_tree(rows: DataFrame, names: tuple[str, ...], y: str, depth: int, least: int, *keep: str) -> DataFrame:
-    """rows (keep, y) with leaf, a path of L and R: an exact tree, one pass of best_splits a level."""
+CONDS = "array<struct<feature:string,lo:double,hi:double,lo_closed:boolean,hi_closed:boolean>>"
+
+
+def cond(feature, lo, hi, lo_closed: bool = True, hi_closed: bool = False) -> Column:
+    """A condition as a struct: an interval of a feature, whose null bounds are open."""
+    return F.struct(feature.alias("feature"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.lit(lo_closed).alias("lo_closed"), F.lit(hi_closed).alias("hi_closed"))
+
+
+def regression_tree(rows: DataFrame, names: tuple[str, ...], y: str, depth: int, least: int, *keep: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows (keep, y) with leaf, a path of L and R, and conds, its conditions: an exact tree for each group of by, one pass of
+    best_splits a level for all of them."""
     from quantloom.operators.resample import written
 
-    x = rows.select(*keep, F.col(y).alias("y"), *names).na.drop().withColumn("leaf", F.lit("")).withColumn("path", F.array().cast("array<string>"))
+    x = rows.select(*keep, *by, F.col(y).alias("y"), *names).na.drop(subset=["y", *names]).withColumn("leaf", F.lit("")).withColumn("conds", F.array().cast(CONDS))
     for _ in range(depth):
-        x = written(x, "tree")
-        splits = best_splits(unpivot(x, names, "leaf", "y"), "leaf", least).select("leaf", "feature", "threshold")
-        value = F.element_at(F.create_map(*[c for n in names for c in (F.lit(n), F.col(n).cast("double"))]), F.col("feature"))
-        left = value <= F.col("threshold")
-        x = x.join(F.broadcast(splits), "leaf", "left")
-        step = F.concat_ws("", "feature", F.when(left, " <= ").otherwise(" > "), F.format_number("threshold", 6))
-        x = x.withColumn("path", F.when(F.col("feature").isNull(), F.col("path")).otherwise(F.concat("path", F.array(step)))).withColumn("leaf", F.when(F.col("feature").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.when(left, "L").otherwise("R")))).drop("feature", "threshold")
+        x = written(x.withColumn("node", F.concat_ws("/", *by, "leaf")), "tree")
+        splits = best_splits(unpivot(x, names, "node", "y"), "node", least).select("node", F.col("feature").alias("on"), "threshold")
+        value = F.element_at(F.create_map(*[c for n in names for c in (F.lit(n), F.col(n).cast("double"))]), F.col("on"))
+        left, none = value <= F.col("threshold"), F.lit(None)
+        # at most 2 ** depth rows for each group
+        x = x.join(splits, "node", "left")
+        step = F.when(left, cond(F.col("on"), none, F.col("threshold"), True, True)).otherwise(cond(F.col("on"), F.col("threshold"), none, False, False))
+        x = x.withColumn("conds", F.when(F.col("on").isNull(), F.col("conds")).otherwise(F.concat("conds", F.array(step))))
+        x = x.withColumn("leaf", F.when(F.col("on").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.when(left, "L").otherwise("R")))).drop("on", "threshold", "node")
     return x
 
 
-def leaves(tree: DataFrame) -> DataFrame:
-    return tree.groupBy("leaf", F.array_join("path", " and ").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+def leaves(tree: DataFrame, *by: str) -> DataFrame:
+    """Rows and mean of each leaf, with its conditions as text."""
+    step = lambda c: F.concat(c["feature"], F.when(c["lo"].isNull(), F.concat(F.lit(" <= "), F.format_number(c["hi"], 6))).otherwise(F.concat(F.lit(" > "), F.format_number(c["lo"], 6))))
+    return tree.groupBy(*by, "leaf", F.array_join(F.transform("conds", step), " and ").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
 
 
 def folds(days: DataFrame, train: int, embargo: int, width: int) -> DataFrame:
@@ -120,14 +138,3 @@ def permuted(rows: DataFrame, mapping: DataFrame, values: list[str], key: list[s
     return rows.join(mapping, "day").join(source, [*key, "source_day"], "left")
 
 
-def fitted_rules(cells_on: DataFrame, cuts: DataFrame) -> list[Rule]:
-    """Rules of activated cells; there are at most two for each bin of each feature."""
-    rows = cells_on.join(cuts, "feature").orderBy("feature", "bin", "side").collect()
-    out = []
-    for row in rows:
-        e = row["edges"]
-        out.append(Rule(f"{row['feature']}:{row['bin']}", row["side"], (Cond(row["feature"], e[row["bin"] - 1] if row["bin"] else None, e[row["bin"]] if row["bin"] < len(e) else None),)))
-    return out
-
-
-__all__ = ["activated", "best_splits", "bins", "cells", "day_permutation", "draw", "edges", "fitted_rules", "folds", "leaves", "pair_cells", "permuted", "regression_tree", "unpivot"]

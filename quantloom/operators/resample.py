@@ -34,6 +34,15 @@ def boot_weights(spark: SparkSession, days: DataFrame, reps: int, seed: int) ->
     return picked.join(numbered, "i").select("rep", "day", "w")
 
 
+def boot_weights_by(days: DataFrame, by: str, reps: int, seed: int) -> DataFrame:
+    """by, rep, day, w: the same for the days of each group. days has by and day."""
+    own = Window.partitionBy(by)
+    numbered = days.select(by, "day").distinct().withColumn("i", F.row_number().over(own.orderBy("day")) - 1).withColumn("all", F.count(F.lit(1)).over(own))
+    draws = numbered.select(by, "i", "all", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    picked = draws.select(by, "rep", (draw(F.lit(str(seed)), by, "rep", "i") % F.col("all")).alias("i")).groupBy(by, "rep", "i").agg(F.count(F.lit(1)).alias("w"))
+    return picked.join(numbered.drop("all"), [by, "i"]).select(by, "rep", "day", "w")
+
+
 def day_bootstrap(trades: DataFrame, weights: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:
     """Mean, bounds, share of resampled means at or below 0, days and trades of each group; trades are summed by day first."""
     daily = trades.where(F.col(value).isNotNull()).groupBy(*by, "day").agg(F.sum(value).alias("s"), F.count(value).alias("n"))

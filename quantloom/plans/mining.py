@@ -9,7 +9,7 @@ from quantloom.config import DEFAULT as P
 from quantloom.functions.rules import Cond, Rule, direction, hits
 from quantloom.functions.time import r6
 from quantloom.operators import bars as ops
-from quantloom.operators import features, mining, outcomes, resample
+from quantloom.operators import features, mining, outcomes, resample, walk
 from quantloom.plans.bars import ALL_F, BARS, all_features, decided, q, r, rounded
 from quantloom.plans.outcomes import CTES, TARGETS, _paths, singles
 from quantloom.plans.outcomes import ALL_KINDS, CHAIN
@@ -46,7 +46,8 @@ def binned(spark: SparkSession, sf_dir: str, n: int, names: tuple[str, ...] = N)
 
 def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = resample.written(binned(spark, sf_dir, 5), "activation")
-    return rounded(mining.activated(x, resample.boot_weights(spark, x, P.reps, P.seed), P.alpha))
+    on = mining.activated(mining.by_side(x, "feature", "bin"), resample.boot_weights(spark, x, P.reps, P.seed), P.alpha, ["feature", "bin"], [])
+    return rounded(on.drop("days"))
 
 
 def rule_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def cart(depth: int):
 
 
 def fold_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.folds(ops.days(base(spark, sf_dir)), P.train_days, P.embargo, 3)
+    return mining.folds(ops.days(base(spark, sf_dir)), P.train_days, P.embargo, P.test_days)
 
 
 def day_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,20 +82,52 @@ def day_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mining.permuted(x, mapping, ["long"], ["series", "slot"]).select("run", "series", "day", "slot", "source_day", "p_long"))
 
 
+def walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with all features, results by horizon, folds."""
+    rows = resample.written(all_features(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 1440).cast("long")), "walk_rows")
+    targets = resample.written(outcomes.targets(base(spark, sf_dir), decided(spark, sf_dir), P).select("series", "t", F.col("horizon").cast("long").alias("horizon"), "long", "short"), "walk_targets")
+    return rows, targets, resample.written(fold_masks(spark, sf_dir), "walk_folds")
+
+
+def walked(spark: SparkSession, sf_dir: str, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules, trades and means of the real run and of so many with permuted training results."""
+    rows, targets, plan = walk_inputs(spark, sf_dir)
+    train = resample.written(walk.training(rows, targets, plan, runs, P.seed), "walk_train")
+    rules = resample.written(walk.rules(train, N, P), "walk_rules")
+    trades = resample.written(walk.traded(rows, targets, plan, rules, N), "walk_trades")
+    every = spark.range(-1, runs).withColumnRenamed("id", "run")
+    return rules, trades, walk.means(trades, targets, every)
+
+
+def walk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of all families, folds and horizons."""
+    x = walked(spark, sf_dir, 0)[0]
+    step = lambda c: F.concat_ws(" ", c["feature"], *(F.coalesce(r6(c[k]).cast("decimal(30,6)").cast("string"), F.lit("open")) for k in ("lo", "hi")))
+    return rounded(x.select("fold", "horizon", "family", "direction", F.array_join(F.array_sort(F.transform("conds", step)), ", ").alias("conds"), "n", "days", "mean"))
+
+
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-feature rules, fitted on each fold's training days and traded on its test days."""
-    x = resample.written(dataset(spark, sf_dir), "walk")
-    plan = resample.written(fold_masks(spark, sf_dir), "folds")
-    long = mining.unpivot(x.join(F.broadcast(plan), "day"), N, "fold", "role", "series", "t", "day", "long", "short")
-    train = long.where("role = 'train'")
-    cuts = resample.written(mining.edges(train, 5, "fold"), "cuts")
-    fitted = mining.cells(mining.bins(train, cuts, "fold"), "fold").where("n >= 20")
-    side = F.when(F.col("mean_long") > 0, 1).when(F.col("mean_short") > 0, -1)
-    rules = fitted.select("fold", "feature", "bin", side.alias("side")).where("side is not null")
-    test = mining.bins(long.where("role = 'test'"), cuts, "fold").join(rules, ["fold", "feature", "bin"])
-    fired = test.groupBy("fold", "series", "t", "day", "long", "short").agg(F.max("side").alias("up"), F.min("side").alias("down")).where("up = down")
-    net = F.when(F.col("up") > 0, F.col("long")).otherwise(F.col("short"))
-    return rounded(fired.groupBy("fold").agg(F.count(F.lit(1)).alias("trades"), F.countDistinct("day").alias("days"), F.avg(net).alias("mean_net")))
+    """Rules of all three families, fitted on each fold's training days and traded on its test days, by horizon."""
+    return rounded(walked(spark, sf_dir, 0)[2].drop("run"))
+
+
+def walk_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with training results permuted by days, for some runs."""
+    return rounded(walked(spark, sf_dir, P.null_runs)[2].where("run >= 0"))
+
+
+def walk_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family and horizon against the runs with permuted results: p, Holm's, the best of all, folds, bounds, verdict."""
+    _, trades, means = walked(spark, sf_dir, P.null_runs)
+    means = resample.written(means.withColumn("mean", r6(F.col("mean_net"))), "walk_means")
+    by, real = ["family", "horizon"], trades.where("run = -1")
+    null = means.where("run >= 0").select("run", *by, F.col("mean").alias("null_mean"))
+    ps = resample.written(resample.permutation_p(means.where("run = -1").select(*by, "mean"), null, by), "walk_p")
+    boot = resample.day_bootstrap(real, resample.boot_weights(spark, real, P.reps, P.seed), by, "net", P.alpha).select(*by, "lower")
+    parts = real.groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("m")).groupBy(*by).agg(F.min("n").alias("min_trades"), F.min("m").alias("min_mean"))
+    best = resample.max_statistic_p(ps.select(*by, "mean"), resample.null_best(null), by).select(*by, "p_max")
+    rows = ps.join(resample.holm(ps.select(*by, "p"), by, P.alpha).select(*by, "p_holm"), by).join(best, by).join(boot, by, "left").join(parts, by, "left")
+    return rounded(resample.verdict(rows, P.alpha, 1))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +193,10 @@ QUERIES = {
     "cart_depth3": cart(3),
     "fold_masks": fold_masks,
     "day_permutation": day_permutation,
+    "walk_rules": walk_rules,
     "walk_forward": walk_forward,
+    "walk_null": walk_null,
+    "walk_verdict": walk_verdict,
     "day_bootstrap": day_bootstrap,
     "flip_null": flip_null,
     "perm_pvalue": perm_pvalue,
@@ -217,6 +253,84 @@ FOLDS = """
 dn AS (SELECT day, row_number() OVER (ORDER BY day) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT day FROM base)),
 fl AS (SELECT day, fold, CASE WHEN n <= 15 + fold * 3 - 1 THEN 'train' WHEN n > 15 + fold * 3 AND n <= 18 + fold * 3 THEN 'test' END AS role FROM dn, LATERAL (SELECT unnest(range(greatest(0, (total - 16) // 3) + 1)) AS fold)),
 folds AS (SELECT * FROM fl WHERE role IS NOT NULL)"""
+#: Cells that are activated: those of {key} with enough rows and days and a positive lower bound.
+ON = """
+{name}d AS MATERIALIZED (SELECT * FROM (SELECT run, fold, horizon, {key}, day, 1 AS side, sum(long) AS s, count(*) AS n FROM {src} GROUP BY ALL) UNION ALL SELECT * FROM (SELECT run, fold, horizon, {key}, day, -1, sum(short), count(*) FROM {src} GROUP BY ALL)),
+{name}g AS (SELECT run, fold, horizon, {key}, side, sum(s) AS total, sum(n)::BIGINT AS trades, count(*) AS days FROM {name}d GROUP BY ALL HAVING sum(s) > 0 AND sum(n) >= {rows} AND count(*) >= {days}),
+{name}r AS (SELECT run, fold, horizon, {key}, side, total, trades, days, rep, sum(s * w) / nullif(sum(n * w), 0) AS m FROM {name}d JOIN {name}g USING (run, fold, horizon, {key}, side) JOIN fw USING (fold, day) GROUP BY ALL),
+{name} AS (SELECT run, fold, horizon, {key}, side, trades, days, total / trades AS mean FROM {name}r GROUP BY ALL HAVING quantile_cont(m, 0.05) > 0)"""
+_LOW = "CASE WHEN {b} > 0 THEN {e}[{b}] END"
+_TEXT = "concat_ws(' ', {f}, coalesce(({lo})::DECIMAL(30, 6)::VARCHAR, 'open'), coalesce(({hi})::DECIMAL(30, 6)::VARCHAR, 'open'))"
+
+
+def cond_sql(f: str, b: str, e: str) -> str:
+    return _TEXT.format(f=f, lo=_LOW.format(b=b, e=e), hi=f"{e}[{b} + 1]")
+
+
+def level_sql(n: int) -> str:
+    """One level of all trees: the best split of every node, and the rows' nodes below it."""
+    return f"""
+v{n} AS (SELECT run, fold, horizon, leaf, feature, x, count(*) AS n, sum(long) AS s FROM t{n} GROUP BY ALL),
+c{n} AS (SELECT *, (x + lead(x) OVER w) / 2 AS threshold, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER f AS nt, sum(s) OVER f AS st FROM v{n} WINDOW w AS (PARTITION BY run, fold, horizon, leaf, feature ORDER BY x), f AS (PARTITION BY run, fold, horizon, leaf, feature)),
+b{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, fold, horizon, leaf ORDER BY gain DESC, feature, threshold) AS k FROM (
+  SELECT *, round(sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt, 9) AS gain FROM c{n} WHERE nl >= {P.min_leaf} AND nt - nl >= {P.min_leaf})) WHERE k = 1),
+s{n} AS (SELECT t.run, t.fold, t.horizon, t.series, t.t, t.x <= b.threshold AS below, b.feature, b.threshold FROM t{n} t JOIN b{n} b USING (run, fold, horizon, leaf, feature)),
+t{n + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (leaf, conds), CASE WHEN s.below IS NULL THEN leaf ELSE leaf || CASE WHEN s.below THEN 'L' ELSE 'R' END END AS leaf,
+  CASE WHEN s.below IS NULL THEN conds ELSE list_append(conds, {{'feature': s.feature, 'lo': CASE WHEN s.below THEN NULL ELSE s.threshold END, 'hi': CASE WHEN s.below THEN s.threshold END}}) END AS conds
+  FROM t{n} t LEFT JOIN s{n} s USING (run, fold, horizon, series, t))"""
+
+
+FEATURES_OF = ", ".join(f"{n}::DOUBLE AS {n}" for n in N)
+WALK = f"""
+ft AS (SELECT DISTINCT fold, day FROM folds WHERE role = 'train' AND day IN (SELECT day FROM fall)),
+yy AS MATERIALIZED (SELECT f.series, f.day, f.t, f.t % 1440 AS slot, g.horizon::BIGINT AS horizon, g.long, g.short FROM fall f JOIN targets g USING (series, day, t) WHERE g.long IS NOT NULL AND g.short IS NOT NULL),
+pq AS (SELECT run, fold, day, row_number() OVER (PARTITION BY run, fold ORDER BY day) AS i, row_number() OVER (PARTITION BY run, fold ORDER BY md5(concat_ws(':', '7', run, fold, day))) AS k FROM ft, range({P.null_runs}) a(run)),
+pm AS (SELECT a.run, a.fold, a.day, b.day AS source FROM pq a JOIN pq b ON a.run = b.run AND a.fold = b.fold AND a.i = b.k),
+ty AS (SELECT -1::BIGINT AS run, fold, horizon, series, day, slot, long, short FROM yy JOIN ft USING (day) UNION ALL SELECT run, fold, horizon, series, pm.day, slot, long, short FROM pm JOIN yy ON yy.day = pm.source),
+trn AS MATERIALIZED (SELECT ty.run, ty.fold, ty.horizon, f.series, f.t, f.day, ty.long, ty.short, f.* EXCLUDE (series, t, day) FROM fall f JOIN ty ON ty.series = f.series AND ty.day = f.day AND ty.slot = f.t % 1440),
+ln AS MATERIALIZED (UNPIVOT (SELECT run, fold, horizon, series, t, day, long, short, {FEATURES_OF} FROM trn) ON {', '.join(N)} INTO NAME feature VALUE x),
+fd AS (SELECT fold, day, row_number() OVER (PARTITION BY fold ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY fold) AS total FROM (SELECT DISTINCT fold, day FROM trn)),
+fw AS MATERIALIZED (SELECT d.fold, rep, day, count(*) AS w FROM (SELECT fold, rep, ('0x' || substr(md5(concat_ws(':', '7', fold, rep, i)), 1, 8))::BIGINT % total AS i FROM fd, range({P.fit_reps}) a(rep)) d JOIN fd USING (fold, i) GROUP BY ALL),
+{edges_sql(P.m1_bins, 'run, fold, horizon', 'ln').replace('kinds AS', 'kinds5 AS').replace('mids AS', 'mids5 AS').replace('edges AS (', 'edges5 AS MATERIALIZED (', 1).replace('FROM kinds ', 'FROM kinds5 ').replace('JOIN mids ', 'JOIN mids5 ').lstrip()},
+{edges_sql(P.m2_bins, 'run, fold, horizon', 'ln').replace('kinds AS', 'kinds3 AS').replace('mids AS', 'mids3 AS').replace('edges AS (', 'edges3 AS MATERIALIZED (', 1).replace('FROM kinds ', 'FROM kinds3 ').replace('JOIN mids ', 'JOIN mids3 ').lstrip()},
+bn5 AS (SELECT l.*, len([e FOR e IN edges IF e <= x]) AS bin FROM ln l JOIN edges5 USING (run, fold, horizon, feature)),
+bn3 AS MATERIALIZED (SELECT l.*, len([e FOR e IN edges IF e <= x]) AS bin FROM ln l JOIN edges3 USING (run, fold, horizon, feature)),
+bp AS (SELECT a.run, a.fold, a.horizon, a.feature AS fa, a.bin AS ba, b.feature AS fb, b.bin AS bb, a.day, a.long, a.short FROM bn3 a JOIN bn3 b ON a.run = b.run AND a.fold = b.fold AND a.horizon = b.horizon AND a.series = b.series AND a.t = b.t AND a.feature < b.feature),
+{ON.format(name='on1', key='feature, bin', src='bn5', rows=1, days=1).lstrip()},
+{ON.format(name='on2', key='fa, ba, fb, bb', src='bp', rows=P.m2_min_rows, days=P.m2_min_days).lstrip()},
+big AS (SELECT run, fold, horizon FROM trn GROUP BY ALL HAVING count(*) >= {P.min_leaf}),
+t0 AS MATERIALIZED (SELECT ln.*, '' AS leaf, []::STRUCT(feature VARCHAR, lo DOUBLE, hi DOUBLE)[] AS conds FROM ln SEMI JOIN big USING (run, fold, horizon)),{level_sql(0)},{level_sql(1)},{level_sql(2)},
+tl AS (SELECT DISTINCT run, fold, horizon, series, t, day, long, short, leaf, conds FROM t3),
+on3 AS (SELECT run, fold, horizon, leaf, any_value(conds) AS conds, count(*) AS n, count(DISTINCT day) AS days, avg(long) AS up, avg(short) AS down FROM tl GROUP BY ALL),
+rules AS (
+  SELECT o.run, o.fold, o.horizon, 'M1' AS family, side AS direction, {cond_sql('feature', 'bin', 'e.edges')} AS conds, trades AS n, days, mean FROM on1 o JOIN edges5 e USING (run, fold, horizon, feature)
+  UNION ALL SELECT o.run, o.fold, o.horizon, 'M2', side, array_to_string(list_sort([{cond_sql('fa', 'ba', 'e.edges')}, {cond_sql('fb', 'bb', 'f.edges')}]), ', '), trades, days, mean
+    FROM on2 o JOIN edges3 e ON e.run = o.run AND e.fold = o.fold AND e.horizon = o.horizon AND e.feature = fa JOIN edges3 f ON f.run = o.run AND f.fold = o.fold AND f.horizon = o.horizon AND f.feature = fb
+  UNION ALL SELECT run, fold, horizon, 'M3', CASE WHEN up > 0 THEN 1 ELSE -1 END, array_to_string(list_sort([{_TEXT.format(f='c.feature', lo='round(c.lo, 6) + 0.0', hi='round(c.hi, 6) + 0.0')} FOR c IN conds]), ', '), n, days, CASE WHEN up > 0 THEN up ELSE down END FROM on3 WHERE up > 0 OR down > 0)"""
+TRADED = f"""
+te AS MATERIALIZED (UNPIVOT (SELECT fold, series, t, f.day, {FEATURES_OF} FROM fall f JOIN (SELECT * FROM folds WHERE role = 'test') p USING (day)) ON {', '.join(N)} INTO NAME feature VALUE x),
+h5 AS (SELECT run, e.fold, horizon, series, t, day, feature, len([e FOR e IN edges IF e <= x]) AS bin FROM te JOIN edges5 e USING (fold, feature)),
+h3 AS MATERIALIZED (SELECT run, e.fold, horizon, series, t, day, feature, len([e FOR e IN edges IF e <= x]) AS bin FROM te JOIN edges3 e USING (fold, feature)),
+h2 AS (SELECT o.run, o.fold, o.horizon, a.series, a.t, a.day, side FROM on2 o JOIN h3 a ON a.run = o.run AND a.fold = o.fold AND a.horizon = o.horizon AND a.feature = o.fa AND a.bin = o.ba JOIN h3 b ON b.run = o.run AND b.fold = o.fold AND b.horizon = o.horizon AND b.feature = o.fb AND b.bin = o.bb AND b.series = a.series AND b.t = a.t),
+m3 AS (SELECT run, fold, horizon, leaf, CASE WHEN up > 0 THEN 1 ELSE -1 END AS side, len(conds) AS k, unnest(conds) AS c FROM on3 WHERE up > 0 OR down > 0),
+hits AS (
+  SELECT o.run, o.fold, o.horizon, 'M1' AS family, series, t, day, side FROM on1 o JOIN h5 USING (run, fold, horizon, feature, bin) UNION ALL SELECT run, fold, horizon, 'M2', series, t, day, side FROM h2
+  UNION ALL SELECT run, m3.fold, horizon, 'M3', series, t, day, any_value(side) FROM m3 JOIN te ON te.fold = m3.fold AND te.feature = m3.c.feature AND (m3.c.lo IS NULL OR x > m3.c.lo) AND (m3.c.hi IS NULL OR x <= m3.c.hi) GROUP BY run, m3.fold, horizon, series, t, day, leaf, k HAVING count(*) = k),
+took AS (SELECT run, fold, horizon, family, series, t, day, max(side) AS dir FROM hits GROUP BY ALL HAVING max(side) = min(side)),
+wtr AS MATERIALIZED (SELECT k.*, CASE WHEN dir > 0 THEN long ELSE short END AS net FROM took k JOIN targets g ON g.series = k.series AND g.t = k.t AND g.horizon = k.horizon WHERE g.long IS NOT NULL),
+means AS (SELECT a.run::BIGINT AS run, family, horizon, coalesce(trades, 0) AS trades, coalesce(days, 0) AS days, round(mean_net, 6) + 0.0 AS mean_net FROM range(-1, {P.null_runs}) a(run) CROSS JOIN (SELECT DISTINCT horizon::BIGINT AS horizon FROM targets) CROSS JOIN (VALUES ('M1'), ('M2'), ('M3')) b(family)
+  LEFT JOIN (SELECT run, family, horizon, count(*) AS trades, count(DISTINCT day) AS days, avg(net) AS mean_net FROM wtr GROUP BY ALL) z USING (run, family, horizon))"""
+JUDGED = f"""
+rt AS (SELECT family, horizon, fold, day, net FROM wtr WHERE run = -1),
+wd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM rt)),
+ww AS (SELECT rep, day, count(*) AS w FROM (SELECT rep, ('0x' || substr(md5(concat_ws(':', '7', rep, d)), 1, 8))::BIGINT % (SELECT count(*) FROM wd) AS i FROM range({P.reps}) a(rep), range(1000) b(d) WHERE d < (SELECT count(*) FROM wd)) JOIN wd USING (i) GROUP BY ALL),
+wb AS (SELECT family, horizon, quantile_cont(m, 0.05) AS lower FROM (SELECT family, horizon, rep, sum(s * w) / sum(n * w) AS m FROM (SELECT family, horizon, day, sum(net) AS s, count(*) AS n FROM rt GROUP BY ALL) JOIN ww USING (day) GROUP BY ALL) GROUP BY ALL),
+wp AS (SELECT family, horizon, min(n) AS min_trades, min(m) AS min_mean FROM (SELECT family, horizon, fold, count(*) AS n, avg(net) AS m FROM rt GROUP BY ALL) GROUP BY ALL),
+wl AS (SELECT run, max(coalesce(mean_net, 0)) AS best FROM means WHERE run >= 0 GROUP BY ALL),
+pv2 AS (SELECT a.family, a.horizon, a.mean_net AS mean, CASE WHEN a.mean_net IS NULL THEN 1 ELSE (SELECT avg((coalesce(b.mean_net, 0) >= a.mean_net)::INT) FROM means b WHERE b.run >= 0 AND b.family = a.family AND b.horizon = a.horizon) END AS p,
+  CASE WHEN a.mean_net IS NULL THEN 1 ELSE (SELECT avg((best >= a.mean_net)::INT) FROM wl) END AS p_max FROM means a WHERE a.run = -1),
+hm2 AS (SELECT *, least(1.0, max((m - k + 1) * p) OVER (ORDER BY p, family, horizon)) AS p_holm FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, family, horizon) AS k FROM pv2)),
+judged AS (SELECT *, coalesce(p_holm < 0.05 AND lower > 0 AND mean > 0 AND min_trades >= 1 AND min_mean > 0, false) AS passes, coalesce(mean > 0 AND p < 0.1, false) AS weak FROM hm2 LEFT JOIN wb USING (family, horizon) LEFT JOIN wp USING (family, horizon))"""
 DIRECTION = "CASE WHEN (l1 OR l2) AND NOT (s1 OR s2) THEN 1 WHEN (s1 OR s2) AND NOT (l1 OR l2) THEN -1 ELSE 0 END"
 FIRES = "fires AS (SELECT *, r60 >= 0 AND pos_day >= 0.3 AND pos_day <= 0.9 AS l1, pos_day < 0.25 AS l2, r60 < 0 AND atr_rel > 1 AS s1, hour_bucket >= 4 AS s2 FROM {src})"
 
@@ -233,13 +347,15 @@ ORACLE_SQL = {
     "cart_root_split": q("""SELECT feature, round(threshold, 6) + 0.0 AS threshold, round(gain, 6) + 0.0 AS gain, nl::BIGINT AS nl, nr::BIGINT AS nr FROM (
       SELECT *, round(sl * sl / nl + (st - sl) * (st - sl) / nr - st * st / nt, 9) AS gain FROM (SELECT feature, (x + lead(x) OVER w) / 2 AS threshold, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER f AS nt, sum(s) OVER f AS st, sum(n) OVER f - sum(n) OVER w AS nr
         FROM (SELECT feature, x, count(*) AS n, sum(long) AS s FROM lng GROUP BY ALL) WINDOW w AS (PARTITION BY feature ORDER BY x), f AS (PARTITION BY feature)) WHERE nl >= 40 AND nr >= 40) ORDER BY gain DESC, feature, threshold LIMIT 1""", *DATA, DATASET),
+    "cart_depth3": q("SELECT leaf, array_to_string([c.feature || CASE WHEN c.lo IS NULL THEN ' <= ' || format('{:,.6f}', c.hi) ELSE ' > ' || format('{:,.6f}', c.lo) END FOR c IN conds], ' and ') AS rule, count(*) AS n, round(avg(long), 6) + 0.0 AS mean FROM (SELECT DISTINCT series, t, long, leaf, conds FROM t3) GROUP BY ALL", *DATA, DATASET,
+      "t0 AS MATERIALIZED (SELECT 0 AS run, 0 AS fold, 0 AS horizon, lng.*, '' AS leaf, []::STRUCT(feature VARCHAR, lo DOUBLE, hi DOUBLE)[] AS conds FROM lng)", *(level_sql(n).lstrip() for n in range(3))),
     "fold_masks": q("SELECT * FROM folds", BARS, FOLDS),
     "day_permutation": q("""SELECT m.run, s.series, s.day, s.slot, m.source_day, round(z.long, 6) + 0.0 AS p_long FROM sl s JOIN (SELECT a.run, a.day, b.day AS source_day FROM pd a JOIN pd b ON a.run = b.run AND a.n = b.k) m USING (day)
       LEFT JOIN sl z ON z.series = s.series AND z.slot = s.slot AND z.day = m.source_day""", *DATA, DATASET, "sl AS (SELECT series, day, t % 1440 AS slot, long FROM data)", "pd AS (SELECT run, day, row_number() OVER (PARTITION BY run ORDER BY day) AS n, row_number() OVER (PARTITION BY run ORDER BY md5(concat_ws(':', '7', run, day))) AS k FROM (SELECT DISTINCT day FROM data), (VALUES (0::BIGINT), (1::BIGINT)) v(run))"),
-    "walk_forward": q("""SELECT fold, count(*) AS trades, count(DISTINCT day) AS days, round(avg(CASE WHEN up > 0 THEN long ELSE short END), 6) + 0.0 AS mean_net FROM (
-      SELECT fold, series, t, day, long, short, max(side) AS up, min(side) AS down FROM (SELECT l.*, len([e FOR e IN edges IF e <= x]) AS bin FROM fx l JOIN edges USING (fold, feature) WHERE role = 'test') JOIN (
-        SELECT fold, feature, bin, CASE WHEN avg(long) > 0 THEN 1 WHEN avg(short) > 0 THEN -1 END AS side FROM (SELECT l.*, len([e FOR e IN edges IF e <= x]) AS bin FROM tx l JOIN edges USING (fold, feature)) GROUP BY ALL HAVING count(*) >= 20) USING (fold, feature, bin)
-      WHERE side IS NOT NULL GROUP BY ALL) WHERE up = down GROUP BY fold""", *DATA, DATASET, FOLDS, "fx AS (SELECT * FROM lng JOIN folds USING (day)), tx AS (SELECT * FROM fx WHERE role = 'train')", edges_sql(5, "fold", "tx")),
+    "walk_rules": q(f"SELECT fold, horizon, family, direction::BIGINT AS direction, conds, n, days, {r('mean')} FROM rules WHERE run = -1", *DATA, DATASET, FOLDS, WALK),
+    "walk_forward": q("SELECT family, horizon, trades, days, mean_net FROM means WHERE run = -1", *DATA, DATASET, FOLDS, WALK, TRADED),
+    "walk_null": q("SELECT * FROM means WHERE run >= 0", *DATA, DATASET, FOLDS, WALK, TRADED),
+    "walk_verdict": q(f"SELECT family, horizon, mean, {r('p', 'p_holm', 'p_max', 'lower', 'min_mean')}, min_trades, passes, weak, CASE WHEN bool_or(passes) OVER () THEN 'PASS' WHEN bool_or(weak) OVER () THEN 'WEAK' ELSE 'STOP' END AS verdict FROM judged", *DATA, DATASET, FOLDS, WALK, TRADED, JUDGED),
     "day_bootstrap": q(f"SELECT horizon::BIGINT AS horizon, days, trades, {r('mean', 'lower', 'upper', 'p_boot')} FROM boot", *CTES, TARGETS, SIDES, weights_sql("sides_t"), BOOT),
     "flip_null": q("SELECT horizon::BIGINT AS horizon, run::BIGINT AS run, null_mean FROM nul", *CTES, TARGETS, SIDES, FLIP),
     "perm_pvalue": q("SELECT horizon::BIGINT AS horizon, mean, round(p, 6) + 0.0 AS p FROM pv", *CTES, TARGETS, SIDES, FLIP),
