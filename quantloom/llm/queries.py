@@ -12,6 +12,7 @@ from quantloom.llm.jaccard import op6_jaccard
 from quantloom.llm.langid import op4_language_id
 from quantloom.llm.mixing import op1_mixing
 from quantloom.llm.near_vectors import op10_near_vectors
+from quantloom.llm.oracle import SQL
 from quantloom.llm.pii import op5_pii
 from quantloom.llm.secrets import op2_secrets
 from quantloom.llm.sharding import op8_sharding
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_vectors": op10_near_vectors,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = SQL

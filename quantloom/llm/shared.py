@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from functools import wraps
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.operators.resample import new_path
+
 #: Most rows and bytes of an Arrow batch while tables are written: a batch is held several times over, in Python and outside
 #: the JVM's heap. Rows of a Parquet reader's batch, whose vectors grow with long texts.
 BATCH, BATCH_BYTES, READ_BATCH = 1000, 4 << 20, 512
@@ -22,19 +22,6 @@ ROW_GROUP = 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quantloom/{tag}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """What is run inside leaves no shuffle files behind, since Spark removes them when each of its queries has ended, and
@@ -139,3 +126,6 @@ def small(df: DataFrame, limit: int) -> DataFrame:
 def parts_for(rows: int) -> int:
     """Files for a table of few bytes a row: enough for all cores of a small cluster, then one for each 50,000 rows."""
     return max(12, rows // 50_000)
+
+
+__all__ = ["WORD", "freed", "freed_group", "let", "new_path", "parts_for", "release", "repeated", "small", "spread", "stash", "table", "tidy", "uniform"]
