@@ -14,6 +14,7 @@ class Params:
     point: float = 0.01  # price of one point of spread
     rate: float = 0.000016  # commission for each side, as a share of the price
     atr_period: int = 14
+    day_atr: int = 7  # days of the daily range's average
     hist_days: int = 5  # days of same-slot history
     hist_min_days: int = 3
     resume_bars: int = 5  # consecutive bars of usual spread that reopen a day
@@ -25,6 +26,11 @@ class Params:
     gap_report: int = 1  # missing bars that are listed, and that quarantine a day
     gap_quarantine: int = 12
     horizons: tuple[int, ...] = (60, 120, 240)
+    lags: tuple[int, ...] = (15, 60, 120, 240)  # minutes of the moves among the features
+    range_span: int = 180  # minutes of the last bars' range, and of their volume
+    volume_span: int = 60
+    vol_rows: int = 10  # base bars of realised volatility
+    overlap_rows: int = 6  # signal bars of the overlap
     stops: tuple[float, ...] = (1.0, 2.0)
     targets: tuple[float, ...] = (1.0, 2.0)
     # level events: minutes of signal bars, bands and stops in average true ranges, targets in what the stop risks
@@ -57,4 +63,10 @@ class Params:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
 
 
+#: For bars of a few minutes made from hourly or sparser ticks, such as the driver's tables.
 DEFAULT = Params()
+#: For bars of one minute.
+MINUTE = Params(
+    base=1, signal=5, day_atr=14, hist_days=20, hist_min_days=10, gap_report=5, gap_quarantine=30, horizons=(30, 60, 120), lags=(5, 15, 60, 240), range_span=55, volume_span=10, vol_rows=30, overlap_rows=12,
+    stops=(0.5, 1.0, 1.5, 2.0), targets=(1.0, 1.5, 2.0, 3.0), level_bars=(5, 15), m1_bins=10, m2_bins=5, m2_min_rows=200, m2_min_days=50, min_leaf=500, reps=10_000, fit_reps=1000, null_runs=200,
+)

@@ -29,6 +29,23 @@ def year_of(day) -> Column:
     return F.year(F.date_from_unix_date(day.cast("int"))).cast("long")
 
 
+def year_start(year) -> Column:
+    """The day on which a year begins."""
+    return F.unix_date(F.make_date(year, F.lit(1), F.lit(1))).cast("long")
+
+
+def month_start(day) -> Column:
+    """The day on which a day's month begins."""
+    return F.unix_date(F.trunc(F.date_from_unix_date(day.cast("int")), "month")).cast("long")
+
+
+def iso(minute) -> Column:
+    """YYYY-MM-DD HH:MM:SS of a minute."""
+    at = minute_of_day(minute)
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat(F.date_from_unix_date(day_of(minute).cast("int")).cast("string"), F.lit(" "), two(at / 60), F.lit(":"), two(F.pmod(at, F.lit(60))), F.lit(":00"))
+
+
 def floor_to(minute, length: int) -> Column:
     return (minute - F.pmod(minute, F.lit(length))).cast("long")
 

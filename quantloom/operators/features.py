@@ -5,44 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.config import Params
+from quantloom.config import DEFAULT, Params
 from quantloom.functions.rules import bucket
 from quantloom.functions.time import DAY, minute_of_day, weekday_of
-from quantloom.operators.bars import asof, asof_back, atr, by_day, by_time, days, same_slot, since_extremes, streak
+from quantloom.operators.bars import atr, by_day, by_time, days, same_slot, since_extremes, streak
+from quantloom.operators.resample import written
 
-NAMES = (
-    "r15", "r60", "r120", "r240", "r_day", "atr_rel", "range60", "rv_rel", "pos_day", "d_pdh", "d_pdl", "d_session_hi", "d_session_lo", "d_open", "consec",
+#: Names of the features besides the moves over the last minutes.
+OTHERS = (
+    "r_day", "atr_rel", "range60", "rv_rel", "pos_day", "d_pdh", "d_pdl", "d_session_hi", "d_session_lo", "d_open", "consec",
     "bars_since_high", "bars_since_low", "overlap", "tv_rel", "spread_rel", "min_since_resume", "hour_bucket", "weekday", "pd_ret", "pd_range_rel",
 )
+
+
+def names(p: Params) -> tuple[str, ...]:
+    return (*(f"r{k}" for k in p.lags), *OTHERS)
+
+
+NAMES = names(DEFAULT)
 ratio = F.try_divide
 
 
+def ranged(signal: DataFrame, p: Params) -> DataFrame:
+    """signal with its average true range, which it may have already."""
+    return signal if "atr" in signal.columns else atr(signal, p.atr_period)
+
+
+def closed(signal: DataFrame, values: DataFrame, value: str, back: dict[str, int]) -> DataFrame:
+    """signal with values (series, tc, value) as of so many minutes before its closes: one sort for all of them.
+
+    The last value at or before each time is taken, days are crossed; null before the first.
+    """
+    rest = signal.columns
+    at = values.select("series", F.col("tc").alias("__at"), F.col(value).alias("__value"), F.lit(None).cast(signal.select(F.struct("*").alias("s")).schema["s"].dataType).alias("__row"))
+    both = at.unionByName(signal.select("series", F.col("tc").alias("__at"), F.lit(None).cast("double").alias("__value"), F.struct("*").alias("__row")))
+    w = Window.partitionBy("series").orderBy("__at")
+    for name, minutes in back.items():
+        both = both.withColumn(name, F.last("__value", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -minutes)))
+    return both.where("__row is not null").select(*(F.col(f"__row.{c}").alias(c) for c in rest), *back)
+
+
 def returns(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
     """Moves over the last minutes and since the day's open, the former in average true ranges; days are crossed."""
-    x = atr(signal, p.atr_period)
-    closes = base.select("series", F.col("tc").alias("ctc"), F.col("c").alias("cv"))
-    for k in (15, 60, 120, 240):
-        x = asof(x.withColumn("at", F.col("tc") - k), closes, "at", "ctc", ["cv"]).withColumn(f"r{k}", ratio(F.col("c") - F.col("cv"), F.col("atr"))).drop("at", "cv")
+    x = closed(ranged(signal, p), base, "c", {f"__c{k}": k for k in p.lags})
+    for k in p.lags:
+        x = x.withColumn(f"r{k}", ratio(F.col("c") - F.col(f"__c{k}"), F.col("atr"))).drop(f"__c{k}")
     opened = F.first("o").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("day_open", opened).withColumn("r_day", 100 * F.ln(ratio(F.col("c"), F.col("day_open")))).withColumn("d_open", ratio(F.col("c") - F.col("day_open"), F.col("atr")))
 
 
 def volatility(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
     """Average true range and realised volatility against the same slot of the days before; the last bars' range."""
-    x = same_slot(atr(signal, p.atr_period), "atr", p.signal, p.hist_days, p.hist_min_days, "mean", "usual_atr").withColumn("atr_rel", ratio("atr", F.col("usual_atr")))
-    last = Window.partitionBy("series").orderBy("t").rangeBetween(-3 * p.signal, 0)
+    x = same_slot(ranged(signal, p), "atr", p.signal, p.hist_days, p.hist_min_days, "mean", "usual_atr").withColumn("atr_rel", ratio("atr", F.col("usual_atr")))
+    last = Window.partitionBy("series").orderBy("t").rangeBetween(-p.range_span, 0)
     x = x.withColumn("range60", ratio(F.max("h").over(last) - F.min("l").over(last), F.col("atr")))
     w = by_time()
     r = base.withColumn("r", F.ln(ratio(F.col("c"), F.lag("c").over(w)))).withColumn("n", F.row_number().over(w))
-    rv = r.withColumn("rv", F.when(F.col("n") > 10, F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(-9, 0))))).select("series", F.col("tc").alias("vtc"), "rv")
-    x = asof(x, rv, "tc", "vtc", ["rv"])
+    rv = r.withColumn("v", F.when(F.col("n") > p.vol_rows, F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(-(p.vol_rows - 1), 0)))))
+    x = closed(x, rv, "v", {"rv": 0})
     return same_slot(x, "rv", p.signal, p.hist_days, p.hist_min_days, "median", "usual_rv").withColumn("rv_rel", ratio("rv", F.col("usual_rv")))
 
 
 def position(signal: DataFrame, p: Params) -> DataFrame:
     """Place in the day's range so far (0.5 if it is flat) and distances from the previous day's."""
     w = by_day().rowsBetween(Window.unboundedPreceding, 0)
-    x = atr(signal, p.atr_period).withColumn("hi", F.max("h").over(w)).withColumn("lo", F.min("l").over(w))
+    x = ranged(signal, p).withColumn("hi", F.max("h").over(w)).withColumn("lo", F.min("l").over(w))
     x = x.withColumn("pos_day", F.when(F.col("hi") > F.col("lo"), (F.col("c") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5))
     before = days(signal).select("series", "day", F.lag("h").over(by_time("day")).alias("pdh"), F.lag("l").over(by_time("day")).alias("pdl"))
     return x.join(before, ["series", "day"]).withColumn("d_pdh", ratio(F.col("c") - F.col("pdh"), F.col("atr"))).withColumn("d_pdl", ratio(F.col("c") - F.col("pdl"), F.col("atr")))
@@ -51,7 +78,7 @@ def position(signal: DataFrame, p: Params) -> DataFrame:
 def session_range(signal: DataFrame, resume: DataFrame, p: Params) -> DataFrame:
     """Distances from the extremes of the bars that close from the resume time, or the day's start, to session_end."""
     close = F.col("tc") - F.col("day") * DAY
-    x = atr(signal, p.atr_period).join(resume.select("series", "day", "resume"), ["series", "day"])
+    x = ranged(signal, p).join(resume.select("series", "day", "resume"), ["series", "day"])
     start = F.when(F.col("resume") < p.session_end, F.col("resume")).otherwise(F.lit(0))
     inside = (close >= start) & (close <= p.session_end)
     w = by_day().rowsBetween(Window.unboundedPreceding, 0)
@@ -59,8 +86,9 @@ def session_range(signal: DataFrame, resume: DataFrame, p: Params) -> DataFrame:
     return x.withColumn("d_session_lo", ratio(F.col("c") - F.min(F.when(inside, F.col("l"))).over(w), F.col("atr")))
 
 
-def structure(signal: DataFrame, rows: int = 6) -> DataFrame:
+def structure(signal: DataFrame, p: Params) -> DataFrame:
     """Streak, bars since the day's extremes, and overlap: the sum of ranges over the range of all; null if that is flat."""
+    rows = p.overlap_rows
     w = by_time().rowsBetween(-(rows - 1), 0)
     x = since_extremes(streak(signal)).withColumn("n", F.row_number().over(by_time()))
     whole = F.max("h").over(w) - F.min("l").over(w)
@@ -69,7 +97,7 @@ def structure(signal: DataFrame, rows: int = 6) -> DataFrame:
 
 def activity(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
     """Volume against the same slot of the days before; spread against the pooled median of those days' bars."""
-    x = signal.withColumn("volume", F.sum("tv").over(Window.partitionBy("series").orderBy("t").rangeBetween(-p.signal, 0)))
+    x = signal.withColumn("volume", F.sum("tv").over(Window.partitionBy("series").orderBy("t").rangeBetween(-p.volume_span, 0)))
     x = same_slot(x, "volume", p.signal, p.hist_days, p.hist_min_days, "median", "usual_volume").withColumn("tv_rel", ratio("volume", F.col("usual_volume")))
     numbered = days(base).select("series", "day", "day_row")
     # the spread is a whole number of points: counts by day and spread stand for the bars
@@ -80,28 +108,29 @@ def activity(base: DataFrame, signal: DataFrame, p: Params) -> DataFrame:
     return x.join(known, ["series", "day"], "left").withColumn("spread_rel", ratio("spread", F.nullif("pooled", F.lit(0.0))))
 
 
-def calendar(signal: DataFrame, resume: DataFrame) -> DataFrame:
+def calendar(signal: DataFrame, resume: DataFrame, p: Params) -> DataFrame:
     close = F.col("tc") - F.col("day") * DAY
     x = signal.join(resume.select("series", "day", "resume"), ["series", "day"])
-    return x.withColumn("min_since_resume", close - F.col("resume")).withColumn("hour_bucket", bucket(minute_of_day(F.col("tc")), [480, 660, 840, 960, 1140]).cast("long")).withColumn("weekday", weekday_of(F.col("day")))
+    return x.withColumn("min_since_resume", close - F.col("resume")).withColumn("hour_bucket", bucket(minute_of_day(F.col("tc")), list(p.hours)).cast("long")).withColumn("weekday", weekday_of(F.col("day")))
 
 
 def previous_day(signal: DataFrame, p: Params) -> DataFrame:
     """A row a day: the previous day's move in average daily ranges, and its range over the median of the days up to it."""
     w = by_time("day")
-    x = atr(days(signal), p.atr_period // 2, "day", "day_atr").withColumn("range", F.col("h") - F.col("l"))
+    x = atr(days(signal), p.day_atr, "day", "day_atr").withColumn("range", F.col("h") - F.col("l"))
     back = w.rowsBetween(-p.hist_days, -1)
     usual = F.when(F.count("range").over(back) >= p.hist_min_days, F.percentile("range", F.lit(0.5)).over(back))
     return x.select("series", "day", ratio(F.lag(F.col("c") - F.col("o")).over(w), F.lag("day_atr").over(w)).alias("pd_ret"), ratio(F.lag("range").over(w), F.nullif(usual, F.lit(0.0))).alias("pd_range_rel"))
 
 
 def features(base: DataFrame, signal: DataFrame, resume: DataFrame, p: Params) -> DataFrame:
-    """All features of every signal bar: series, day, t, tc, c, spread, atr and NAMES."""
+    """All features of every signal bar: series, day, t, tc, c, spread, atr and names(p). Bars are written once for all parts."""
     key = ["series", "day", "t"]
-    x = returns(base, signal, p).select(*key, "tc", "c", "spread", "atr", "r15", "r60", "r120", "r240", "r_day", "d_open")
-    for part, names in (
+    base, signal, resume = written(base, "features_base"), written(ranged(signal, p), "features_signal"), written(resume, "features_days")
+    x = returns(base, signal, p).select(*key, "tc", "c", "spread", "atr", *(f"r{k}" for k in p.lags), "r_day", "d_open")
+    for part, own in (
         (volatility(base, signal, p), ("atr_rel", "range60", "rv_rel")), (position(signal, p), ("pos_day", "d_pdh", "d_pdl")), (session_range(signal, resume, p), ("d_session_hi", "d_session_lo")),
-        (structure(signal), ("consec", "bars_since_high", "bars_since_low", "overlap")), (activity(base, signal, p), ("tv_rel", "spread_rel")), (calendar(signal, resume), ("min_since_resume", "hour_bucket", "weekday")),
+        (structure(signal, p), ("consec", "bars_since_high", "bars_since_low", "overlap")), (activity(base, signal, p), ("tv_rel", "spread_rel")), (calendar(signal, resume, p), ("min_since_resume", "hour_bucket", "weekday")),
     ):
-        x = x.join(part.select(*key, *names), key)
+        x = x.join(part.select(*key, *own), key)
     return x.join(previous_day(signal, p), ["series", "day"], "left")

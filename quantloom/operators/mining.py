@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.rules import Cond, Rule
+from quantloom.functions.rules import CONDS, interval
 from quantloom.functions.time import r6
 from quantloom.operators.resample import draw
 
@@ -83,14 +83,6 @@ def best_splits(long: DataFrame, node: str, least: int) -> DataFrame:
     return x.select(node, "b.*")
 
 
-CONDS = "array<struct<feature:string,lo:double,hi:double,lo_closed:boolean,hi_closed:boolean>>"
-
-
-def cond(feature, lo, hi, lo_closed: bool = True, hi_closed: bool = False) -> Column:
-    """A condition as a struct: an interval of a feature, whose null bounds are open."""
-    return F.struct(feature.alias("feature"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.lit(lo_closed).alias("lo_closed"), F.lit(hi_closed).alias("hi_closed"))
-
-
 def regression_tree(rows: DataFrame, names: tuple[str, ...], y: str, depth: int, least: int, *keep: str, by: tuple[str, ...] = ()) -> DataFrame:
     """rows (keep, y) with leaf, a path of L and R, and conds, its conditions: an exact tree for each group of by, one pass of
     best_splits a level for all of them."""
@@ -104,7 +96,7 @@ def regression_tree(rows: DataFrame, names: tuple[str, ...], y: str, depth: int,
         left, none = value <= F.col("threshold"), F.lit(None)
         # at most 2 ** depth rows for each group
         x = x.join(splits, "node", "left")
-        step = F.when(left, cond(F.col("on"), none, F.col("threshold"), True, True)).otherwise(cond(F.col("on"), F.col("threshold"), none, False, False))
+        step = F.when(left, interval(F.col("on"), none, F.col("threshold"), True, True)).otherwise(interval(F.col("on"), F.col("threshold"), none, False, False))
         x = x.withColumn("conds", F.when(F.col("on").isNull(), F.col("conds")).otherwise(F.concat("conds", F.array(step))))
         x = x.withColumn("leaf", F.when(F.col("on").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.when(left, "L").otherwise("R")))).drop("on", "threshold", "node")
     return x

@@ -29,6 +29,21 @@ def audit_days(bars: DataFrame, length: int, report: int, quarantine: int) -> Da
     return x.withColumn("quarantined", F.col("max_gap") > quarantine)
 
 
+def gaps(bars: DataFrame, length: int, report: int, quarantine: int) -> DataFrame:
+    """A row for each gap of report missing bars or more within a day: after_t, the last bar before it, missing, and the reason
+    if it quarantines the day."""
+    before = F.lag("t").over(by_day())
+    x = bars.withColumn("after_t", before).withColumn("missing", F.coalesce((F.col("t") - before) / length - 1, F.lit(0.0)).cast("long"))
+    return x.where(F.col("missing") >= report).select("series", "day", "after_t", "missing", F.when(F.col("missing") > quarantine, F.lit(f"gap over {quarantine}")).alias("reason"))
+
+
+def sessions(bars: DataFrame) -> DataFrame:
+    """Whether a day's first bar is later, and its last one earlier, than is most common in its series."""
+    x = bars.groupBy("series", "day").agg(F.min("t").alias("a"), F.max("t").alias("b")).withColumn("a", F.pmod("a", F.lit(1440))).withColumn("b", F.pmod("b", F.lit(1440)))
+    usual = modal(x, ["series"], "a", "start").join(modal(x, ["series"], "b", "stop"), "series")
+    return x.join(usual, "series").select("series", "day", (F.col("a") > F.col("start")).alias("late_start"), (F.col("b") < F.col("stop")).alias("early_close"))
+
+
 def audit_periods(audit: DataFrame, period) -> DataFrame:
     """Sums of the audit for each series and period, for each series, and over all."""
     return audit.withColumn("period", period).rollup("series", "period").agg(

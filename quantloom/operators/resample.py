@@ -12,13 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder in spark.checkpoint.dir. Where that is unset, one is set: a temporary folder on a single
+    machine, an error on a cluster, whose executors don't share the driver's folders."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/quantloom/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir (a temporary one where it is unset) and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints")
-    path = f"{folder.rstrip('/')}/quantloom/{tag}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def draw(*parts: Column | str) -> Column:

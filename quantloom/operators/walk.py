@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.config import Params
-from quantloom.functions.rules import Cond, Rule
+from quantloom.functions.rules import holds, interval
 from quantloom.operators import mining
 from quantloom.operators.resample import boot_weights_by, written
 
@@ -32,8 +32,6 @@ def training(rows: DataFrame, targets: DataFrame, folds: DataFrame, runs: int, s
     real = own.join(train, "day").select(F.lit(-1).cast("long").alias("run"), "fold", "horizon", "series", "day", "slot", "long", "short")
     each = F.concat_ws(":", F.lit(str(seed)), "run", "fold", "day")
     x = train.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))) if runs else train.withColumn("run", F.lit(0).cast("long")).limit(0)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("run", "fold")
     x = x.withColumn("i", F.row_number().over(w.orderBy("day"))).withColumn("k", F.row_number().over(w.orderBy(F.md5(each))))
     mapping = x.select("run", "fold", "day", "i").join(x.select("run", "fold", F.col("day").alias("source"), F.col("k").alias("i")), ["run", "fold", "i"])
@@ -54,7 +52,7 @@ def singles(train: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Par
     on = mining.activated(written(daily, "walk_days"), weights, p.alpha, [*GROUP, "feature", "bin"], ["fold"])
     on = on.join(cuts, [*GROUP, "feature"])
     name = F.concat_ws("-", F.lit("M1"), "horizon", "fold", F.concat_ws(":", "feature", "bin", "side"))
-    return on.select(*GROUP, F.lit("M1").alias("family"), name.alias("rule_id"), F.col("side").alias("direction"), F.array(mining.cond(F.col("feature"), *_bound(F.col("bin"), F.col("edges")))).alias("conds"), F.col("trades").alias("n"), "days", "mean")
+    return on.select(*GROUP, F.lit("M1").alias("family"), name.alias("rule_id"), F.col("side").alias("direction"), F.array(interval(F.col("feature"), *_bound(F.col("bin"), F.col("edges")))).alias("conds"), F.col("trades").alias("n"), "days", "mean")
 
 
 def pairs(train: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
@@ -69,7 +67,7 @@ def pairs(train: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Param
     on = mining.activated(written(daily, "walk_days"), weights, p.alpha, key, ["fold"], p.m2_min_rows, p.m2_min_days)
     a, b = (cuts.select(*GROUP, F.col("feature").alias(f"f{s}"), F.col("edges").alias(f"e{s}")) for s in "ab")
     on = on.join(a, [*GROUP, "fa"]).join(b, [*GROUP, "fb"])
-    conds = F.array(*(mining.cond(F.col(f"f{s}"), *_bound(F.col(f"b{s}"), F.col(f"e{s}"))) for s in "ab"))
+    conds = F.array(*(interval(F.col(f"f{s}"), *_bound(F.col(f"b{s}"), F.col(f"e{s}"))) for s in "ab"))
     name = F.concat_ws("-", F.lit("M2"), "horizon", "fold", F.concat_ws(":", "fa", "ba", "fb", "bb", "side"))
     return on.select(*GROUP, F.lit("M2").alias("family"), name.alias("rule_id"), F.col("side").alias("direction"), conds.alias("conds"), F.col("trades").alias("n"), "days", "mean")
 
@@ -92,18 +90,6 @@ def rules(train: DataFrame, names: tuple[str, ...], p: Params, families: tuple[s
     return reduce(DataFrame.unionByName, (made[f]().select(*RULE) for f in families))
 
 
-def holds(conds: Column, values: Column) -> Column:
-    """Whether all conditions hold for a map from feature to value; a missing value fulfils none that has a bound."""
-
-    def one(c: Column) -> Column:
-        v = F.try_element_at(values, c["feature"])
-        low = c["lo"].isNull() | F.when(c["lo_closed"], v >= c["lo"]).otherwise(v > c["lo"])
-        high = c["hi"].isNull() | F.when(c["hi_closed"], v <= c["hi"]).otherwise(v < c["hi"])
-        return F.coalesce(low & high, F.lit(False))
-
-    return F.forall(conds, one)
-
-
 def fired(rows: DataFrame, rules: DataFrame, names: tuple[str, ...], on: list[str]) -> DataFrame:
     """rows (on, series, t, day) and the rules of their group that hold for them. There are a few rules for each feature or pair."""
     values = F.create_map(*[c for n in names for c in (F.lit(n), F.col(n).cast("double"))])
@@ -121,18 +107,13 @@ def traded(rows: DataFrame, targets: DataFrame, folds: DataFrame, rules: DataFra
     return taken.join(results, ["series", "t", "horizon"]).select(*GROUP, "family", "series", "t", "day", "dir", F.when(F.col("dir") > 0, F.col("long")).otherwise(F.col("short")).alias("net"))
 
 
-def means(trades: DataFrame, horizons: DataFrame, runs: DataFrame) -> DataFrame:
+def means(trades: DataFrame, horizons: DataFrame, runs: DataFrame, families: tuple[str, ...] = FAMILIES, value: str = "net") -> DataFrame:
     """run, family, horizon, trades, days, mean_net for all of them; without a trade the mean is null."""
-    every = runs.join(F.broadcast(horizons.select("horizon").distinct())).withColumn("family", F.explode(F.array(*map(F.lit, FAMILIES))))
-    own = trades.groupBy("run", "family", "horizon").agg(F.count(F.lit(1)).alias("trades"), F.countDistinct("day").alias("days"), F.avg("net").alias("mean_net"))
+    every = runs.join(F.broadcast(horizons.select("horizon").distinct())).withColumn("family", F.explode(F.array(*map(F.lit, families))))
+    own = trades.groupBy("run", "family", "horizon").agg(F.count(F.lit(1)).alias("trades"), F.countDistinct("day").alias("days"), F.avg(value).alias("mean_net"))
     return every.join(own, ["run", "family", "horizon"], "left").na.fill(0, ["trades", "days"])
 
 
-def as_rules(table: DataFrame) -> list[Rule]:
-    """Rules as objects: those of a report or of a frozen file, of which there are few."""
-    return [Rule(r["rule_id"], r["direction"], tuple(Cond(**c.asDict()) for c in r["conds"])) for r in table.orderBy("rule_id").collect()]
-
-
 def threshold(x: Column, low: float, high: float) -> Column:
     """-1 above high, 1 above low, else 0."""
     return F.when(x <= low, 0).when(x <= high, 1).otherwise(-1)

@@ -157,9 +157,9 @@ QUERIES = {
     "f_volatility": feature(lambda b, s, z: features.volatility(b, s, P), "atr_rel", "range60", "rv_rel"),
     "f_position": feature(lambda b, s, z: features.position(s, P), "pos_day", "d_pdh", "d_pdl"),
     "f_session_range": feature(lambda b, s, z: features.session_range(s, z, P), "d_session_hi", "d_session_lo"),
-    "f_structure": feature(lambda b, s, z: features.structure(s), "consec", "bars_since_high", "bars_since_low", "overlap"),
+    "f_structure": feature(lambda b, s, z: features.structure(s, P), "consec", "bars_since_high", "bars_since_low", "overlap"),
     "f_activity": feature(lambda b, s, z: features.activity(b, s, P), "tv_rel", "spread_rel"),
-    "f_calendar": feature(lambda b, s, z: features.calendar(s, z), "min_since_resume", "hour_bucket", "weekday"),
+    "f_calendar": feature(lambda b, s, z: features.calendar(s, z, P), "min_since_resume", "hour_bucket", "weekday"),
     "f_prevday": feature(PREVIOUS, "pd_ret", "pd_range_rel"),
     "features_all": lambda s, d: all_features(s, d),
 }
@@ -234,7 +234,7 @@ pooled AS (SELECT d.series, d.day, CASE WHEN count(DISTINCT b.day) >= 3 THEN med
 f_activity AS (SELECT v.series, v.day, v.t, v.volume / nullif(h.usual, 0) AS tv_rel, v.spread / nullif(p.pooled, 0) AS spread_rel
   FROM vol v JOIN histv h ON h.series = v.series AND h.day = v.day AND h.slot = v.t % 1440 // 60 LEFT JOIN pooled p ON p.series = v.series AND p.day = v.day)"""
 F_CALENDAR = """
-f_calendar AS (SELECT s.series, s.day, s.t, s.tc - s.day * 1440 - resume AS min_since_resume, (SELECT count(*) FROM (VALUES (480), (660), (840), (960), (1140)) e(x) WHERE x <= s.tc % 1440) AS hour_bucket, (s.day + 3) % 7 AS weekday
+f_calendar AS (SELECT s.series, s.day, s.t, s.tc - s.day * 1440 - resume AS min_since_resume, (SELECT count(*) FROM (VALUES (480), (600), (780), (990), (1080)) e(x) WHERE x <= s.tc % 1440) AS hour_bucket, (s.day + 3) % 7 AS weekday
   FROM signal s JOIN resume USING (series, day))"""
 F_PREVDAY = (
     ATR.format(table="days", order="day", period=7, name="da").replace("tr AS", "dtr AS", 1).replace("FROM tr", "FROM dtr").replace("JOIN tr t", "JOIN dtr t").replace("tr.* EXCLUDE (tr)", "dtr.* EXCLUDE (tr)").replace("rec AS", "drec AS").replace("FROM rec r", "FROM drec r").replace("LEFT JOIN rec", "LEFT JOIN drec").replace("rec.atr FROM", "drec.atr FROM").replace("ddrec", "drec")

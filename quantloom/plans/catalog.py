@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from quantloom.config import DEFAULT
 from quantloom.operators import moments, outcomes
 from quantloom.operators.bars import atr, resample
-from quantloom.plans import bars, events, mining, outcomes as outcome_plans
+from quantloom.plans import bars, events, mining, study, outcomes as outcome_plans
 from quantloom.sources.tables import base
 
-PARTS = (bars, outcome_plans, mining, events)
+PARTS = (bars, outcome_plans, mining, events, study)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
 

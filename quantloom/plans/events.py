@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.config import DEFAULT as P
@@ -16,7 +16,10 @@ from quantloom.sources.tables import base
 
 #: Days of a period in the tables of results, and fewest trades in each: the driver's tables have a month.
 PERIOD, LEAST = 14, 5
-WEEKS = F.floor((F.col("day") + 3) / PERIOD).cast("long")
+
+
+def weeks() -> Column:
+    return F.floor((F.col("day") + 3) / PERIOD).cast("long")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +52,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = trades(spark, sf_dir)
     null = flip_null(x, ["config"], P.reps, P.seed)
-    return written(events.results_table(x, boot_weights(spark, x, P.reps, P.seed), null, P, WEEKS), "level_table")
+    return written(events.results_table(x, boot_weights(spark, x, P.reps, P.seed), null, P, weeks()), "level_table")
 
 
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    periods = trades(spark, sf_dir).select(WEEKS.alias("p")).distinct().count()
+    periods = trades(spark, sf_dir).select(weeks().alias("p")).distinct().count()
     return events.verdict(table(spark, sf_dir), periods, LEAST).select("config", "mean_r", "lower", "p_max", "min_trades", "passes", "weak", "verdict")
 
 
@@ -66,7 +69,7 @@ QUERIES = {
     "ev_retest": family("BR"),
     "ev_failed": family("F"),
     "level_trades": lambda s, d: rounded(trades(s, d).select(*TRADE)),
-    "level_splits": lambda s, d: rounded(events.splits(trades(s, d), P, WEEKS)),
+    "level_splits": lambda s, d: rounded(events.splits(trades(s, d), P, weeks())),
     "level_heatmap": lambda s, d: rounded(events.heatmap(trades(s, d), P)),
     "level_table": lambda s, d: rounded(table(s, d)),
     "level_verdict": lambda s, d: rounded(verdict(s, d)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.config import DEFAULT as P
-from quantloom.functions.rules import Cond, Rule, direction, hits
+from quantloom.functions.rules import Interval, Rule, direction, hits
 from quantloom.functions.time import r6
 from quantloom.operators import bars as ops
 from quantloom.operators import features, mining, outcomes, resample, walk
@@ -17,10 +17,10 @@ from quantloom.sources.tables import base
 
 N = features.NAMES
 RULES = [
-    Rule("up60", 1, (Cond("r60", 0.0, None), Cond("pos_day", 0.3, 0.9, True, True))),
-    Rule("low", 1, (Cond("pos_day", None, 0.25),)),
-    Rule("down60", -1, (Cond("r60", None, 0.0, True, False), Cond("atr_rel", 1.0, None, False))),
-    Rule("late", -1, (Cond("hour_bucket", 4, None),)),
+    Rule("up60", 1, (Interval("r60", 0.0, None), Interval("pos_day", 0.3, 0.9, True, True))),
+    Rule("low", 1, (Interval("pos_day", None, 0.25),)),
+    Rule("down60", -1, (Interval("r60", None, 0.0, True, False), Interval("atr_rel", 1.0, None, False))),
+    Rule("late", -1, (Interval("hour_bucket", 4, None),)),
 ]
 
 

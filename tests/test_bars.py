@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.config import DEFAULT, Params
-from quantloom.functions.rules import Cond, Rule, direction
+from quantloom.functions.rules import Interval, Rule, described, direction, from_rows, hits, holds, table, top_hits
 from quantloom.operators import bars, events, mining, moments, outcomes, quality, resample
 
 DAY0 = 19723 * 1440  # Monday, 1 January 2024
@@ -140,10 +140,18 @@ def test_edges(spark):
 
 
 def test_rule_conflict(spark):
-    rules = [Rule("l", 1, (Cond("x", 1.0, 3.0),)), Rule("s", -1, (Cond("x", 2.0, None),))]
+    rules = [Rule("l", 1, (Interval("x", 1.0, 3.0),)), Rule("s", -1, (Interval("x", 2.0, None),))]
     df = spark.createDataFrame([(float(i),) for i in range(4)], "x double")
     assert [r.d for r in df.select("x", direction(rules).alias("d")).orderBy("x").collect()] == [0, 1, 0, -1]
-    assert rules[0].text() == "1 <= x < 3"
+    rows = table(spark, [*rules, Rule("all", 1)])
+    texts = {r.rule_id: r.text for r in rows.select("rule_id", described(F.col("conds")).alias("text")).collect()}
+    assert texts == {"l": "x in [1.0000, 3.0000)", "s": "x in [2.0000, inf)", "all": "always"}
+    assert from_rows(rows) == [Rule("all", 1), *rules]
+    # the same conditions as columns and as rows
+    wide = df.select("x", F.create_map(F.lit("x"), F.col("x").cast("double")).alias("v"))
+    both = wide.crossJoin(rows).select("x", "rule_id", holds(F.col("conds"), F.col("v")).alias("on")).where("on").collect()
+    assert sorted((r.x, r.rule_id) for r in both if r.rule_id != "all") == sorted((r.x, n) for r in df.collect() for n, ok in (("l", 1 <= r.x < 3), ("s", r.x >= 2)) if ok)
+    assert [tuple(r) for r in top_hits(hits(df, rules, "x"), 1).collect()] == [("l", 1)]
 
 
 def test_tree_finds_planted_split(spark):
