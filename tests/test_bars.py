@@ -1,6 +1,7 @@
 """Hand cases as literal tables: resampling, average true range, resume times, targets, exits, selection, statistics."""
 
 import math
+import random
 from dataclasses import replace
 
 import pytest
@@ -193,10 +194,78 @@ def test_features_do_not_look_ahead(spark):
     assert str(at(whole)) == str(at(changed))
 
 
-def test_level_acceptance(spark):
-    rows = [("c", 1, 10, 20, 15, 0.1), ("c", 1, 12, 13, 13, 0.2), ("c", 1, 19, 40, 40, 0.3), ("c", 1, 20, 30, 45, 0.4), ("c", 1, 44, 50, 50, 0.5), ("c", 1, 45, 50, 50, 0.6)]
-    df = spark.createDataFrame(rows, "config string, day int, tc long, exit_tc long, rearm_tc long, r double")
-    assert [(r.tc, r.test_no) for r in events.accepted(df, ["config", "day"]).orderBy("tc").collect()] == [(10, 1), (20, 2), (45, 3)]
+def plain_exit(path, side, entry, dist, k, in_fill, fill_t, p):
+    """reason, tc, conflict and r of a position along bars (t, tc, o, h, l, c, spread), bar by bar."""
+    cost = 2 * p.rate * entry
+    unit = dist + cost
+    stop, target = entry - side * dist, entry + side * (k * unit + cost)
+    for t, tc, o, h, low, c, sp in path:
+        ask = 0.0 if side > 0 else sp
+        worst, best, opened = (low, h, o) if side > 0 else (h + ask, low + ask, o + ask)
+        filling = t == fill_t
+        stopped = (worst - stop) * side <= 0 and (not filling or in_fill)
+        reached = (best - target) * side >= 0 and not filling
+        if stopped:
+            price = opened if not filling and (opened - stop) * side <= 0 else stop
+            return 1, tc, reached, ((price - entry) * side - cost) / unit
+        if reached:
+            return 2, tc, False, ((target - entry) * side - cost) / unit
+    return 0, tc, False, ((c + ask - entry) * side - cost) / unit
+
+
+def test_level_trades(spark):
+    """Exits of random events and the events that are accepted, against walking bars and events one by one."""
+    r, p = random.Random(5), replace(DEFAULT, level_stops=(0.5, 1.0), level_targets=(1, 2))
+    bars, price = [], 100.0
+    for i in range(40):
+        o, price = price, price + r.uniform(-1, 1)
+        bars.append((i * 15, i * 15 + 15, o, max(o, price) + r.random() / 2, min(o, price) - r.random() / 2, price, r.choice([0.01, 0.05, 0.3])))
+    base = spark.createDataFrame([("x", 0, *b) for b in bars], "series string, day long, t long, tc long, o double, h double, l double, c double, spread double")
+    found = []
+    for i in range(60):
+        at, side, none = r.randrange(0, 39), r.choice([1, -1]), r.random() < 0.2
+        entry, fill = bars[at][5], r.choice([None, bars[at][0]])
+        known = fill is not None and r.random() < 0.5
+        busy = bars[at][1] if not none else bars[min(at + 3, 39)][1]
+        start = None if none else (fill if fill is not None else bars[at][1])
+        found.append((i, "x", 0, bars[at][0], bars[at][1], 15, r.choice("ab"), 100.0, side, 1.0, None if none else side, None if none else entry, None if none else entry + 0.05, busy, start, None if none else fill, None if none else entry - side * r.uniform(0, 1), known, busy, 600, bars[at][1] + r.choice([0, 30, 1 << 40])))
+    names = "eid long, series string, day long, t long, tc long, bars int, variant string, level double, approach long, a0 double, dir int, entry double, flip double, entry_tc long, path_t long, fill_t long, struct double, known boolean, busy long, until long, rearm long"
+    events_of = spark.createDataFrame(found, names)
+    results = events.simulated(events_of, base, p)
+    got = {(x.eid, x.stop, x.k): x for x in results.collect()}
+    want = {}
+    for e in found:
+        eid, side, entry, flip, start, fill, struct, known = e[0], *e[10:13], *e[14:18]
+        path = [b for b in bars if side is not None and b[0] >= start and b[1] <= 600]
+        for s in (0.5, 1.0, None):
+            for k in (1, 2):
+                if path:
+                    dist = max((entry - struct) * side, 0.1) if s is None else s
+                    one, two = (plain_exit(path, w * side, price, dist, k, known if s is None else True, fill, p) for w, price in ((1, entry), (-1, flip)))
+                    want[(eid, events.stop_name(s), k)] = (*one, two[3])
+    assert set(got) == set(want) and want
+    for key, (reason, tc, conflict, gain, turned) in want.items():
+        x = got[key]
+        assert (x.reason, x.exit_tc, x.conflict) == (reason, tc, conflict) and abs(x.r - gain) < 1e-9 and abs(x.r_flip - turned) < 1e-9
+    # events of equal times are walked by what follows in their rows; here each time of a variant is taken once
+    once = {(e[6], e[3]): e for e in found}
+    chosen = events_of.where(F.col("eid").isin([e[0] for e in once.values()]))
+    taken = {(x.config, x.t, x.test_no) for x in events.accepted(chosen, results, p).collect()}
+    expected = set()
+    for variant in "ab":
+        for s in (0.5, 1.0, None):
+            for k in (1, 2):
+                ready, n = -1, 0
+                for e in sorted((e for e in once.values() if e[6] == variant), key=lambda e: e[3]):
+                    if e[3] < ready:
+                        continue
+                    n += 1
+                    result = want.get((e[0], events.stop_name(s), k))
+                    ready = max(e[18], result[1] if result else e[18], e[20])
+                    if result:
+                        expected.add((f"M15_{variant}_{events.stop_name(s)}_k{k}", e[3], n))
+    assert taken == expected and taken
+
 
 
 def test_fingerprint():
