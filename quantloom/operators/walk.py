@@ -18,7 +18,9 @@ from quantloom.operators.resample import boot_weights_by, written
 #: A model's group: a run (-1: real targets), a fold and a horizon.
 GROUP = ("run", "fold", "horizon")
 FAMILIES = ("M1", "M2", "M3")
-RULE = (*GROUP, "family", "rule_id", "direction", "conds", "n", "days", "mean")
+#: A rule; fa, ba, fb, bb are the features and bins of a cell, which rows are joined on. A leaf has none, only conditions.
+CELL = ("fa", "ba", "fb", "bb")
+RULE = (*GROUP, "family", "rule_id", "direction", "conds", "n", "days", "mean", *CELL)
 
 
 def training(rows: DataFrame, targets: DataFrame, folds: DataFrame, runs: int, seed: int) -> DataFrame:
@@ -44,32 +46,49 @@ def _bound(at: Column, edges: Column) -> tuple[Column, Column]:
     return F.when(at > 0, F.try_element_at(edges, at.cast("int"))), F.try_element_at(edges, (at + 1).cast("int"))
 
 
-def singles(train: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
-    """M1: bins of one feature that are activated."""
-    long = mining.unpivot(train, names, *GROUP, "day", "long", "short")
-    cuts = written(mining.edges(long, p.m1_bins, *GROUP), "walk_edges")
-    daily = mining.by_side(mining.bins(long, cuts, *GROUP), *GROUP, "feature", "bin")
-    on = mining.activated(written(daily, "walk_days"), weights, p.alpha, [*GROUP, "feature", "bin"], ["fold"])
-    on = on.join(cuts, [*GROUP, "feature"])
-    name = F.concat_ws("-", F.lit("M1"), "horizon", "fold", F.concat_ws(":", "feature", "bin", "side"))
-    return on.select(*GROUP, F.lit("M1").alias("family"), name.alias("rule_id"), F.col("side").alias("direction"), F.array(interval(F.col("feature"), *_bound(F.col("bin"), F.col("edges")))).alias("conds"), F.col("trades").alias("n"), "days", "mean")
-
-
-def pairs(train: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
-    """M2: cells of two features that are activated. Pairs are formed within a row, from its own bins."""
-    long = mining.unpivot(train, names, *GROUP, "series", "t", "day", "long", "short")
-    cuts = written(mining.edges(long, p.m2_bins, *GROUP), "walk_edges")
-    row = F.array_sort(F.collect_list(F.struct("feature", "bin")))
-    x = mining.bins(long, cuts, *GROUP).groupBy(*GROUP, "series", "t", "day").agg(row.alias("f"), F.first("long").alias("long"), F.first("short").alias("short"))
+def edges(train: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
+    """run, fold, horizon, family, feature, edges: of the bins of M1 and M2, from the training rows."""
+    long = written(mining.unpivot(train, names, *GROUP), "walk_values")
+    each = [mining.edges(long, n, *GROUP).withColumn("family", F.lit(family)) for family, n in (("M1", p.m1_bins), ("M2", p.m2_bins))]
+    return written(reduce(DataFrame.unionByName, each).select(*GROUP, "family", "feature", "edges"), "walk_edges")
+
+
+def cells(rows: DataFrame, cuts: DataFrame, names: tuple[str, ...], family: str, on: list[str], keep: list[str]) -> DataFrame:
+    """GROUP, keep and the cells (fa, ba, fb, bb) that a row is in: one for each feature, or for each pair of features, which
+    are formed within a row. cuts are joined on the columns on and the feature."""
+    long = mining.unpivot(rows, names, *on, *keep).join(F.broadcast(cuts.where(F.col("family") == family).drop("family")), [*on, "feature"])
+    long = long.withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("x"))).cast("long"))
+    if family == "M1":
+        return long.select(*GROUP, *keep, F.col("feature").alias("fa"), F.col("bin").alias("ba"), F.lit(None).cast("string").alias("fb"), F.lit(None).cast("long").alias("bb"))
+    x = long.groupBy(*GROUP, *keep).agg(F.array_sort(F.collect_list(F.struct("feature", "bin"))).alias("f"))
     each = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda b: F.struct(a["feature"].alias("fa"), a["bin"].alias("ba"), b["feature"].alias("fb"), b["bin"].alias("bb")))))
-    key = [*GROUP, "fa", "ba", "fb", "bb"]
-    daily = mining.by_side(x.select(*GROUP, "day", "long", "short", F.explode(each).alias("q")).select(*GROUP, "day", "long", "short", "q.*"), *key)
-    on = mining.activated(written(daily, "walk_days"), weights, p.alpha, key, ["fold"], p.m2_min_rows, p.m2_min_days)
-    a, b = (cuts.select(*GROUP, F.col("feature").alias(f"f{s}"), F.col("edges").alias(f"e{s}")) for s in "ab")
-    on = on.join(a, [*GROUP, "fa"]).join(b, [*GROUP, "fb"])
-    conds = F.array(*(interval(F.col(f"f{s}"), *_bound(F.col(f"b{s}"), F.col(f"e{s}"))) for s in "ab"))
-    name = F.concat_ws("-", F.lit("M2"), "horizon", "fold", F.concat_ws(":", "fa", "ba", "fb", "bb", "side"))
-    return on.select(*GROUP, F.lit("M2").alias("family"), name.alias("rule_id"), F.col("side").alias("direction"), conds.alias("conds"), F.col("trades").alias("n"), "days", "mean")
+    return x.select(*GROUP, *keep, F.explode(each).alias("q")).select(*GROUP, *keep, "q.*")
+
+
+def _activated(train: DataFrame, cuts: DataFrame, weights: DataFrame, names: tuple[str, ...], family: str, p: Params) -> DataFrame:
+    """Cells of a family that are activated, as rules."""
+    x = cells(train, cuts, names, family, list(GROUP), ["series", "t", "day", "long", "short"])
+    daily = written(mining.by_side(x, *GROUP, *CELL), "walk_days")
+    few = (p.m2_min_rows, p.m2_min_days) if family == "M2" else (1, 1)
+    on = mining.activated(daily, weights, p.alpha, [*GROUP, *(CELL if family == "M2" else CELL[:2])], ["fold"], *few)
+    if family == "M1":
+        on = on.withColumn("fb", F.lit(None).cast("string")).withColumn("bb", F.lit(None).cast("long"))
+    sides = "ab" if family == "M2" else "a"
+    for s in sides:
+        on = on.join(F.broadcast(cuts.where(F.col("family") == family).select(*GROUP, F.col("feature").alias(f"f{s}"), F.col("edges").alias(f"e{s}"))), [*GROUP, f"f{s}"])
+    conds = F.array(*(interval(F.col(f"f{s}"), *_bound(F.col(f"b{s}"), F.col(f"e{s}"))) for s in sides))
+    name = F.concat_ws("-", F.lit(family), "horizon", "fold", F.concat_ws(":", *CELL, "side"))
+    return on.withColumns({"family": F.lit(family), "rule_id": name, "direction": F.col("side"), "conds": conds, "n": F.col("trades")})
+
+
+def singles(train: DataFrame, cuts: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
+    """M1: bins of one feature that are activated."""
+    return _activated(train, cuts, weights, names, "M1", p)
+
+
+def pairs(train: DataFrame, cuts: DataFrame, weights: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
+    """M2: cells of two features that are activated."""
+    return _activated(train, cuts, weights, names, "M2", p)
 
 
 def trees(train: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
@@ -80,31 +99,40 @@ def trees(train: DataFrame, names: tuple[str, ...], p: Params) -> DataFrame:
     x = x.groupBy(*GROUP, "leaf").agg(F.first("conds").alias("conds"), F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"), F.avg("y").alias("up"), F.avg("short").alias("down"))
     side = F.when(F.col("up") > 0, 1).when(F.col("down") > 0, -1)
     name = F.concat_ws("-", F.lit("M3"), "horizon", "fold", "leaf")
-    return x.select(*GROUP, F.lit("M3").alias("family"), name.alias("rule_id"), side.alias("direction"), "conds", "n", "days", F.when(side == 1, F.col("up")).otherwise(F.col("down")).alias("mean")).where("direction is not null")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in zip(CELL, ("string", "long") * 2, strict=True)]
+    return x.select(*GROUP, F.lit("M3").alias("family"), name.alias("rule_id"), side.alias("direction"), "conds", "n", "days", F.when(side == 1, F.col("up")).otherwise(F.col("down")).alias("mean"), *none).where("direction is not null")
 
 
-def rules(train: DataFrame, names: tuple[str, ...], p: Params, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+def rules(train: DataFrame, cuts: DataFrame, names: tuple[str, ...], p: Params, families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """The rules of all families, a row each."""
     weights = written(boot_weights_by(train.select("fold", "day"), "fold", p.fit_reps, p.seed), "walk_weights")
-    made = {"M1": lambda: singles(train, weights, names, p), "M2": lambda: pairs(train, weights, names, p), "M3": lambda: trees(train, names, p)}
+    made = {"M1": lambda: singles(train, cuts, weights, names, p), "M2": lambda: pairs(train, cuts, weights, names, p), "M3": lambda: trees(train, names, p)}
     return reduce(DataFrame.unionByName, (made[f]().select(*RULE) for f in families))
 
 
 def fired(rows: DataFrame, rules: DataFrame, names: tuple[str, ...], on: list[str]) -> DataFrame:
-    """rows (on, series, t, day) and the rules of their group that hold for them. There are a few rules for each feature or pair."""
+    """rows (on, series, t, day) and the rules of their group that hold for them: for rules of which there are few."""
     values = F.create_map(*[c for n in names for c in (F.lit(n), F.col(n).cast("double"))])
     x = rows.select(*on, "series", "t", "day", values.alias("values"))
-    return x.join(rules, on).where(holds(F.col("conds"), F.col("values"))).drop("values")
+    return x.join(F.broadcast(rules), on).where(holds(F.col("conds"), F.col("values"))).drop("values")
 
 
-def traded(rows: DataFrame, targets: DataFrame, folds: DataFrame, rules: DataFrame, names: tuple[str, ...]) -> DataFrame:
+def traded(rows: DataFrame, targets: DataFrame, folds: DataFrame, rules: DataFrame, cuts: DataFrame, names: tuple[str, ...], families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """Out-of-fold trades: run, fold, horizon, family, series, t, day, dir, net. A row is traded where the rules of a family
-    that fire take one direction alone and the horizon has a result."""
-    test = rows.join(folds.where("role = 'test'").select("fold", "day"), "day")
-    hits = fired(test, rules.select(*GROUP, "family", "direction", "conds"), names, ["fold"])
-    taken = hits.groupBy(*GROUP, "family", "series", "t", "day").agg(F.max("direction").alias("dir"), F.min("direction").alias("low")).where("dir = low").drop("low")
+    that fire take one direction alone and the horizon has a result. Rows meet cells by their bins; leaves, of which a tree has
+    a few, by their conditions."""
+    test = rows.join(F.broadcast(folds.where("role = 'test'").select("fold", "day")), "day")
+    at, hits = ["series", "t", "day"], []
+    for family in families:
+        own = rules.where(F.col("family") == family)
+        if family == "M3":
+            hits.append(fired(test, own.select(*GROUP, "family", "direction", "conds"), names, ["fold"]).select(*GROUP, "family", *at, "direction"))
+        else:
+            key = [*GROUP, *(CELL if family == "M2" else CELL[:2])]
+            hits.append(cells(test, cuts, names, family, ["fold"], at).join(own.select(*key, "family", "direction"), key).select(*GROUP, "family", *at, "direction"))
+    taken = reduce(DataFrame.unionByName, hits).groupBy(*GROUP, "family", *at).agg(F.max("direction").alias("dir"), F.min("direction").alias("low")).where("dir = low").drop("low")
     results = targets.where("long is not null").select("series", "t", "horizon", "long", "short")
-    return taken.join(results, ["series", "t", "horizon"]).select(*GROUP, "family", "series", "t", "day", "dir", F.when(F.col("dir") > 0, F.col("long")).otherwise(F.col("short")).alias("net"))
+    return taken.join(results, ["series", "t", "horizon"]).select(*GROUP, "family", *at, "dir", F.when(F.col("dir") > 0, F.col("long")).otherwise(F.col("short")).alias("net"))
 
 
 def means(trades: DataFrame, horizons: DataFrame, runs: DataFrame, families: tuple[str, ...] = FAMILIES, value: str = "net") -> DataFrame:

@@ -93,8 +93,9 @@ def walked(spark: SparkSession, sf_dir: str, runs: int) -> tuple[DataFrame, Data
     """Rules, trades and means of the real run and of so many with permuted training results."""
     rows, targets, plan = walk_inputs(spark, sf_dir)
     train = resample.written(walk.training(rows, targets, plan, runs, P.seed), "walk_train")
-    rules = resample.written(walk.rules(train, N, P), "walk_rules")
-    trades = resample.written(walk.traded(rows, targets, plan, rules, N), "walk_trades")
+    cuts = walk.edges(train, N, P)
+    rules = resample.written(walk.rules(train, cuts, N, P), "walk_rules")
+    trades = resample.written(walk.traded(rows, targets, plan, rules, cuts, N), "walk_trades")
     every = spark.range(-1, runs).withColumnRenamed("id", "run")
     return rules, trades, walk.means(trades, targets, every)
 
@@ -103,7 +104,7 @@ def walk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of all families, folds and horizons."""
     x = walked(spark, sf_dir, 0)[0]
     step = lambda c: F.concat_ws(" ", c["feature"], *(F.coalesce(r6(c[k]).cast("decimal(30,6)").cast("string"), F.lit("open")) for k in ("lo", "hi")))
-    return rounded(x.select("fold", "horizon", "family", "direction", F.array_join(F.array_sort(F.transform("conds", step)), ", ").alias("conds"), "n", "days", "mean"))
+    return rounded(x.select("fold", "horizon", "family", "direction", F.array_join(F.array_sort(F.transform("conds", step)), ", ").alias("conds"), "n", "days"))
 
 
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +259,7 @@ ON = """
 {name}d AS MATERIALIZED (SELECT * FROM (SELECT run, fold, horizon, {key}, day, 1 AS side, sum(long) AS s, count(*) AS n FROM {src} GROUP BY ALL) UNION ALL SELECT * FROM (SELECT run, fold, horizon, {key}, day, -1, sum(short), count(*) FROM {src} GROUP BY ALL)),
 {name}g AS (SELECT run, fold, horizon, {key}, side, sum(s) AS total, sum(n)::BIGINT AS trades, count(*) AS days FROM {name}d GROUP BY ALL HAVING sum(s) > 0 AND sum(n) >= {rows} AND count(*) >= {days}),
 {name}r AS (SELECT run, fold, horizon, {key}, side, total, trades, days, rep, sum(s * w) / nullif(sum(n * w), 0) AS m FROM {name}d JOIN {name}g USING (run, fold, horizon, {key}, side) JOIN fw USING (fold, day) GROUP BY ALL),
-{name} AS (SELECT run, fold, horizon, {key}, side, trades, days, total / trades AS mean FROM {name}r GROUP BY ALL HAVING quantile_cont(m, 0.05) > 0)"""
+{name} AS MATERIALIZED (SELECT run, fold, horizon, {key}, side, trades, days, total / trades AS mean FROM {name}r GROUP BY ALL HAVING quantile_cont(m, 0.05) > 0)"""
 _LOW = "CASE WHEN {b} > 0 THEN {e}[{b}] END"
 _TEXT = "concat_ws(' ', {f}, coalesce(({lo})::DECIMAL(30, 6)::VARCHAR, 'open'), coalesce(({hi})::DECIMAL(30, 6)::VARCHAR, 'open'))"
 
@@ -301,7 +302,7 @@ bp AS (SELECT a.run, a.fold, a.horizon, a.feature AS fa, a.bin AS ba, b.feature
 big AS (SELECT run, fold, horizon FROM trn GROUP BY ALL HAVING count(*) >= {P.min_leaf}),
 t0 AS MATERIALIZED (SELECT ln.*, '' AS leaf, []::STRUCT(feature VARCHAR, lo DOUBLE, hi DOUBLE)[] AS conds FROM ln SEMI JOIN big USING (run, fold, horizon)),{level_sql(0)},{level_sql(1)},{level_sql(2)},
 tl AS (SELECT DISTINCT run, fold, horizon, series, t, day, long, short, leaf, conds FROM t3),
-on3 AS (SELECT run, fold, horizon, leaf, any_value(conds) AS conds, count(*) AS n, count(DISTINCT day) AS days, avg(long) AS up, avg(short) AS down FROM tl GROUP BY ALL),
+on3 AS MATERIALIZED (SELECT run, fold, horizon, leaf, any_value(conds) AS conds, count(*) AS n, count(DISTINCT day) AS days, avg(long) AS up, avg(short) AS down FROM tl GROUP BY ALL),
 rules AS (
   SELECT o.run, o.fold, o.horizon, 'M1' AS family, side AS direction, {cond_sql('feature', 'bin', 'e.edges')} AS conds, trades AS n, days, mean FROM on1 o JOIN edges5 e USING (run, fold, horizon, feature)
   UNION ALL SELECT o.run, o.fold, o.horizon, 'M2', side, array_to_string(list_sort([{cond_sql('fa', 'ba', 'e.edges')}, {cond_sql('fb', 'bb', 'f.edges')}]), ', '), trades, days, mean
@@ -313,12 +314,12 @@ h5 AS (SELECT run, e.fold, horizon, series, t, day, feature, len([e FOR e IN edg
 h3 AS MATERIALIZED (SELECT run, e.fold, horizon, series, t, day, feature, len([e FOR e IN edges IF e <= x]) AS bin FROM te JOIN edges3 e USING (fold, feature)),
 h2 AS (SELECT o.run, o.fold, o.horizon, a.series, a.t, a.day, side FROM on2 o JOIN h3 a ON a.run = o.run AND a.fold = o.fold AND a.horizon = o.horizon AND a.feature = o.fa AND a.bin = o.ba JOIN h3 b ON b.run = o.run AND b.fold = o.fold AND b.horizon = o.horizon AND b.feature = o.fb AND b.bin = o.bb AND b.series = a.series AND b.t = a.t),
 m3 AS (SELECT run, fold, horizon, leaf, CASE WHEN up > 0 THEN 1 ELSE -1 END AS side, len(conds) AS k, unnest(conds) AS c FROM on3 WHERE up > 0 OR down > 0),
-hits AS (
+hits AS MATERIALIZED (
   SELECT o.run, o.fold, o.horizon, 'M1' AS family, series, t, day, side FROM on1 o JOIN h5 USING (run, fold, horizon, feature, bin) UNION ALL SELECT run, fold, horizon, 'M2', series, t, day, side FROM h2
   UNION ALL SELECT run, m3.fold, horizon, 'M3', series, t, day, any_value(side) FROM m3 JOIN te ON te.fold = m3.fold AND te.feature = m3.c.feature AND (m3.c.lo IS NULL OR x > m3.c.lo) AND (m3.c.hi IS NULL OR x <= m3.c.hi) GROUP BY run, m3.fold, horizon, series, t, day, leaf, k HAVING count(*) = k),
 took AS (SELECT run, fold, horizon, family, series, t, day, max(side) AS dir FROM hits GROUP BY ALL HAVING max(side) = min(side)),
 wtr AS MATERIALIZED (SELECT k.*, CASE WHEN dir > 0 THEN long ELSE short END AS net FROM took k JOIN targets g ON g.series = k.series AND g.t = k.t AND g.horizon = k.horizon WHERE g.long IS NOT NULL),
-means AS (SELECT a.run::BIGINT AS run, family, horizon, coalesce(trades, 0) AS trades, coalesce(days, 0) AS days, round(mean_net, 6) + 0.0 AS mean_net FROM range(-1, {P.null_runs}) a(run) CROSS JOIN (SELECT DISTINCT horizon::BIGINT AS horizon FROM targets) CROSS JOIN (VALUES ('M1'), ('M2'), ('M3')) b(family)
+means AS MATERIALIZED (SELECT a.run::BIGINT AS run, family, horizon, coalesce(trades, 0) AS trades, coalesce(days, 0) AS days, round(mean_net, 6) + 0.0 AS mean_net FROM range(-1, {P.null_runs}) a(run) CROSS JOIN (SELECT DISTINCT horizon::BIGINT AS horizon FROM targets) CROSS JOIN (VALUES ('M1'), ('M2'), ('M3')) b(family)
   LEFT JOIN (SELECT run, family, horizon, count(*) AS trades, count(DISTINCT day) AS days, avg(net) AS mean_net FROM wtr GROUP BY ALL) z USING (run, family, horizon))"""
 JUDGED = f"""
 rt AS (SELECT family, horizon, fold, day, net FROM wtr WHERE run = -1),
@@ -352,7 +353,7 @@ ORACLE_SQL = {
     "fold_masks": q("SELECT * FROM folds", BARS, FOLDS),
     "day_permutation": q("""SELECT m.run, s.series, s.day, s.slot, m.source_day, round(z.long, 6) + 0.0 AS p_long FROM sl s JOIN (SELECT a.run, a.day, b.day AS source_day FROM pd a JOIN pd b ON a.run = b.run AND a.n = b.k) m USING (day)
       LEFT JOIN sl z ON z.series = s.series AND z.slot = s.slot AND z.day = m.source_day""", *DATA, DATASET, "sl AS (SELECT series, day, t % 1440 AS slot, long FROM data)", "pd AS (SELECT run, day, row_number() OVER (PARTITION BY run ORDER BY day) AS n, row_number() OVER (PARTITION BY run ORDER BY md5(concat_ws(':', '7', run, day))) AS k FROM (SELECT DISTINCT day FROM data), (VALUES (0::BIGINT), (1::BIGINT)) v(run))"),
-    "walk_rules": q(f"SELECT fold, horizon, family, direction::BIGINT AS direction, conds, n, days, {r('mean')} FROM rules WHERE run = -1", *DATA, DATASET, FOLDS, WALK),
+    "walk_rules": q(f"SELECT fold, horizon, family, direction::BIGINT AS direction, conds, n, days FROM rules WHERE run = -1", *DATA, DATASET, FOLDS, WALK),
     "walk_forward": q("SELECT family, horizon, trades, days, mean_net FROM means WHERE run = -1", *DATA, DATASET, FOLDS, WALK, TRADED),
     "walk_null": q("SELECT * FROM means WHERE run >= 0", *DATA, DATASET, FOLDS, WALK, TRADED),
     "walk_verdict": q(f"SELECT family, horizon, mean, {r('p', 'p_holm', 'p_max', 'lower', 'min_mean')}, min_trades, passes, weak, CASE WHEN bool_or(passes) OVER () THEN 'PASS' WHEN bool_or(weak) OVER () THEN 'WEAK' ELSE 'STOP' END AS verdict FROM judged", *DATA, DATASET, FOLDS, WALK, TRADED, JUDGED),

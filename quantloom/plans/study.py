@@ -35,8 +35,9 @@ def exit_study(spark: SparkSession, sf_dir: str, runs: int) -> tuple[DataFrame,
     results = resample.written(outcomes.exits(base(spark, sf_dir), decided(spark, sf_dir), P, ("sltp",)), "study_exits")
     targets = resample.written(study.exit_targets(results), "study_targets")
     train = resample.written(walk.training(rows, targets, plan, runs, P.seed), "study_train")
-    rules = resample.written(walk.rules(train, N, P, FAMILIES), "study_rules")
-    every = resample.written(study.exit_trades(walk.traded(rows, targets, plan, rules, N), results), "study_trades")
+    cuts = walk.edges(train, N, P)
+    rules = resample.written(walk.rules(train, cuts, N, P, FAMILIES), "study_rules")
+    every = resample.written(study.exit_trades(walk.traded(rows, targets, plan, rules, cuts, N, FAMILIES), results), "study_trades")
     return every, resample.written(study.single(every), "study_single"), results, rows, plan
 
 
