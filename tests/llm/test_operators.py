@@ -476,7 +476,7 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near(df.where("false"), "vec_id", "embedding").count() == 0
 
 
-@pytest.mark.parametrize(("n", "dim", "fall"), [(100_000, 64, 0), (1_000_000, 64, 0), (1_000_000, 64, 0.5), (1_000_000, 16, 0)])
+@pytest.mark.parametrize(("n", "dim", "fall"), [(100_000, 64, 0), (1_000_000, 64, 0), (1_000_000, 64, 0.5), (1_000_000, 16, 0), (100_000_000, 64, 0), (100_000_000, 16, 0), (10_000, 24, 0)])
 def test_filters_for_many_vectors(n, dim, fall):
     """Pairs at cosine 0.95 share a filter or have a vector in few, whatever n and the fall of energy over the dimensions."""
     r, m, code = np.random.default_rng(5), 2000, near_vectors.Code.fitting(n, dim, 0.95)
