@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import WORD, let, repeated, small, stash, uniform
+from quantloom.llm.shared import WORD, let, ranked, repeated, small, stash, uniform
 
 FAN = 64
 SEED = 20240601
@@ -32,20 +32,23 @@ def words(text):
 def targets(by_source: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, n, target from source, source_size, n.
 
-    Sources in code point order, null last, take the weights in turn. The level at which the capped sources' caps and the
-    others' shares by weight add up to the whole is found from running sums over the sources ordered by cap over weight.
+    Sources in code point order, null last, take the weights in turn. The level, a source's share for a weight of 1, starts
+    as if none were capped; sources whose cap is under their share are capped and what they leave raises the level, until no
+    more are. Sources may be many: they are ranked by sorted parts, and each round sums over them.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
-    x = by_source.withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    x = x.withColumn("rank", F.row_number().over(order))
-    x = x.withColumn("capped", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    x = x.withColumn("open", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    x = x.withColumn("level", (share * F.sum("source_size").over(everything) - F.col("capped")) / F.col("open"))
-    fits = F.when(F.col("level") <= F.col("ratio") * (1 + 1e-12), F.struct("rank", "level"))
-    x = x.withColumn("found", F.min(fits).over(everything)["level"])
-    return x.select("source", "source_size", "n", F.least("cap", F.col("found") * F.col("w")).alias("target"))
+    x = ranked(by_source, F.col("source").asc_nulls_last(), "at")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int"))
+    x = stash(x.select("source", "source_size", "n", w.alias("w"), (most * F.col("source_size")).alias("cap")), "mix_sources")
+    want = share * (x.agg(F.sum("source_size")).first()[0] or 0)
+    level, before = 0.0, -1
+    while True:
+        capped = F.col("cap") < F.lit(level) * F.col("w")
+        held = x.agg(F.count_if(capped).alias("n"), F.sum(F.when(capped, F.col("cap"))).alias("caps"), F.sum(F.when(~capped, F.col("w"))).alias("open")).first()
+        if held["n"] == before or not held["open"]:
+            break
+        before, level = held["n"], max(level, (want - (held["caps"] or 0.0)) / held["open"])
+    share_of = F.lit(level) * F.col("w") if held["open"] else F.col("cap")
+    return x.select("source", "source_size", "n", F.least("cap", share_of).alias("target"))
 
 
 def _pair(acc, x):
