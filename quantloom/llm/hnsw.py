@@ -1,7 +1,7 @@
 """Nearest neighbours by a hierarchical navigable small-world graph for each shard.
 
 Different vectors are dealt to shards by a hash; equal ones are one node with the smallest ids of its rows. A shard's graph
-is built in batches: all of a batch search the graph so far together, then get their links. Vectors, links and levels are
+is built in batches: all of a batch find the nearest of the nodes so far together, then get their links. Vectors, links and levels are
 flat arrays, a row of a table for each shard. Queries stream past each shard's graph, which a task loads once; the shards'
 results, measured again in double precision on the original vectors, are merged by rank. A graph's vectors are scaled by one
 power of two; where magnitudes lie too far apart for squares in single precision, a query is compared with all of the shard.
@@ -129,15 +129,7 @@ def build(x: np.ndarray, names: np.ndarray) -> Graph:
         at = 0
         while at < len(own):  # the first nodes link with each other directly
             part = own[at : at + min(BATCH, max(64, at))]
-            if at:
-                starts = np.full((len(part), 1), entry, np.int64)
-                for above in range(levels - 1, lv, -1):
-                    starts, _ = _search(x, links[above], x[part], starts, 4)
-                if lv < levels - 1:
-                    starts = np.concatenate([starts, np.full((len(part), 1), own[0])], 1)
-                ids, far = _search(x, links[lv], x[part], _unique(starts), BUILD)
-            else:
-                ids, far = np.full((len(part), 0), -1, np.int64), np.zeros((len(part), 0))
+            ids, far = _nearest_of(x, part, own[:at], BUILD)
             inner = ((x[part][:, None] - x[part][None]) ** 2).sum(2) if len(part) <= 64 else _squared(x[part])
             np.fill_diagonal(inner, np.inf)
             k = min(BUILD, len(part) - 1)
@@ -157,11 +149,20 @@ def _squared(v: np.ndarray) -> np.ndarray:
     return np.maximum(np.add.outer(s, s) - 2 * v @ v.T, 0)
 
 
-def _unique(starts: np.ndarray) -> np.ndarray:
-    """Each row's ids once, -1 in place of the repeated ones."""
-    out = np.sort(starts, axis=1)
-    out[:, 1:][out[:, 1:] == out[:, :-1]] = -1
-    return out
+def _nearest_of(x: np.ndarray, part: np.ndarray, others: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most nearest of others to each node of part, in no order, and squared distances: by matrix products, since a shard is
+    small enough for that to cost less than searching its graph."""
+    k = min(most, len(others))
+    ids, far = np.zeros((len(part), k), np.int64), np.zeros((len(part), k))
+    if not k:
+        return ids, far
+    v, size = x[others], (x[others] ** 2).sum(1)
+    for at in range(0, len(part), 128):
+        own = x[part[at : at + 128]]
+        d = np.maximum((own**2).sum(1)[:, None] + size - 2 * own @ v.T, 0)
+        best = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(others) else np.broadcast_to(np.arange(k), d.shape)
+        ids[at : at + 128], far[at : at + 128] = others[best], np.take_along_axis(d, best, 1)
+    return ids, far
 
 
 def _back(x: np.ndarray, links: np.ndarray, part: np.ndarray, chosen: np.ndarray) -> None:
