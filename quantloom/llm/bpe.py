@@ -21,8 +21,8 @@ from quantloom.llm.shared import freed, freed_group, spread, stash
 
 #: Characters beyond which a text is cut in halves.
 LEAF = 1 << 15
-#: Entries of a cache, which is emptied when full, and the longest text in it.
-CACHE, CACHED_CHARS = 60_000, 40
+#: Entries of each of a cache's two generations, and the longest text in it.
+CACHE, CACHED_CHARS = 100_000, 40
 #: Characters on each side of a join that are encoded again at first.
 WINDOW = 64
 
@@ -50,8 +50,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.letters = _byte_letters()
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
         self.names: dict[int, str] = {}
 
     def name(self, i: int) -> str:
@@ -63,30 +63,37 @@ class Encoder:
         return [t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        if (found := self.words.get(word)) is None:
-            ids = self.word_ids(word)
-            found = len(ids), " ".join(map(str, ids)), " ".join(map(self.name, ids))
-            if len(word) <= CACHED_CHARS:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = found
+        return self.known.get(word) or self._kept(word, self.old.get(word) or self._of_word(word))
+
+    def _of_word(self, word: str) -> tuple[int, str, str]:
+        ids = self.word_ids(word)
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.name, ids))
+
+    def _kept(self, text: str, found: tuple[int, str, str]) -> tuple[int, str, str]:
+        """found, remembered; when a generation is full it becomes the old one, from which what is met again comes back."""
+        if len(text) <= CACHED_CHARS:
+            if len(self.known) >= CACHE:
+                self.old, self.known = self.known, {}
+            self.known[text] = found
         return found
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        parts = [self._word(w) for w in _PRE.findall(chunk)]
-        found = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join(p[1] for p in parts), " ".join(p[2] for p in parts))
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
+        if found := self.known.get(chunk):
+            return found
+        if found := self.old.get(chunk):
+            return self._kept(chunk, found)
+        words = _PRE.findall(chunk)
+        if len(words) == 1:
+            return self._kept(chunk, self._of_word(words[0]))
+        parts = [self._word(w) for w in words]
+        return self._kept(chunk, (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
 
     def encoded(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids joined by a space, decoded text."""
         if _ODD.search(text):
             e = self.library.encode(text, add_special_tokens=False)
             return len(e.ids), " ".join(map(str, e.ids)), self.library.decode(e.ids, skip_special_tokens=False)
-        get, chunk = self.chunks.get, self._chunk
+        get, chunk = self.known.get, self._chunk
         parts = [get(c) or chunk(c) for c in text.lower().split()]
         return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
