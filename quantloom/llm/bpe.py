@@ -52,22 +52,20 @@ class Encoder:
         self.letters = _byte_letters()
         self.known: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
-        self.names: dict[int, str] = {}
-
-    def name(self, i: int) -> str:
-        if i not in self.names:
-            self.names[i] = self.library.decode([i], skip_special_tokens=False)
-        return self.names[i]
+        #: Each id as text, and decoded.
+        self.told = [(str(i), self.library.decode([i], skip_special_tokens=False)) for i in range(max(self.library.get_vocab().values(), default=-1) + 1)]
 
     def word_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+        # printable ASCII characters stand for themselves
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.library.model.tokenize(letters)]
 
     def _word(self, word: str) -> tuple[int, str, str]:
         return self.known.get(word) or self._kept(word, self.old.get(word) or self._of_word(word))
 
     def _of_word(self, word: str) -> tuple[int, str, str]:
-        ids = self.word_ids(word)
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.name, ids))
+        told = [self.told[i] for i in self.word_ids(word)]
+        return len(told), " ".join([t[0] for t in told]), " ".join([t[1] for t in told])
 
     def _kept(self, text: str, found: tuple[int, str, str]) -> tuple[int, str, str]:
         """found, remembered; when a generation is full it becomes the old one, from which what is met again comes back."""
@@ -95,23 +93,30 @@ class Encoder:
             return len(e.ids), " ".join(map(str, e.ids)), self.library.decode(e.ids, skip_special_tokens=False)
         get, chunk = self.known.get, self._chunk
         parts = [get(c) or chunk(c) for c in text.lower().split()]
-        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        n, ids, decoded = zip(*parts, strict=True) if parts else ((), (), ())
+        return sum(n), " ".join(ids), " ".join(decoded)
 
     def spans(self, text: str, at: int = 0) -> list[Word]:
         """Pre-tokens with their places, from at on, and ids."""
         if not _ODD.search(text):
-            return [(at + m.start(), at + m.end(), tuple(map(int, self._word(m[0])[1].split()))) for m in _PRE.finditer(text.lower())]
+            own: dict[str, tuple[int, ...]] = {}
+            out: list[Word] = []
+            for m in _PRE.finditer(text.lower()):
+                if (ids := own.get(m[0])) is None:
+                    ids = own[m[0]] = tuple(map(int, self._word(m[0])[1].split()))
+                out.append((at + m.start(), at + m.end(), ids))
+            return out
         e = self.library.encode(text, add_special_tokens=False)
-        out: list[list] = []
+        found: list[list] = []
         last: object = None
         for i, (a, b), w in zip(e.ids, e.offsets, e.word_ids, strict=True):
-            if w is not None and w == last and out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], at + b)
-                out[-1][2].append(i)
+            if w is not None and w == last and found and a <= found[-1][1]:
+                found[-1][1] = max(found[-1][1], at + b)
+                found[-1][2].append(i)
             else:
-                out.append([at + a, at + b, [i]])
+                found.append([at + a, at + b, [i]])
             last = w
-        return [(a, b, tuple(ids)) for a, b, ids in out]
+        return [(a, b, tuple(ids)) for a, b, ids in found]
 
     def joined(self, text: str, left: list[Word], right: list[Word], cut: int, start: int = 0, end: int | None = None) -> list[Word]:
         """Pre-tokens of text[start:end] from those of its parts before and after cut."""
