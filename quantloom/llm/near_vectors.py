@@ -99,8 +99,9 @@ def _words(code: Code) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[np
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by a power of two first, which is exact, so that no square is too large or small."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -288,7 +289,8 @@ def near(rows: DataFrame, id_column: str, vector: str, least: float = 0.95) -> D
 
     Equal vectors are one class, whose copies aren't expanded into pairs: they link with each other and with all copies of
     linked classes. Vectors that are null, zero, or hold null or non-finite components link with nothing; so do those of
-    other lengths. Repeated rows count each; an empty table gives no rows; other columns are not looked at.
+    other lengths. A cosine of just least links, as double precision tells it. Repeated rows count each; an empty table gives
+    no rows; other columns are not looked at.
     """
     base = stash(keyed(rows, id_column, vector), "near_vectors")
     classes = stash(base.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.first("vector").alias("vector")), "near_classes")

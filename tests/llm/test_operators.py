@@ -476,6 +476,24 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_near_vectors_at_the_limit(spark):
+    """Pairs at a cosine of 0.95 and a little on either side, of any magnitude, are told by double precision."""
+    rows, want, r = [], {}, np.random.default_rng(8)
+    for i in range(60):
+        x, y = r.standard_normal((2, 32))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        cosine = 0.95 + (i % 3 - 1) * 1e-9
+        pair = np.stack([x, cosine * x + math.sqrt(1 - cosine**2) * y]) * 2.0 ** (i * 9 - 270)
+        one, two = pair / np.linalg.norm(pair, axis=1, keepdims=True)
+        if abs(one @ two - 0.95) > 1e-15:  # closer ones depend on the order of the sum
+            want |= dict.fromkeys((2 * i, 2 * i + 1), int(one @ two >= 0.95))
+        rows += [(2 * i + k, [float(v) for v in pair[k]]) for k in range(2)]
+    got = {v.vec_id: v.n_links for v in near_vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()}
+    assert {k: got[k] for k in want} == want and set(want.values()) == {0, 1}
+
+
 @pytest.mark.parametrize(("n", "dim", "fall"), [(100_000, 64, 0), (1_000_000, 64, 0), (1_000_000, 64, 0.5), (1_000_000, 16, 0), (100_000_000, 64, 0), (100_000_000, 16, 0), (10_000, 24, 0)])
 def test_filters_for_many_vectors(n, dim, fall):
     """Pairs at cosine 0.95 share a filter or have a vector in few, whatever n and the fall of energy over the dimensions."""
