@@ -35,3 +35,8 @@ def test_volatility(spark, tables):
 def test_all_features(spark, tables):
     told = {repr(r["rv_rel"]) for r in same(spark, tables, "features_all")}
     assert {"inf", "nan"} <= told
+
+
+@pytest.mark.parametrize("name", ["m1_cells"])
+def test_mined(spark, tables, name):
+    assert same(spark, tables, name)
