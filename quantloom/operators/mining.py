@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.rules import CONDS, interval
-from quantloom.functions.time import r6
+from quantloom.functions.time import halves_up, r6
 from quantloom.operators.resample import draw
 
 
@@ -69,16 +69,22 @@ def activated(daily: DataFrame, weights: DataFrame, alpha: float, key: list[str]
 def best_splits(long: DataFrame, node: str, least: int) -> DataFrame:
     """For each node the feature and threshold whose halves, of least rows or more, differ most by squared error of y.
 
-    Rows are summed by value before they are ordered, so a partition has a feature's different values.
+    Rows are summed by value before they are ordered, so a partition has a feature's different values. Sums are exact to 12
+    places, so halves of the same rows have equal gains by any feature, and the first by name and threshold is taken whatever
+    the order of rows. Values of 10^12 or more, infinite ones and those that aren't numbers are summed as doubles.
     """
-    values = long.groupBy(node, "feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    part = F.col("y").try_cast("decimal(24,12)")
+    long = long.withColumn("d", F.coalesce(part, F.lit(0).cast("decimal(24,12)"))).withColumn("e", F.when(part.isNull(), F.col("y")).otherwise(0.0))
+    values = long.groupBy(node, "feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), F.sum("e").alias("e"))
     w = Window.partitionBy(node, "feature").orderBy("x")
     whole = Window.partitionBy(node, "feature")
-    x = values.withColumn("nl", F.sum("n").over(w)).withColumn("sl", F.sum("s").over(w)).withColumn("nr", F.sum("n").over(whole) - F.col("nl")).withColumn("st", F.sum("s").over(whole))
+    total = lambda c, over: F.sum(c).over(over).cast("decimal(36,12)")
+    x = values.withColumn("nl", F.sum("n").over(w)).withColumn("nr", F.sum("n").over(whole) - F.col("nl"))
+    x = x.withColumns({"dl": total("d", w), "dt": total("d", whole), "el": F.sum("e").over(w), "et": F.sum("e").over(whole)})
     x = x.withColumn("threshold", (F.col("x") + F.lead("x").over(w)) / 2).where((F.col("nl") >= least) & (F.col("nr") >= least))
-    sl, sr, st = F.col("sl"), F.col("st") - F.col("sl"), F.col("st")
+    sl, sr, st = (d.cast("double") + e for d, e in ((F.col("dl"), F.col("el")), (F.col("dt") - F.col("dl"), F.col("et") - F.col("el")), (F.col("dt"), F.col("et"))))
     gain = sl * sl / F.col("nl") + sr * sr / F.col("nr") - st * st / (F.col("nl") + F.col("nr"))
-    x = x.withColumn("gain", F.round(gain, 9))
+    x = x.withColumn("gain", halves_up(gain, 9))
     top = x.groupBy(node).agg(F.max("gain").alias("gain"))
     x = x.join(top, [node, "gain"]).groupBy(node).agg(F.min(F.struct("feature", "threshold", "gain", "nl", "nr")).alias("b"))
     return x.select(node, "b.*")
