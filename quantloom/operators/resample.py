@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.time import halves_up
+
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A new place in the shared folder in spark.checkpoint.dir. Where that is unset, one is set: a temporary folder on a single
@@ -75,9 +77,10 @@ def null_best(null: DataFrame) -> DataFrame:
 
 
 def max_statistic_p(real: DataFrame, best: DataFrame, by: list[str]) -> DataFrame:
-    """p against the best of each run. A histogram of the runs is all that meets the real means."""
-    runs = best.agg(F.sort_array(F.collect_list("best")).alias("bests"))
-    share = F.size(F.filter("bests", lambda b: b >= F.col("mean"))) / F.size("bests")
+    """p against the best of each run. A histogram of the runs is all that meets the real means. Runs that equal the real mean
+    count: both are compared at 9 places, since equal means of sums taken in other orders differ in their last bits."""
+    runs = best.agg(F.sort_array(F.collect_list(halves_up(F.col("best"), 9))).alias("bests"))
+    share = F.size(F.filter("bests", lambda b: b >= halves_up(F.col("mean"), 9))) / F.size("bests")
     return real.join(F.broadcast(runs)).select(*by, "mean", F.when(F.col("mean").isNull(), 1.0).otherwise(F.coalesce(share, F.lit(1.0))).alias("p_max"))
 
 

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quantloom.functions.time import r6
-from quantloom.operators import mining
+from quantloom.operators import mining, resample
 
 
 def test_rounding_is_the_sqls(spark):
@@ -46,3 +46,12 @@ def test_splits_keep_values_that_are_no_decimals(spark):
     rows = [(0, "a", float(i), y) for i, y in enumerate((1e15, 1e15, 3e15, 3e15))] + [(1, "a", float(i), y) for i, y in enumerate((1.0, 1.0, float("inf"), 2.0))]
     got = {r.node: r for r in mining.best_splits(spark.createDataFrame(rows, "node int, feature string, x double, y double"), "node", 2).collect()}
     assert got[0].threshold == 1.5 and abs(got[0].gain - 4e30) < 1e18 and got[1].gain != got[1].gain
+
+
+def test_runs_that_equal_the_mean_count(spark):
+    """0.1 + 0.2 + 0.3 is another double than 0.3 + 0.2 + 0.1; a run that turns no day has the real trades."""
+    real = spark.createDataFrame([("a", (0.1 + 0.2 + 0.3) / 3), ("b", 0.3), ("c", 0.20000001)], "config string, mean double")
+    best = spark.createDataFrame([(0, (0.3 + 0.2 + 0.1) / 3), (1, (0.1 + 0.2) / 1), (2, 0.1)], "run int, best double")
+    assert (0.3 + 0.2 + 0.1) / 3 < (0.1 + 0.2 + 0.3) / 3
+    got = {r.config: r.p_max for r in resample.max_statistic_p(real, best, ["config"]).collect()}
+    assert got == {"a": 2 / 3, "b": 1 / 3, "c": 1 / 3}
